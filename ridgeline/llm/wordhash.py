@@ -15,6 +15,7 @@ import pyarrow as pa
 
 _RNG = np.random.default_rng(0x5EED_2024)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_RAW = _BYTE.copy()
 _BYTE[65:91] = _BYTE[97:123]  # A-Z hash as a-z
 _BASE = 0x9E37_79B9_7F4A_7C15
 _BASE_INV = pow(_BASE, -1, 2**64)
@@ -71,6 +72,15 @@ def chunks(offsets: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]
         a = min(b, n)
 
 
+def byte_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums s, and powers p of the inverse base: (s[b] - s[a]) * p[a] is the hash of the bytes a..b, case kept."""
+    power, inverse = _powers(len(data) + 1)
+    sums = np.empty(len(data) + 1, dtype=np.uint64)
+    sums[0] = 0
+    np.cumsum(_RAW[data] * power[:-1], out=sums[1:])
+    return sums, inverse
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash of each word of the texts data[offsets[i]:offsets[i+1]], its start and end byte, and for each text the index of its first word (n + 1 values)."""
     gap = space[data]
