@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A text becomes the set of its words (lower case).  The classifier is logistic over VOCABULARY words that tell confirmed
+A text becomes the set of its words (lower case) and of the words' first few bytes, so that forms of one stem count alike.  The classifier is logistic over VOCABULARY of them that tell confirmed
 toxic texts from the unlabelled ones best, trained in numpy from POSITIVES confirmed toxic texts and UNLABELLED texts
 of any kind at most (labels 0 aren't used, but for the class prior).  The risk is p R+(positives) + max(0,
 R-(unlabelled) - p R-(positives)), with the class prior p; where the second part falls below 0, the step goes up it.
@@ -18,48 +18,67 @@ from pyspark.sql import functions as F
 from ridgeline.llm.decontam import _BREAK
 from ridgeline.llm.frames import binary, map_arrow, to_binary
 from ridgeline.llm.labelled import held_out, sample, share
-from ridgeline.llm.wordhash import chunks, utf8_parts, word_hashes
+from ridgeline.llm.wordhash import chunks, folded_sums, mix, utf8_parts, word_hashes
 
-POSITIVES, UNLABELLED, VOCABULARY = 1_500, 6_000, 256
+POSITIVES, UNLABELLED, VOCABULARY = 1_500, 4_000, 512
+STEMS = (4, 5, 6, 7)
+#: The last bits of a feature: 0 for a word, else 8 less the bytes of the stem.
+_KIND = np.uint64(7)
 PRIOR = 0.1
 
 
-def word_sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For chunks of rows a..b: a, b, the rows' sorted distinct word hashes on end, and bounds."""
+def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the texts' words and of the words' first STEMS bytes, and the text of each."""
+    words, starts, ends, begin = word_hashes(data, offsets, _BREAK)
+    of = np.repeat(np.arange(len(offsets) - 1), np.diff(begin))
+    if not len(words):
+        return words, of
+    sums, inverse = folded_sums(data)
+    parts, owners = [words & ~_KIND], [of]
+    for k in STEMS:
+        long = np.flatnonzero(ends - starts > k)
+        at = starts[long]
+        parts.append(mix((sums[at + k] - sums[at]) * inverse[at] + np.uint64(k)) & ~_KIND | np.uint64(8 - k))
+        owners.append(of[long])
+    return np.concatenate(parts), np.concatenate(owners)
+
+
+def feature_sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For chunks of rows a..b: a, b, the rows' sorted distinct features on end, and bounds."""
     data, offsets = utf8_parts(column)
     for a, b in chunks(offsets):
-        words, _, _, begin = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], _BREAK)
-        of = np.repeat(np.arange(b - a), np.diff(begin))
-        order = np.lexsort((words, of))
-        w, o = words[order], of[order]
-        new = np.ones(len(w), dtype=bool)
-        new[1:] = (w[1:] != w[:-1]) | (o[1:] != o[:-1])
-        yield a, b, w[new], np.concatenate(([0], np.cumsum(np.bincount(o[new], minlength=b - a))))
+        x, of = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        order = np.lexsort((x, of))
+        x, of = x[order], of[order]
+        new = np.ones(len(x), dtype=bool)
+        new[1:] = (x[1:] != x[:-1]) | (of[1:] != of[:-1])
+        yield a, b, x[new], np.concatenate(([0], np.cumsum(np.bincount(of[new], minlength=b - a))))
 
 
 class WordModel:
-    """Sorted hashes of the words that count, their weights and a bias."""
+    """Sorted hashes of the words and stems that count, their weights and a bias."""
 
     def __init__(self, words: np.ndarray, weights: np.ndarray, bias: float):
         self.words, self.weights, self.bias = words, weights, bias
 
-    def score(self, words: np.ndarray, bounds: np.ndarray, distinct: bool = True) -> np.ndarray:
-        z = np.full(len(bounds) - 1, self.bias)
-        if len(self.words) and len(words):
-            i = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-            hit = np.flatnonzero(self.words[i] == words)
-            of = np.searchsorted(bounds, hit, side="right") - 1
-            if not distinct:
-                pair = np.unique(of * len(self.words) + i[hit])
-                of, k = pair // len(self.words), pair % len(self.words)
-            else:
-                k = i[hit]
-            z += np.bincount(of, weights=self.weights[k], minlength=len(z))
+    def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        n = len(offsets) - 1
+        z = np.full(n, self.bias)
+        if len(self.words) and len(data):
+            sieve = np.zeros(1 << 16, dtype=bool)
+            sieve[(self.words & np.uint64(0xFFFF)).astype(np.int64)] = True
+            x, of = features(data, offsets)
+            maybe = np.flatnonzero(sieve[(x & np.uint64(0xFFFF)).astype(np.int64)])
+            x, of = x[maybe], of[maybe]
+            i = np.minimum(np.searchsorted(self.words, x), len(self.words) - 1)
+            hit = self.words[i] == x
+            pair = np.unique(of[hit] * len(self.words) + i[hit])
+            z += np.bincount(pair // len(self.words), weights=self.weights[pair % len(self.words)], minlength=n)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def choose_words(positive: list[np.ndarray], other: list[np.ndarray], size: int) -> np.ndarray:
-    """Words of three positive texts or more, by the G statistic of their presence, over the odds of chance first."""
+def choose_words(positive: list[np.ndarray], other: list[np.ndarray], size: int, prior: float) -> np.ndarray:
+    """Features of three positive texts or more of which, by the prior, half the texts that have them are toxic; the largest G statistics first."""
     p, pn = np.unique(np.concatenate(positive), return_counts=True)
     u, un = np.unique(np.concatenate(other), return_counts=True) if other else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     both = np.union1d(p, u)
@@ -73,9 +92,38 @@ def choose_words(positive: list[np.ndarray], other: list[np.ndarray], size: int)
         return np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(rows * r, 1e-9)), 0)
 
     g = 2 * (part(a, n, rate) + part(n - a, n, 1 - rate) + part(b, m, rate) + part(m - b, m, 1 - rate))
-    usable = (a >= 3) & (a / n > b / m) & (g > 2 * np.log(max(len(both), 2)))
-    pick = np.flatnonzero(usable)[np.argsort(-g[usable], kind="stable")[:size]]
-    return np.sort(both[pick])
+    usable = (a >= 3) & (prior * a / n >= 0.5 * (b + 1) / m) & (g > 2 * np.log(max(len(both), 2)))
+    pick = np.flatnonzero(usable)[np.argsort(-g[usable], kind="stable")]
+    # of features that the same positives have, the one that is rarest elsewhere, or else the longest
+    same = np.zeros(len(pick), dtype=np.uint64)
+    order = np.argsort(both[pick])
+    names = both[pick][order]
+    for i, s in enumerate(positive):
+        if len(names):
+            at = np.minimum(np.searchsorted(names, s), len(names) - 1)
+            same[order[at[names[at] == s]]] += mix(np.array([i + 1], dtype=np.uint64))[0]
+    best: dict[int, tuple] = {}
+    for rank, (k, i) in enumerate(zip(same.tolist(), pick.tolist(), strict=True)):
+        mine = (b[i], int(both[i] & _KIND), rank, i)
+        best[k] = min(best.get(k, mine), mine)
+    return np.sort(both[[v[3] for v in sorted(best.values(), key=lambda v: v[2])[:size]]])
+
+
+def without_copies(sets: list[np.ndarray], sketch: int = 16) -> list[np.ndarray]:
+    """The sets but those of whose `sketch` smallest features an earlier set has half, so that copies don't count as evidence."""
+    kept, holders = [], {}
+    for s in sets:
+        own = s[:sketch].tolist()
+        seen: dict[int, int] = {}
+        for x in own:
+            for k in holders.get(x, ()):
+                seen[k] = seen.get(k, 0) + 1
+        if own and max(seen.values(), default=0) * 2 >= len(own):
+            continue
+        for x in own:
+            holders.setdefault(x, []).append(len(kept))
+        kept.append(s)
+    return kept
 
 
 def nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, rounds: int = 600, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -113,15 +161,15 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, words, bounds in word_sets(batch.column(1)):
+            for a, b, words, bounds in feature_sets(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), to_binary(words, bounds)], names=["y", "words"])
 
     few = docs.join(F.broadcast(wanted), F.col(id_col) == F.col("i")).select("y", F.col(text_col).cast("string").alias("text"))
     rows = sorted(((r.y, bytes(r.words)) for r in map_arrow(few, run, "y int, words binary").collect()))
-    sets = {y: [np.frombuffer(w, dtype=np.uint64) for k, w in rows if k == y] for y in (0, 1)}
+    sets = {y: without_copies([np.frombuffer(w, dtype=np.uint64) for k, w in rows if k == y]) for y in (0, 1)}
     if not sets[1] or not sets[0]:
         return None
-    words = choose_words(sets[1], sets[0], VOCABULARY)
+    words = choose_words(sets[1], sets[0], VOCABULARY, prior)
 
     def matrix(rows: list[np.ndarray]) -> np.ndarray:
         x = np.zeros((len(rows), len(words)))
@@ -144,8 +192,7 @@ def toxicity_scores(docs: DataFrame, model: WordModel | None, id_col: str = "doc
             if own is not None:
                 data, offsets = utf8_parts(batch.column(2))
                 for a, b in chunks(offsets):
-                    words, _, _, begin = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], _BREAK)
-                    score[a:b] = own.score(words, begin, distinct=False)
+                    score[a:b] = own.score(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["doc_id", "held_out", "score"])
 
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, held_out boolean, score double")

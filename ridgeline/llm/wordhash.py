@@ -74,10 +74,19 @@ def chunks(offsets: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]
 
 def byte_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Running sums s, and powers p of the inverse base: (s[b] - s[a]) * p[a] is the hash of the bytes a..b, case kept."""
+    return _sums(data, _RAW)
+
+
+def folded_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """byte_sums() with A-Z as a-z."""
+    return _sums(data, _BYTE)
+
+
+def _sums(data: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     power, inverse = _powers(len(data) + 1)
     sums = np.empty(len(data) + 1, dtype=np.uint64)
     sums[0] = 0
-    np.cumsum(_RAW[data] * power[:-1], out=sums[1:])
+    np.cumsum(values[data] * power[:-1], out=sums[1:])
     return sums, inverse
 
 
@@ -98,10 +107,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPAC
     ends_at = offsets[1:][offsets[1:] > 0] - 1
     last[ends_at] = ~gap[ends_at]
     ends = np.flatnonzero(last) + 1
-    power, inverse = _powers(len(data) + 1)
-    sums = np.empty(len(data) + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE[data] * power[:-1], out=sums[1:])
+    sums, inverse = folded_sums(data)
     hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
     return hashes, starts, ends, np.searchsorted(starts, offsets)
 
