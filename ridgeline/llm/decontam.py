@@ -30,7 +30,7 @@ for _a, _b in ((48, 58), (65, 91), (97, 123)):
 #: Words of test items in a block that is broadcast at once.
 BLOCK_WORDS = 2_000_000
 #: Bytes of text in a shard, about; a longer text has a shard of its own.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 
 
 def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

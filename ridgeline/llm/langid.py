@@ -49,7 +49,7 @@ def family(lang: str) -> str:
 def trigrams(column: pa.Array, dims: int = DIMS) -> Iterator[np.ndarray]:
     """Rows of normalised square roots of the hashed trigram counts, for chunks of the column."""
     data, offsets = utf8_parts(column)
-    for a, b in chunks(offsets, 1 << 19):
+    for a, b in chunks(offsets, 1 << 19, 256):
         x = _FOLD[data[offsets[a] : offsets[b]]]
         m = b - a
         out = np.zeros((m, dims), dtype=np.float32)

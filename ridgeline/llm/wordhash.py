@@ -63,13 +63,14 @@ def utf8_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(offsets: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Row ranges of about `size` bytes each; a longer text stands alone."""
+def chunks(offsets: np.ndarray, size: int = 1 << 20, rows: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of at most `rows` rows and about `size` bytes each; a longer text stands alone."""
     n, a = len(offsets) - 1, 0
     while a < n:
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, side="right")) - 1)
-        yield a, min(b, n)
-        a = min(b, n)
+        b = min(b, n, a + rows)
+        yield a, b
+        a = b
 
 
 def byte_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
