@@ -212,7 +212,7 @@ def unmeasured_slopes(pieces: DataFrame) -> DataFrame:
     rows = rows.withColumn("before_m", F.lag("to_height_m").over(w)).withColumn("after_m", F.lead("from_height_m").over(w))
     runs = rows.where("none").groupBy("path_id", "island").agg(F.sum("length_m").alias("run_m"), F.min(F.struct("i", "before_m")).alias("a"), F.max(F.struct("i", "after_m")).alias("b"))
     slope = F.when((F.col("run_m") > 0) & F.col("a.before_m").isNotNull() & F.col("b.after_m").isNotNull(), S.clamp_slope((F.col("b.after_m") - F.col("a.before_m")) / F.col("run_m") * 100)).otherwise(0.0)
-    return rows.where("none").join(runs.select("path_id", "island", slope.alias("slope_pct")), ["path_id", "island"]).select("path_id", "i", "length_m", "slope_pct")
+    return rows.where("none").select("path_id", "i", "island", "length_m").join(runs.select("path_id", "island", slope.alias("slope_pct")), ["path_id", "island"]).select("path_id", "i", "length_m", "slope_pct")
 
 
 def path_stats(spans: DataFrame) -> DataFrame:
