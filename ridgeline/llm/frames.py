@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a slice of rows that a worker handles at once, about; a longer row stands alone.
+SLICE_BYTES = 4 << 20
 PACKAGE = Path(__file__).resolve().parent.parent
 
 
@@ -121,15 +123,16 @@ def release_memory() -> None:
 
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """df.mapInArrow() with the package at the executors' hands and the workers' memory released after each batch."""
+    """df.mapInArrow() with the package at the executors' hands, in slices of about SLICE_BYTES; the workers' memory is released after each."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def released() -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch
-                del batch
-                release_memory()
+                rows = max(1, min(batch.num_rows, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
+                for a in range(0, batch.num_rows, rows):
+                    yield batch.slice(a, rows)
+                    release_memory()
 
         yield from f(released())
         release_memory()
