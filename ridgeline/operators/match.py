@@ -216,7 +216,8 @@ def process_sessions(samples: DataFrame, segments: DataFrame, dem: DataFrame | N
     order = rides.select("session_id", "id", (S.micros(F.col("recorded_at")) / 1e6).alias("s"), *[f(c).over(w).alias(f"{n}_{c}") for f, n in ((F.lag, "before"), (F.lead, "after")) for c in ("id", "lon", "lat")])
     order = order.withColumn("before_s", F.lag("s").over(Window.partitionBy("session_id").orderBy("s", "id"))).withColumn("after_s", F.lead("s").over(Window.partitionBy("session_id").orderBy("s", "id")))
     runs = matched.groupBy(*key).agg(F.min(F.struct("at_s", "id")).alias("a"), F.max(F.struct("at_s", "id")).alias("b"), F.count("*").alias("samples"))
-    runs = runs.join(order.select("session_id", F.col("id").alias("fid"), "before_id", "before_lon", "before_lat", "before_s"), (runs.session_id == order.session_id) & (F.col("a.id") == F.col("fid"))).drop(order.session_id).drop("fid")
+    early = order.select(F.col("session_id").alias("sid"), F.col("id").alias("fid"), "before_id", "before_lon", "before_lat", "before_s")
+    runs = runs.join(early, (F.col("session_id") == F.col("sid")) & (F.col("a.id") == F.col("fid"))).drop("sid", "fid")
     late = order.select(F.col("session_id").alias("sid"), F.col("id").alias("lid"), "after_id", "after_lon", "after_lat", "after_s")
     runs = runs.join(late, (F.col("session_id") == F.col("sid")) & (F.col("b.id") == F.col("lid"))).drop("sid", "lid")
     landed = matched.select(F.col("session_id").alias("sid"), F.col("id").alias("lid"), F.col("segment_id").alias("landed"))
@@ -233,9 +234,21 @@ def process_sessions(samples: DataFrame, segments: DataFrame, dem: DataFrame | N
     if dem is not None:
         anchors = M.fit_anchor(M.residuals(passes, dem), "session_id", config)
         passes = M.anchored(passes, anchors)
-    return {"runs": profiles, "passes": passes.withColumn("match_id", F.xxhash64(*key)), "coverage": M.merge_coverage(good.select("segment_id", "direction", "covered_from_m", "covered_to_m")), "model": M.bucket_model(passes), "anchors": anchors, "discards": M.assess(profiles).where("NOT qualified")}
+    return {"runs": profiles, "passes": passes.withColumn("match_id", F.xxhash64(*key)), "coverage": M.merge_coverage(good.select("segment_id", "direction", "covered_from_m", "covered_to_m")), "model": M.bucket_model(passes), "anchors": anchors, "discards": profiles.where("NOT qualified")}
 
 
 def spike_ids(samples: DataFrame, min_cross_m: float, ratio: float) -> DataFrame:
     """Fixes that a position filter leaves out."""
     return spike_measures(samples).where(S.is_spike(F.col("cross_m"), F.col("chord_m"), min_cross_m, ratio)).select("session_id", "id")
+
+
+def nearest_edges(points: DataFrame, edges: DataFrame, reach_m: float = DEFAULT.max_match_distance_m) -> DataFrame:
+    """The nearest segment of each point (point_id, lon, lat) within reach, whatever its direction; ties to the lower id."""
+    reach = reach_m / 111_320.0 * 1.001
+    lon_pad = reach / F.greatest(F.lit(0.01), F.least(F.cos(F.radians("ay")), F.cos(F.radians("by"))))
+    size = max(CELL_DEG, reach)
+    span = lambda a, b, pad: F.explode(F.sequence(G.cell(F.least(a, b) - pad, size), G.cell(F.greatest(a, b) + pad, size)))
+    e = edges.withColumn("cx", span(F.col("ax"), F.col("bx"), lon_pad)).withColumn("cy", span(F.col("ay"), F.col("by"), F.lit(reach)))
+    near = points.select("point_id", "lon", "lat", G.cell(F.col("lon"), size).alias("cx"), G.cell(F.col("lat"), size).alias("cy")).join(e, ["cx", "cy"])
+    near = near.withColumn("d", G.point_to_edge_m(F.col("lon"), F.col("lat"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))).where(F.col("d") <= reach_m)
+    return near.groupBy("point_id").agg(F.min(F.struct("d", "segment_id")).alias("m")).select("point_id", "m.segment_id", F.col("m.d").alias("distance_m"))

@@ -278,3 +278,9 @@ def checked_ids(rows: DataFrame, column: str) -> DataFrame:
     c = F.col(column).cast("double")
     bad = c.isNull() | F.isnan(c) | (c < 0) | (c >= 2.0**53) | (c != F.floor(c))
     return rows.withColumn(column, F.when(bad, F.raise_error(F.concat(F.lit(f"{column} is no id: "), F.coalesce(F.col(column).cast("string"), F.lit("null"))))).otherwise(F.col(column).cast("long")))
+
+
+def ring(readings: DataFrame, capacity: int, key: str = "device_id", arrived: str = "arrived") -> DataFrame:
+    """The last `capacity` readings of each device by arrival, as a ring that overwrites its oldest would hold."""
+    w = Window.partitionBy(key).orderBy(F.desc(arrived))
+    return readings.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= capacity).drop("_r")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions import geo as G
 from ridgeline.functions import scalar as S
+from ridgeline.operators import clean as C
+from ridgeline.operators import diagnose as D
 from ridgeline.operators import match as X
 from ridgeline.operators import model as M
 from ridgeline.operators import network as N
 from ridgeline.operators import paths as P
 from ridgeline.operators import relational as R
+from ridgeline.operators import selection as E
 from ridgeline.operators import windows as W
 from ridgeline.plans.queries import BUCKET, EXTENTS, SPIKES, TRANS, color_sql, hav, query, rounded
 from ridgeline.sources import accesslog as L
@@ -407,3 +411,189 @@ def _(runs):
 @query("median_speed_by_run", "samples", "SELECT session_id, round(median(CASE WHEN speed_mps >= 0 THEN speed_mps END), 6) AS median_mps FROM samples GROUP BY 1")
 def _(samples):
     return rounded(samples.groupBy("session_id").agg(F.median(F.when(F.col("speed_mps") >= 0, F.col("speed_mps"))).alias("median_mps")), "median_mps")
+
+
+# --- one ride at a time, and graph searches: held against plain Python in the tests
+
+
+def _rows(samples):
+    """Rides of places a few metres apart, one fix a second."""
+    return samples.select("session_id", "id", F.timestamp_seconds(F.col("id") * 1.0).alias("recorded_at"), "lon", "lat", "elevation_m")
+
+
+@query("ride_reject_speeds", "samples")
+def _(samples):
+    return C.reject_speeds(_rows(samples)).select("session_id", "id")
+
+
+@query("ride_reject_heights", "samples")
+def _(samples):
+    return C.reject_heights(_rows(samples)).select("session_id", "id")
+
+
+@query("ride_smoothed", "samples")
+def _(samples):
+    return rounded(C.smooth(_rows(samples)).select("session_id", "id", "elevation_m"), "elevation_m")
+
+
+@query("ride_smoothed_causal", "samples")
+def _(samples):
+    return rounded(C.smooth_causal(_rows(samples)).select("session_id", "id", "elevation_m"), "elevation_m")
+
+
+@query("ride_passes", "run_fixes")
+def _(fixes):
+    rows = fixes.select((F.col("session_id") % 40).alias("session_id"), "segment_id", (S.micros(F.col("recorded_at")) / 8.64e10).alias("at_s"), "along_m", F.lit(0.0).alias("offset_m"))
+    return C.passes(rows)
+
+
+def _lines(segments):
+    return segments.where("canonical_segment_id IS NULL").withColumn("line", F.array(F.array("lon0", "lat0"), F.array("lon1", "lat1"))).withColumn("area", F.col("id") % 8)
+
+
+def _graph(segments, buckets, coverage, lines, runs):
+    ways = _lines(segments)
+    near = X.end_neighbours(ways, 5.0).join(ways.select(F.col("id").alias("segment_id"), "area"), "segment_id")
+    near = near.join(ways.select(F.col("id").alias("other"), F.col("area").alias("b")), "other").where("area = b").drop("b")
+    areas = ways.select(F.col("id").alias("segment_id"), "area")
+    extents = M.extents(buckets, coverage, lines).select("segment_id", "direction", "from_m", "to_m").join(areas, "segment_id")
+    return ways.select("area", "id", "line", "length_m", "street_name"), near, extents, W.transitions(runs).join(areas, "segment_id")
+
+
+@query("graph_grow", "segments buckets coverage lines runs")
+def _(segments, buckets, coverage, lines, runs):
+    ways = _lines(segments)
+    asked = ways.where("id < 400").select("area", F.col("id").alias("path_id"), F.col("id").alias("segment_id"), F.lit("forward").alias("direction"), F.lit(0.0).alias("at_m"))
+    return P.grow_all(asked, *_graph(segments, buckets, coverage, lines, runs))
+
+
+@query("graph_growth_census", "segments buckets coverage lines runs")
+def _(segments, buckets, coverage, lines, runs):
+    ways = _lines(segments)
+    asked = ways.select("area", F.col("id").alias("path_id"), F.col("id").alias("segment_id"), F.lit("forward").alias("direction"), F.lit(0.0).alias("at_m"))
+    return P.growth_census(P.grow_all(asked, *_graph(segments, buckets, coverage, lines, runs)))
+
+
+@query("graph_connect", "segments buckets coverage lines runs")
+def _(segments, buckets, coverage, lines, runs):
+    ways = _lines(segments)
+    asked = ways.select("area", F.col("id").alias("path_id"), F.col("id").alias("segment_id"), F.lit("forward").alias("direction"), F.lit(0.0).alias("at_m"), ((F.col("id") + 8 * 61) % 2000).alias("to_segment_id"), F.lit("forward").alias("to_direction"), F.lit(5.0).alias("to_m"))
+    return P.connect_all(asked, *_graph(segments, buckets, coverage, lines, runs))
+
+
+@query("path_steepest", "spans")
+def _(spans):
+    return rounded(P.steepest(_spans(spans)), "grade_pct", "at_m", places=5)
+
+
+@query("match_sessions", "samples segments")
+def _(samples, segments):
+    """Whole-session processing; the rides of the surrogate jump about, so that few runs qualify."""
+    rows = _rows(samples).withColumn("accuracy_m", F.lit(None).cast("double"))
+    ways = _lines(segments)
+    return X.process_sessions(rows, ways)["runs"].select("session_id", "run", "segment_id", "direction", "fixes", "qualified")
+
+
+@query("link_frontage", "segments")
+def _(segments):
+    ways = _lines(segments)
+    return rounded(N.frontage(ways.where("kind <> 'road'"), ways.where("kind = 'road'")), "metres")
+
+
+@query("link_plan", "segments")
+def _(segments):
+    ways = _lines(segments)
+    plan = N.link_plan(ways.where(N.fold_eligible(F.col("kind"), F.col("street_name"))), ways.where("kind = 'road'"))
+    return N.link_writes(N.decide(plan)).select("id", "action", "write_parent")
+
+
+# --- diagnosis
+
+
+@query("diagnose_hole_causes", "buckets run_fixes", f"""WITH bk AS (SELECT segment_id, direction, distance_m FROM buckets WHERE (segment_id + distance_m / 15) % 3 <> 0), ho AS (SELECT * FROM (SELECT segment_id, direction, distance_m AS from_m, lead(distance_m) OVER (PARTITION BY segment_id, direction ORDER BY distance_m) AS to_m FROM bk) WHERE to_m - from_m > 15),
+    pl AS (SELECT *, epoch_us(recorded_at) / 1e6 AS at_s, {BUCKET} AS b FROM run_fixes), pr AS (SELECT segment_id, direction, least(b, a) AS lo, greatest(b, a) AS hi FROM (SELECT segment_id, direction, b, lag(b) OVER (PARTITION BY match_id ORDER BY at_s, along_m) AS a FROM pl) WHERE a IS NOT NULL),
+    ls AS (SELECT segment_id, direction, b AS distance_m, count(*) FILTER (line_no = 3) AS dropped, count(*) FILTER (line_no > 3) AS elsewhere FROM pl GROUP BY 1, 2, 3)
+    SELECT ho.*, CASE WHEN EXISTS (SELECT 1 FROM pr WHERE pr.segment_id = ho.segment_id AND pr.direction = ho.direction AND lo <= from_m AND hi >= to_m) THEN 'crossed' WHEN EXISTS (SELECT 1 FROM ls WHERE ls.segment_id = ho.segment_id AND ls.direction = ho.direction AND ls.distance_m > from_m AND ls.distance_m < to_m AND dropped > 0) THEN 'dropped'
+      WHEN EXISTS (SELECT 1 FROM ls WHERE ls.segment_id = ho.segment_id AND ls.direction = ho.direction AND ls.distance_m > from_m AND ls.distance_m < to_m AND elsewhere > 0) THEN 'elsewhere' ELSE 'between-runs' END AS cause FROM ho""")
+def _(buckets, fixes):
+    holes = W.interior_holes(buckets.where((F.col("segment_id") + F.col("distance_m") / 15) % 3 != 0))
+    placed = fixes.select("match_id", "segment_id", "direction", (S.micros(F.col("recorded_at")) / 1e6).alias("at_s"), "along_m", F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat"))
+    losses = fixes.groupBy("segment_id", "direction", S.bucket(F.col("along_m")).alias("distance_m")).agg(F.count_if(F.col("line_no") == 3).alias("dropped"), F.count_if(F.col("line_no") > 3).alias("elsewhere"))
+    return D.hole_causes(holes, W.straddling_pairs(holes, placed), losses).select("segment_id", "direction", "from_m", "to_m", "cause")
+
+
+FATES = "ft AS (SELECT segment_id, direction, (match_id % 10) / 10e0 AS share FROM runs WHERE session_id % 90 = 0), ln AS (SELECT segment_id, direction, CAST(segment_id * 2 AS DOUBLE) AS length_m FROM runs GROUP BY 1, 2)"
+
+
+def _fates(runs):
+    fates = runs.where("session_id % 90 = 0").select("segment_id", "direction", (F.col("match_id") % 10 / 10.0).alias("share"))
+    return runs.select("segment_id", "direction").distinct().withColumn("length_m", F.col("segment_id") * 2.0), fates
+
+
+@query("diagnose_line_verdicts", "runs", f"WITH {FATES} SELECT ln.segment_id, ln.direction, ln.length_m, CASE WHEN count(share) = 0 THEN CASE WHEN ln.length_m < 25 THEN 'no-witness' ELSE 'phantom' END WHEN min(share) >= 0.5 THEN 'next-door' ELSE 'real-loss' END AS verdict FROM ln LEFT JOIN ft ON ft.segment_id = ln.segment_id AND ft.direction = ln.direction GROUP BY 1, 2, 3")
+def _(runs):
+    return D.line_verdicts(*_fates(runs))
+
+
+@query("diagnose_sensitivity", "runs", f"WITH {FATES} SELECT s AS share, verdict, count(*) AS lines FROM (SELECT s, ln.segment_id, ln.direction, CASE WHEN count(share) = 0 THEN CASE WHEN any_value(ln.length_m) < 25 THEN 'no-witness' ELSE 'phantom' END WHEN min(share) >= s THEN 'next-door' ELSE 'real-loss' END AS verdict FROM ln CROSS JOIN (SELECT unnest([0.3e0, 0.7e0]) AS s) LEFT JOIN ft ON ft.segment_id = ln.segment_id AND ft.direction = ln.direction GROUP BY 1, 2, 3) GROUP BY 1, 2")
+def _(runs):
+    return D.sensitivity(*_fates(runs), [0.3, 0.7])
+
+
+@query("diagnose_run_fates", "runs", f"WITH {FATES} SELECT ln.segment_id, ln.direction, CASE WHEN count(share) = 0 THEN 'unknown' WHEN min(share) >= 0.5 THEN 'drawn-elsewhere' ELSE 'drawn-nowhere' END AS fate FROM ln LEFT JOIN ft ON ft.segment_id = ln.segment_id AND ft.direction = ln.direction GROUP BY 1, 2")
+def _(runs):
+    return D.run_fates(*_fates(runs)).drop("length_m")
+
+
+@query("diagnose_judged_admissions", "runs", """WITH r AS (SELECT match_id, session_id % 40 AS session_id, segment_id, direction, epoch_us(started_at) / 1e6 AS started, epoch_us(ended_at) / 1e6 + 9e6 AS ended FROM runs), a AS (SELECT * FROM r WHERE match_id % 5 = 0), p AS (SELECT * FROM r WHERE match_id % 5 = 1)
+    SELECT a.match_id, CASE WHEN count(p.match_id) FILTER (p.direction = a.direction) > 0 THEN 'witnessed' WHEN count(p.match_id) > 0 THEN 'denied' ELSE 'unjudgeable' END AS judged FROM a LEFT JOIN p ON p.session_id = a.session_id AND p.segment_id = a.segment_id AND a.started <= p.ended AND p.started <= a.ended GROUP BY 1""")
+def _(runs):
+    r = runs.select("match_id", (F.col("session_id") % 40).alias("session_id"), "segment_id", "direction", (S.micros(F.col("started_at")) / 1e6).alias("started"), (S.micros(F.col("ended_at")) / 1e6 + 9e6).alias("ended"))
+    return D.judged_admissions(r.where("match_id % 5 = 0"), r.where("match_id % 5 = 1").drop("match_id")).select("match_id", "judged")
+
+
+@query("diagnose_faithful_buckets", "buckets pass_buckets", """WITH x AS (SELECT segment_id, direction, distance_m, avg(elevation_m) AS e, count(*) AS n FROM pass_buckets WHERE session_id % 50 <> 0 GROUP BY 1, 2, 3) SELECT b.segment_id, b.direction, b.distance_m, coalesce(b.sample_count = x.n AND abs(b.elevation_m - x.e) < 0.05, false) AS faithful FROM buckets b LEFT JOIN x ON x.segment_id = b.segment_id AND x.direction = b.direction AND x.distance_m = b.distance_m""")
+def _(buckets, passes):
+    return D.faithful_buckets(buckets, M.bucket_model(passes.where("session_id % 50 <> 0"))).select("segment_id", "direction", "distance_m", "faithful")
+
+
+@query("model_discard_report", "runs segments", """WITH q AS (SELECT r.*, greatest(0e0, from_m) AS a, least(r.length_m, to_m) AS b, s.kind FROM runs r JOIN segments s ON s.id = r.segment_id), k AS (SELECT session_id, segment_id, direction, greatest(0e0, max(b) - min(a)) AS span FROM q GROUP BY 1, 2, 3)
+    SELECT kind, count(*) FILTER (span >= 25 OR span / length_m >= 0.7e0) AS fragments, count(*) FILTER (NOT (span >= 25 OR span / length_m >= 0.7e0)) AS touches, count(*) AS runs FROM q JOIN k ON k.session_id = q.session_id AND k.segment_id = q.segment_id AND k.direction = q.direction WHERE NOT (span_m >= 25 OR span_m / length_m >= 0.7e0) GROUP BY 1""")
+def _(runs, segments):
+    rows = M.assess(runs.withColumn("covered_from_m", F.greatest(F.lit(0.0), "from_m")).withColumn("covered_to_m", F.least("length_m", "to_m")))
+    return R.discard_report(R.reach(rows).join(segments.select(F.col("id").alias("segment_id"), "kind"), "segment_id"))
+
+
+# --- selections
+
+
+def _path_pieces(spans):
+    rows = W.running_metres(spans)
+    return rows.withColumns({"from_m": F.lit(2.0), "to_m": F.col("length_m") + 2, "rides": F.col("segment_id") + 1, "last_us": F.col("segment_id") * 1000})
+
+
+@query("selection_append", "spans", f"""WITH {'sp0 AS (SELECT *, slope_pct * length_m / 100 AS rise_m FROM spans)'}, u AS (SELECT path_id % 150 AS path_id, path_id >= 150 AS late, i, length_m, rise_m FROM sp0), o AS (SELECT path_id, late, i, length_m, rise_m FROM u)
+    SELECT path_id, CAST(row_number() OVER w AS BIGINT) AS n, coalesce(sum(length_m) OVER p, 0) AS at_m, round(coalesce(sum(rise_m) OVER p, 0), 6) + 0e0 AS height_m FROM o WINDOW w AS (PARTITION BY path_id ORDER BY late, i), p AS (PARTITION BY path_id ORDER BY late, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def _(spans):
+    rows = _spans(spans).withColumn("piece", F.col("i"))
+    a, b = rows.where("path_id < 150"), rows.where("path_id >= 150").withColumn("path_id", F.col("path_id") - 150)
+    both = E.appended(a, b)
+    n = F.row_number().over(Window.partitionBy("path_id").orderBy("i")).cast("long")
+    return rounded(both.select("path_id", n.alias("n"), "at_m", "height_m"), "height_m")
+
+
+@query("selection_pieces_at", "spans", f"""WITH {'sp AS (SELECT *, coalesce(sum(length_m) OVER (PARTITION BY path_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_m FROM spans)'}, t AS (SELECT path_id, max(i) AS l FROM sp GROUP BY 1), m AS (SELECT DISTINCT path_id, x AS m FROM spans, (SELECT unnest([0e0, 33.3e0, 200.7e0, 1e7]) AS x))
+    SELECT m.path_id, m.m, min(i) AS i, arg_min(segment_id, i) AS segment_id, arg_min(direction, i) AS direction, round(arg_min(2 + least(greatest(0, m.m - at_m), length_m), i), 6) AS on_line_m FROM m JOIN sp ON sp.path_id = m.path_id JOIN t ON t.path_id = m.path_id WHERE m.m <= at_m + length_m OR i = l GROUP BY 1, 2""")
+def _(spans):
+    points = spans.select("path_id").distinct().select("path_id", F.explode(F.array(*[F.lit(x) for x in (0.0, 33.3, 200.7, 1e7)])).alias("m"))
+    return rounded(E.pieces_at(_path_pieces(spans), points), "on_line_m")
+
+
+@query("selection_rides", "spans", "SELECT path_id, min(segment_id + 1) FILTER (source <> 'none') AS rides_min, max(segment_id + 1) FILTER (source <> 'none') AS rides_max, max(segment_id * 1000) AS last_us FROM spans GROUP BY 1")
+def _(spans):
+    return E.rides_of(_path_pieces(spans))
+
+
+@query("selection_segment_ids", "spans", "WITH f AS (SELECT path_id, segment_id, min(i) AS i FROM spans GROUP BY 1, 2) SELECT path_id, string_agg(CAST(segment_id AS VARCHAR), ',' ORDER BY i) AS ids FROM f GROUP BY 1")
+def _(spans):
+    return E.segment_ids(_path_pieces(spans)).select("path_id", F.array_join(F.col("segment_ids").cast("array<string>"), ",").alias("ids"))
