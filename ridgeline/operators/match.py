@@ -12,6 +12,7 @@ from ridgeline.functions import geo as G
 from ridgeline.functions import scalar as S
 from ridgeline.operators import network as N
 from ridgeline.operators.windows import derived_headings, spike_measures
+from ridgeline.plans.storage import saved
 
 #: Degrees of a grid cell: more than the match distance at any latitude that has streets.
 CELL_DEG = 0.0005
@@ -153,8 +154,8 @@ def match_runs(fixes: DataFrame, found: DataFrame, touching: DataFrame, config:
     A session's candidates and the adjacency among their segments are grouped together: one ride, one group."""
     nested = found.groupBy("session_id", F.col("fix_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("segment_id", "direction", "distance_m"))).alias("found"))
     rows = fixes.select("session_id", "id", (S.micros(F.col("recorded_at")) / 1e6).alias("at_s")).join(nested, ["session_id", "id"], "left")
-    used = found.select("session_id", "segment_id").distinct()
-    pairs = used.join(touching, "segment_id").select("session_id", "segment_id", "other")
+    used = found.select(F.col("session_id").alias("ride"), "segment_id").distinct()
+    pairs = used.join(touching, "segment_id").select("ride", "segment_id", "other")
 
     def run(key: tuple, ride: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
         touch: dict[int, set[int]] = {}
@@ -167,7 +168,7 @@ def match_runs(fixes: DataFrame, found: DataFrame, touching: DataFrame, config:
                 out.append((key[0], r.id, r.at_s, *got))
         return pd.DataFrame(out, columns=["session_id", "id", "at_s", "run", "segment_id", "direction"])
 
-    return rows.groupBy("session_id").cogroup(pairs.groupBy("session_id")).applyInPandas(run, "session_id long, id long, at_s double, run int, segment_id long, direction string")
+    return rows.groupBy("session_id").cogroup(pairs.groupBy("ride")).applyInPandas(run, "session_id long, id long, at_s double, run int, segment_id long, direction string")
 
 
 def stitch(matched: DataFrame, window_s: float = DEFAULT.stitch_window_s) -> DataFrame:
@@ -201,15 +202,15 @@ def process_sessions(samples: DataFrame, segments: DataFrame, dem: DataFrame | N
     from ridgeline.operators import clean as C
     from ridgeline.operators import model as M
 
-    rides = derived_headings(C.cleaned(samples, config), config)
-    found = candidates(admissible(rides, "derived_deg", config), segment_edges(segments, config), "derived_deg", config)
-    ends = end_neighbours(segments, config.endpoint_snap_m)
+    rides = saved(derived_headings(C.cleaned(samples, config), config))
+    found = saved(candidates(admissible(rides, "derived_deg", config), segment_edges(segments, config), "derived_deg", config))
+    ends = saved(end_neighbours(segments, config.endpoint_snap_m))
     ok = admissible(rides, "derived_deg", config)
-    matched = stitch(match_runs(ok, found, adjacency(ends), config), config.stitch_window_s)
+    matched = saved(stitch(match_runs(ok, found, adjacency(ends), config), config.stitch_window_s))
     places = rides.select("session_id", "id", "lon", "lat", "elevation_m")
     lines = segments.select(F.col("id").alias("segment_id"), "line", "length_m")
     flip = lambda df: df.withColumn("along_m", F.when(F.col("direction") == "forward", F.col("along_m")).otherwise(F.col("length_m") - F.col("along_m")))
-    on = flip(located(matched.join(places, ["session_id", "id"]).join(lines.select("segment_id", "length_m"), "segment_id"), lines))
+    on = saved(flip(located(matched.join(places, ["session_id", "id"]).join(lines.select("segment_id", "length_m"), "segment_id"), lines)))
     key = ["session_id", "run", "segment_id", "direction"]
     # the fixes just before and after each run in the cleaned ride, and where they landed
     w = Window.partitionBy("session_id").orderBy("recorded_at", "id")
@@ -227,9 +228,9 @@ def process_sessions(samples: DataFrame, segments: DataFrame, dem: DataFrame | N
     beside = flip(located(beside[0].unionByName(beside[1]).join(lines.select("segment_id", "length_m"), "segment_id"), lines))
     profiles = M.assess(M.run_profile(on, key, beside), config)
     through = M.passages(runs.select(*key, F.col("a.id").alias("first_sample_id"), F.col("b.id").alias("last_sample_id"), "before_segment", "before_gap_s", "after_segment", "after_gap_s"), ends, config)
-    profiles = M.clamp_to_passage(profiles.join(through, key))
+    profiles = saved(M.clamp_to_passage(profiles.join(through, key)))
     good = profiles.where("qualified")
-    passes = M.bucketize(on, key, config.bucket_m).join(good.select(*key), key, "left_semi")
+    passes = saved(M.bucketize(on, key, config.bucket_m).join(good.select(*key), key, "left_semi"))
     anchors = None
     if dem is not None:
         anchors = M.fit_anchor(M.residuals(passes, dem), "session_id", config)

@@ -40,7 +40,7 @@ def assess(profiles: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
 
 def clamp_to_passage(profiles: DataFrame) -> DataFrame:
     """Coverage reaches an end of the line that the run entered or left through (entered_through, exited_through); it never narrows."""
-    return profiles.withColumn("covered_from_m", F.when("entered_through", 0.0).otherwise(F.col("covered_from_m"))).withColumn("covered_to_m", F.when("exited_through", F.col("length_m")).otherwise(F.col("covered_to_m")))
+    return profiles.withColumn("covered_from_m", F.when(F.col("entered_through"), 0.0).otherwise(F.col("covered_from_m"))).withColumn("covered_to_m", F.when(F.col("exited_through"), F.col("length_m")).otherwise(F.col("covered_to_m")))
 
 
 def passages(runs: DataFrame, neighbours: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:

@@ -77,20 +77,22 @@ MODE_OUT = "session_id long, at_s double, mode string"
 MODE_STATE = "mode string, switched_s double, heading double"
 
 
-def turn_modes(stream: DataFrame, turn_deg: float = 20.0, cooldown_s: float = 5.0) -> DataFrame:
+def turn_modes(stream: DataFrame, turn_deg: float = 20.0, cooldown_s: float = 5.0, delay: str = "1 hour") -> DataFrame:
     """When each ride's sampling switches between cruise and turn: a turn of `turn_deg` between fixes enters turn mode,
     `cooldown_s` without one leaves it, and switches are `cooldown_s` apart at least.
 
-    State is three values a session, dropped an hour after its last fix.  Fixes: session_id, at_s, heading_deg."""
+    State is three values a session, dropped once the watermark is an hour past its last fix.  Fixes: session_id,
+    recorded_at, heading_deg."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         mode, switched, heading = state.get if state.exists else ("cruise", float("-inf"), float("nan"))
-        out = []
+        out, last = [], 0.0
         for frame in frames:
             for r in frame.sort_values("at_s").itertuples(index=False):
+                last = max(last, r.at_s)
                 if pd.isna(r.heading_deg):
                     continue
                 turned = abs((r.heading_deg - heading + 540) % 360 - 180) if not pd.isna(heading) else 0.0
@@ -100,10 +102,11 @@ def turn_modes(stream: DataFrame, turn_deg: float = 20.0, cooldown_s: float = 5.
                     mode, switched = wanted, r.at_s
                     out.append((key[0], r.at_s, mode))
         state.update((mode, switched, heading))
-        state.setTimeoutDuration(3_600_000)
+        state.setTimeoutTimestamp(max(int(last * 1000) + 3_600_000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["session_id", "at_s", "mode"])
 
-    return stream.groupBy("session_id").applyInPandasWithState(run, MODE_OUT, MODE_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = stream.withWatermark("recorded_at", delay).select("session_id", "recorded_at", (S.micros(F.col("recorded_at")) / 1e6).alias("at_s"), "heading_deg")
+    return rows.groupBy("session_id").applyInPandasWithState(run, MODE_OUT, MODE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def health_verdict(path, registered, hz, used_share, repaired):
