@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm.frames import map_arrow
 
-#: Documents that fill the frequent table, and its entries, at most.
+#: Documents that fill the frequent table (and of each row of counts), and its entries, at most.
 TABLE_ROWS = 2_000
+TABLE_CHUNK = 500
 TABLE_ENTRIES = 1 << 16
 #: Entries of a worker's cache, at most; longer pre-tokens aren't kept.
 CACHE_ENTRIES = 1 << 18
@@ -90,18 +91,33 @@ def splits_at_spaces(model: bytes) -> bool:
 
 
 def frequent_lengths(texts: DataFrame, model: bytes) -> dict[str, int]:
-    """The most frequent pre-tokens of at most TABLE_ROWS texts, with their lengths."""
+    """The most frequent pre-tokens of at most TABLE_ROWS texts, with their lengths.
+
+    Workers turn TABLE_CHUNK texts at a time into one row of counts; take() reads no more partitions than it needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, seen = PieceCounter(model, {}), Counter()
+        counter = PieceCounter(model, {})
+
+        def row(seen: Counter) -> pa.RecordBatch:
+            top = seen.most_common(TABLE_ENTRIES)
+            return pa.RecordBatch.from_arrays([pa.array([[w for w, _ in top]], pa.list_(pa.string())), pa.array([[n for _, n in top]], pa.list_(pa.int64())), pa.array([[counter[w] for w, _ in top]], pa.list_(pa.int32()))], names=["words", "counts", "lengths"])
+
+        seen, held = Counter(), 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 seen.update(w for w in counter.split(text or "") if 0 < len(w) <= CACHED_CHARS)
-        top = seen.most_common(TABLE_ENTRIES)
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([counter[w] for w, _ in top], pa.int32())], names=["word", "n"])
-
-    few = texts.limit(TABLE_ROWS).repartition(1)
-    return {r.word: r.n for r in map_arrow(few, run, "word string, n int").collect()}
+                held += 1
+                if held == TABLE_CHUNK:
+                    yield row(seen)
+                    seen, held = Counter(), 0
+        if held:
+            yield row(seen)
+
+    every, lengths = Counter(), {}
+    for r in map_arrow(texts, run, "words array<string>, counts array<long>, lengths array<int>").take(TABLE_ROWS // TABLE_CHUNK):
+        every.update(dict(zip(r.words, r.counts, strict=True)))
+        lengths.update(zip(r.words, r.lengths, strict=True))
+    return {w: lengths[w] for w, _ in every.most_common(TABLE_ENTRIES)}
 
 
 def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
