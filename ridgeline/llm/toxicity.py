@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm.decontam import _BREAK
 from ridgeline.llm.frames import binary, map_arrow, to_binary
-from ridgeline.llm.labelled import held_out, sample, share
+from ridgeline.llm.labelled import held_out, lowest, sample, share
 from ridgeline.llm.wordhash import chunks, folded_sums, mix, utf8_parts, word_hashes
 
 POSITIVES, UNLABELLED, VOCABULARY = 1_500, 4_000, 512
@@ -156,8 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     if prior is None:
         prior = share(labels, label_col, id_col)
         prior = PRIOR if prior is None or prior == 1 else min(max(prior, 0.01), 0.5)
-    ids = docs.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).cast("long").alias("i")).orderBy(F.xxhash64("i", F.lit(1)), "i").limit(UNLABELLED).collect()
-    wanted = spark.createDataFrame([(i, 1) for i in toxic] + [(i, 0) for i in sorted({r.i for r in ids})], "i long, y int")
+    ids = lowest(docs.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).cast("long").alias("doc_id")), UNLABELLED, 1)
+    wanted = spark.createDataFrame([(i, 1) for i in toxic] + [(i, 0) for i in sorted(set(ids))], "i long, y int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
