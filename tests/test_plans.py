@@ -32,6 +32,6 @@ def test_no_products(spark, sf, name):
 
 def test_columns_are_pruned_and_filters_pushed(spark, sf):
     text = formatted(Q.QUERIES["line_slopes"](spark, sf))
-    assert set(re.findall(r"(\w+):", re.search(r"ReadSchema: struct<([^>]*)>", text)[1])) == {"l_partkey", "l_quantity", "l_extendedprice", "l_linestatus"}
+    assert set(re.findall(r"(\w+):", re.search(r"ReadSchema: struct<([^>]*)>", text)[1])) == {"l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_linestatus"}
     text = formatted(model_table(spark, sf, "samples").where("session_id = 5").select("id"))
     assert "EqualTo(user_id,5)" in text and "props" not in re.search(r"ReadSchema: struct<([^>]*)>", text)[1]
