@@ -99,6 +99,20 @@ def end_neighbours(segments: DataFrame, snap_m: float = DEFAULT.endpoint_snap_m)
     return found.distinct()
 
 
+def components(neighbours: DataFrame) -> DataFrame:
+    """(segment_id, area) of every segment that touches another: area is the least id that it is connected with.
+
+    Least labels among neighbours, then the label of that label; every round is cut by a checkpoint."""
+    ways = saved(neighbours.select("segment_id", "other").union(neighbours.select("other", "segment_id")).distinct())
+    labels = saved(ways.groupBy("segment_id").agg(F.min("other").alias("m")).select("segment_id", F.least("segment_id", "m").alias("area"), F.lit(True).alias("changed")))
+    while labels.where("changed").limit(1).count():
+        near = ways.join(labels.select("segment_id", "area"), "segment_id").select(F.col("other").alias("segment_id"), "area", F.lit(None).cast("long").alias("was"))
+        least = near.union(labels.select("segment_id", "area", F.col("area").alias("was"))).groupBy("segment_id").agg(F.min("area").alias("area"), F.max("was").alias("was"))
+        far = least.select(F.col("segment_id").alias("area"), F.col("area").alias("beyond"))
+        labels = saved(least.join(far, "area").select("segment_id", F.least("area", "beyond").alias("area"), (F.least("area", "beyond") < F.col("was")).alias("changed")))
+    return labels.select("segment_id", "area")
+
+
 def adjacency(neighbours: DataFrame) -> DataFrame:
     """Segments that touch at either end."""
     return neighbours.select("segment_id", "other").distinct()

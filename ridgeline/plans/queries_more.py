@@ -17,6 +17,7 @@ from ridgeline.operators import relational as R
 from ridgeline.operators import selection as E
 from ridgeline.operators import windows as W
 from ridgeline.plans.queries import BUCKET, EXTENTS, SPIKES, TRANS, color_sql, hav, query, rounded
+from ridgeline.plans.storage import saved
 from ridgeline.sources import accesslog as L
 
 # --- predicates
@@ -448,37 +449,44 @@ def _(fixes):
 
 
 def _lines(segments):
-    return segments.where("canonical_segment_id IS NULL").withColumn("line", F.array(F.array("lon0", "lat0"), F.array("lon1", "lat1"))).withColumn("area", F.col("id") % 8)
+    return segments.where("canonical_segment_id IS NULL").withColumn("line", F.array(F.array("lon0", "lat0"), F.array("lon1", "lat1")))
 
 
 def _graph(segments, buckets, coverage, lines, runs):
+    """Lines, neighbours, extents and moves; an area is all that is connected, so no path leaves it."""
     ways = _lines(segments)
-    near = X.end_neighbours(ways, 5.0).join(ways.select(F.col("id").alias("segment_id"), "area"), "segment_id")
-    near = near.join(ways.select(F.col("id").alias("other"), F.col("area").alias("b")), "other").where("area = b").drop("b")
-    areas = ways.select(F.col("id").alias("segment_id"), "area")
+    near = saved(X.end_neighbours(ways, 5.0))
+    areas = ways.select(F.col("id").alias("segment_id")).join(X.components(near), "segment_id", "left")
+    areas = saved(areas.withColumn("area", F.coalesce("area", "segment_id")))
     extents = M.extents(buckets, coverage, lines).select("segment_id", "direction", "from_m", "to_m").join(areas, "segment_id")
-    return ways.select("area", "id", "line", "length_m", "street_name"), near, extents, W.transitions(runs).join(areas, "segment_id")
+    ways = ways.join(areas.withColumnRenamed("segment_id", "id"), "id").select("area", "id", "line", "length_m", "street_name")
+    return ways, near.join(areas, "segment_id"), extents, W.transitions(runs).join(areas, "segment_id")
+
+
+def _from_all(ways):
+    """One request for every line: forward from its start."""
+    return ways.select("area", F.col("id").alias("path_id"), F.col("id").alias("segment_id"), F.lit("forward").alias("direction"), F.lit(0.0).alias("at_m"))
 
 
 @query("graph_grow", "segments buckets coverage lines runs")
 def _(segments, buckets, coverage, lines, runs):
-    ways = _lines(segments)
-    asked = ways.where("id < 400").select("area", F.col("id").alias("path_id"), F.col("id").alias("segment_id"), F.lit("forward").alias("direction"), F.lit(0.0).alias("at_m"))
-    return P.grow_all(asked, *_graph(segments, buckets, coverage, lines, runs))
+    graph = _graph(segments, buckets, coverage, lines, runs)
+    return P.grow_all(_from_all(graph[0]), *graph)
 
 
 @query("graph_growth_census", "segments buckets coverage lines runs")
 def _(segments, buckets, coverage, lines, runs):
-    ways = _lines(segments)
-    asked = ways.select("area", F.col("id").alias("path_id"), F.col("id").alias("segment_id"), F.lit("forward").alias("direction"), F.lit(0.0).alias("at_m"))
-    return P.growth_census(P.grow_all(asked, *_graph(segments, buckets, coverage, lines, runs)))
+    graph = _graph(segments, buckets, coverage, lines, runs)
+    return P.growth_census(P.grow_all(_from_all(graph[0]), *graph))
 
 
 @query("graph_connect", "segments buckets coverage lines runs")
 def _(segments, buckets, coverage, lines, runs):
-    ways = _lines(segments)
-    asked = ways.select("area", F.col("id").alias("path_id"), F.col("id").alias("segment_id"), F.lit("forward").alias("direction"), F.lit(0.0).alias("at_m"), ((F.col("id") + 8 * 61) % 2000).alias("to_segment_id"), F.lit("forward").alias("to_direction"), F.lit(5.0).alias("to_m"))
-    return P.connect_all(asked, *_graph(segments, buckets, coverage, lines, runs))
+    """From every line to the one whose id is 488 further, counted round after the last id; a target that is folded into another line has no way."""
+    graph = _graph(segments, buckets, coverage, lines, runs)
+    ids = F.broadcast(segments.agg((F.max("id") + 1).alias("ids")))
+    asked = _from_all(graph[0]).crossJoin(ids).withColumn("to_segment_id", (F.col("segment_id") + 8 * 61) % F.col("ids")).drop("ids")
+    return P.connect_all(asked.withColumns({"to_direction": F.lit("forward"), "to_m": F.lit(5.0)}), *graph)
 
 
 @query("path_steepest", "spans")

@@ -21,9 +21,12 @@ from ridgeline.operators import paths as P
 from ridgeline.operators import relational as R
 from ridgeline.operators import selection as E
 from ridgeline.operators import windows as W
+from ridgeline.plans import queries as plans
+from ridgeline.plans import queries_more  # noqa: F401  registers more queries
 from ridgeline.plans import requests as Q
 from ridgeline.plans.engine import Engine
 from ridgeline.sources import accesslog, dem, network_files, snapshot
+from ridgeline.sources.surrogate import model_table
 from ridgeline.streaming import ingest
 
 LON0, LAT0 = -104.82, 38.82
@@ -226,6 +229,36 @@ def test_nearest_edges(spark):
 # --- paths
 
 
+def test_components(spark):
+    links = spark.createDataFrame([(9, "end", 4), (4, "start", 30), (30, "end", 17), (8, "end", 16)], "segment_id long, which string, other long")
+    assert {tuple(r) for r in X.components(links).collect()} == {(4, 4), (9, 4), (17, 4), (30, 4), (8, 8), (16, 8)}
+
+
+@pytest.mark.parametrize("most", [P.REQUESTS, 20])
+def test_paths_of_all_lines_over_the_whole_network(spark, sf, monkeypatch, most):
+    """Every line is asked for, and each answer is that of one graph of all lines and all neighbours."""
+    monkeypatch.setattr(P, "REQUESTS", most)
+    table = lambda n: model_table(spark, sf, n)
+    segments = table("segments")
+    ways = segments.where("canonical_segment_id IS NULL")
+    line = F.array(F.array("lon0", "lat0"), F.array("lon1", "lat1")).alias("line")
+    extents = M.extents(table("buckets"), table("coverage"), table("lines")).select("segment_id", "direction", "from_m", "to_m")
+    frames = [t.toPandas() for t in (ways.select("id", line, "length_m", "street_name"), X.end_neighbours(ways, 5.0), extents, W.transitions(table("runs")))]
+    graph = P.build_graph(*frames)
+    last = segments.agg(F.max("id")).first()[0]
+    grown, joined = [], []
+    for i in frames[0].id:
+        pieces, reason, *_ = graph.grow((i, "forward"), 0.0)
+        grown += [(i, k, *p[0], p[1], p[2], reason) for k, p in enumerate(pieces)] or [(i, None, i, "forward", None, None, reason)]
+        way = graph.connect((i, "forward"), 0.0, ((i + 488) % (last + 1), "forward"), 5.0) or []
+        joined += [(i, k, *p[0], p[1], p[2], "connected") for k, p in enumerate(way)]
+    key = lambda r: (r[0], r[1] or 0)
+    for name, want in (("graph_grow", grown), ("graph_connect", joined)):
+        got = plans.QUERIES[name](spark, sf).select("path_id", "i", "segment_id", "direction", "from_m", "to_m", "reason").collect()
+        assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    assert sum(r.paths for r in plans.QUERIES["graph_growth_census"](spark, sf).collect()) == len(frames[0])
+
+
 def grid(extents, moves=(), box=None):
     segments = pd.DataFrame([dict(zip(("id", "line", "length_m", "street_name"), (s[0], s[8], s[13], s[3]), strict=True)) for s in TOWN])
     ends = pd.DataFrame([(1, "end", 2), (1, "end", 3), (2, "start", 1), (2, "start", 3), (3, "start", 1), (3, "start", 2)], columns=["segment_id", "which", "other"])
