@@ -20,18 +20,22 @@ from ridgeline.llm.frames import map_arrow
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "guess")
-#: An added value costs so many bits at least, and has so many characters.
+#: An added value costs so many bits at least, and in the weaker contexts has so many characters.
 MIN_BITS = 42.0
 MIN_CHARS = 8
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Weaker contexts, whose values count only if they are hard to guess.
-CONTEXT = re.compile(
-    r"(?:\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|credentials?|auth(?:orization)?|bearer|token|(?:private|access|api|account|client)[_ -]?(?:key|secret|token))\b[\"']?(?:\x20*(?:[:=]|=>|:=)\x20*|\x20+(?:is\x20+)?)[\"'`]?|://[^\s:/@]+:)([^\s\"'`,;<>|@]{8,})",
-    re.ASCII | re.IGNORECASE,
-)
+_NAMES = r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|credentials?|auth(?:orization)?|bearer|token|(?:private|access|api|account|client)[_ -]?(?:key|secret|token))"
+#: A name, prefixed or not, with an explicit sign after it: what follows is a value, whole in its quotes or up to white space.
+EXPLICIT = re.compile(_NAMES + r"\b[\"']?\x20*(?:=>|:=|[:=])\x20*(?=[^\s:=])", re.ASCII | re.IGNORECASE)
+VALUE = re.compile(r"\"((?:[^\"\\\n]|\\.)+)\"|'((?:[^'\\\n]|\\.)+)'|`([^`\n]+)`|[\"'`]?(\S+)")
+#: The password of an address that names its host.
+LOGIN = re.compile(r"://[^\s:/@]*:([^\s/?#]+)@", re.ASCII)
+#: Weaker contexts, whose values count only with a digit and two classes of characters.
+CONTEXT = re.compile(rf"(?:\b{_NAMES}\b[\"']?\x20+(?:is\x20+)?[\"'`]?|://[^\s:/@]+:)([^\s\"'`,;<>|@]{{8,}})", re.ASCII | re.IGNORECASE)
+_CLOSING = ".,:;!?)]}>\"'`"
 _HINTS = ("pass", "pwd", "secret", "credential", "auth", "bearer", "token", "key", "://")
 
 #: Words by how early a guesser tries them.
@@ -115,8 +119,10 @@ def _classes(value: str) -> int:
 def spans(text: str | None) -> list[tuple[str, int, int, int, int, float | None]]:
     """(kind, start, end, value's start, value's end, bits of the value) by start, then kind; no spans for a null text.
 
-    Base kinds as they match; kind "guess" for a value in a credential context that no base span touches, has two
-    classes of characters and costs MIN_BITS.  Only values in a credential context have bits."""
+    Base kinds as they match; kind "guess" for a value in a credential context that costs MIN_BITS and that no base value
+    or guess before it holds whole.  After an explicit sign, and in an address with a host, the cost alone decides; after
+    a name and a space a value also has MIN_CHARS, two classes of characters and a digit, and ends at ,;<>|@ or a quote.
+    Only values in a credential context have bits."""
     if not text:
         return []
     found = []
@@ -129,18 +135,27 @@ def spans(text: str | None) -> list[tuple[str, int, int, int, int, float | None]
         found += [("access", m.start(), m.end(), m.start(), m.end(), None) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [("hex", m.start(), m.end(), m.start(), m.end(), None) for m in HEX.finditer(text)]
     if any(h in lower for h in _HINTS):
-        taken = sorted((s[1], s[2]) for s in found)
-        k = 0
+        values = []
+        for m in EXPLICIT.finditer(text):
+            v = VALUE.match(text, m.end())
+            if v is not None:
+                values.append((*v.span(v.lastindex), v.lastindex == 4))
+        values = [(a, a + len(text[a:b].rstrip(_CLOSING)) if bare else b) for a, b, bare in values]
+        values += [m.span(1) for m in LOGIN.finditer(text)]
         for m in CONTEXT.finditer(text):
-            a, b = m.span(1)
             value = m[1].rstrip(".,:;!?)")
-            b = a + len(value)
-            while k < len(taken) and taken[k][1] <= a:
+            if len(value) >= MIN_CHARS and _classes(value) >= 2 and any(c.isdigit() for c in value):
+                values.append((m.start(1), m.start(1) + len(value)))
+        base = sorted((s[3], s[4]) for s in found)
+        end = k = 0
+        for a, b in sorted(set(values), key=lambda v: (v[0], -v[1])):
+            while k < len(base) and base[k][1] <= a:
                 k += 1
-            if len(value) < MIN_CHARS or (k < len(taken) and taken[k][0] < b) or _classes(value) < 2 or not any(c.isdigit() for c in value):
+            if b <= end or (k < len(base) and base[k][0] <= a and b <= base[k][1]):
                 continue
-            if (bits := guess_bits(value)) >= MIN_BITS:
+            if (bits := guess_bits(text[a:b])) >= MIN_BITS:
                 found.append(("guess", a, b, a, b, bits))
+                end = b
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

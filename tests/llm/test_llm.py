@@ -165,6 +165,21 @@ def test_secret_spans(spark):
     assert rows[7].n_guess == 2 and rows[8].n_guess == 1 and rows[9].n_guess == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ("passphrase: xQvRtLmWpZkYbHdN", "xQvRtLmWpZkYbHdN"), ("DB_PASSWORD=x!9#kLmQ2$w", "x!9#kLmQ2$w"), ("password: Gk@vw0tq!Zx9", "Gk@vw0tq!Zx9"), ("password: P@ssw0rd!Zx9", None), ("dbPassword=Kq7,zR;x<9|w>T2v", "Kq7,zR;x<9|w>T2v"),
+        ("token=abcdefQ7@kLm!x2;Zr9 rest", "abcdefQ7@kLm!x2;Zr9"), ("passwd = 'xq zv \\' wk, jh pt' rest", "xq zv \\' wk, jh pt"), ('{"secret": "x@Q,vR;tLmWpZk"}', "x@Q,vR;tLmWpZk"),
+        ("see ftp://bob:xQvRt@LmWpZkYb@host/a", "xQvRt@LmWpZkYb"), ("password: password123", None), ("the token economy2 grows", None), ("password = \nnext", None),
+    ],
+)
+def test_cost_alone_decides_after_an_explicit_sign(text, value):
+    assert [text[s[3] : s[4]] for s in secrets.spans(text) if s[0] == "guess"] == ([] if value is None else [value])
+    if value is not None:
+        clean = secrets.redacted(text)
+        assert value not in clean and value[-5:] not in clean
+
+
 def test_guess_cost():
     bits = secrets.guess_bits
     assert bits("password") < bits("passw0rd") < bits("Xq9$kLm2") and bits("") == 0
