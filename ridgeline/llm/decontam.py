@@ -29,6 +29,8 @@ for _a, _b in ((48, 58), (65, 91), (97, 123)):
 
 #: Words of test items in a block that is broadcast at once.
 BLOCK_WORDS = 2_000_000
+#: Words within which the required terms of an item are a proximity match, in the registered query.
+SLOP = 16
 #: Bytes of text in a shard, about; a longer text has a shard of its own.
 SHARD_BYTES = 4 << 20
 
@@ -114,10 +116,9 @@ class Shard:
         return live[which[ok]], at[ok]
 
     def near(self, terms: np.ndarray, slop: int) -> np.ndarray:
-        """Positions of the rarest of the shard's term numbers that has all others within `slop` words in its document."""
+        """Positions of the first of the shard's term numbers that have all others within `slop` words in their document."""
         if not len(terms) or (terms < 0).any():
             return np.zeros(0, dtype=np.int64)
-        terms = terms[np.argsort(self.bounds[terms + 1] - self.bounds[terms], kind="stable")]
         at = self.positions[self.bounds[terms[0]] : self.bounds[terms[0] + 1]]
         doc = np.searchsorted(self.starts, at, side="right")
         lo, hi = np.maximum(at - slop, self.starts[doc - 1]), np.minimum(at + slop, self.starts[doc] - 1)
@@ -174,17 +175,53 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, width: int) -> Ite
         yield Items(ids, pa.array(texts, pa.string()), width)
 
 
+def corpus_counts(index: DataFrame, terms: np.ndarray) -> np.ndarray:
+    """How often each of the sorted `terms` occurs in all documents of an index, combined before the shuffle."""
+    every = index.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(every.value), dtype=np.int64)
+        for batch in batches:
+            for own, bounds in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n[np.searchsorted(every.value, np.frombuffer(own, dtype="<u8"))] += np.diff(np.frombuffer(bounds, dtype="<i8"))
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["term", "n"])
+
+    total = map_arrow(index.select("terms", "bounds"), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(terms), dtype=np.int64)
+    out[total.column("term").to_numpy()] = total.column("n").to_numpy()
+    return out
+
+
+def required_terms(block: Items, terms: np.ndarray, counts: np.ndarray, near_terms: int) -> list[np.ndarray]:
+    """For each item, the numbers of the `near_terms` of its terms that are rarest in the corpus, of those that occur in it; none where fewer occur than it takes."""
+    n = counts[np.searchsorted(terms, block.terms)]
+    out = []
+    for words in block.lists:
+        mine = np.unique(words)
+        some = mine[n[mine] > 0]
+        some = some[np.argsort(n[some], kind="stable")[:near_terms]]
+        out.append(some if len(some) == min(near_terms, len(mine)) else some[:0])
+    return out
+
+
 def contamination(docs: DataFrame, items: DataFrame, *, width: int = 13, slop: int | None = None, near_terms: int = 4, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, n_hit, items (sorted distinct item ids with an occurring window), hits (start, end of the hit stretches, in words) and near (item_id, at), which is empty without `slop`.
 
     A window is `width` consecutive words of an item, or all words of a shorter one.  A null or wordless text has no
     words and no hits; an item with a null id, or without words, is left out; items that repeat an id count once.
-    Documents with null or repeated ids keep their rows.  Extra columns are left out."""
+    Documents with null or repeated ids keep their rows.  Extra columns are left out.
+
+    A proximity match of an item is a place in a document where the rarest of its required terms (see required_terms)
+    has all the others within `slop` words; terms are ranked by their counts in all documents, so a match doesn't depend
+    on how the documents are dealt."""
     context = docs.sparkSession.sparkContext
     blocks = list(item_blocks(items, item_id_col, item_text_col, width))
     terms = np.unique(np.concatenate([b.terms for b in blocks])) if blocks else np.zeros(0, np.uint64)
     index = positional_index(docs, id_col, text_col, terms)
     shared = [context.broadcast(b) for b in blocks]
+    counts = corpus_counts(index, terms) if slop is not None else None
+    required = [context.broadcast(required_terms(b, terms, counts, near_terms)) for b in blocks] if slop is not None else []
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     near_kind = pa.list_(pa.struct([("item_id", pa.int64()), ("at", pa.int64())]))
 
@@ -198,7 +235,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, width: int = 13, slop: i
                 hit: list[tuple[np.ndarray, np.ndarray]] = []
                 got: list[np.ndarray] = []
                 close: list[np.ndarray] = []
-                for b in shared:
+                for k, b in enumerate(shared):
                     block: Items = b.value
                     number = shard.numbers(block.terms)
                     for m, (windows, pair) in block.windows.items():
@@ -210,11 +247,8 @@ def contamination(docs: DataFrame, items: DataFrame, *, width: int = 13, slop: i
                         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                         got.append(np.unique(np.stack((np.repeat(d, n), block.ids[pair[1][np.repeat(lo, n) + inner]])), axis=1))
                     if slop is not None:
-                        for i, words in enumerate(block.lists):
-                            mine = np.unique(words)
-                            mine = number[mine]
-                            size = np.where(mine >= 0, bounds[mine + 1] - bounds[mine], 0)
-                            at = shard.near(mine[np.argsort(size, kind="stable")[:near_terms]], slop)
+                        for i, mine in enumerate(required[k].value):
+                            at = shard.near(number[mine], slop)
                             close.append(np.stack((np.searchsorted(starts, at, side="right") - 1, np.full(len(at), block.ids[i]), at)))
                 yield _per_document(ids, none, starts, hit, got, close, kind, near_kind)
 
@@ -257,6 +291,13 @@ def op9_benchmark_decontamination(docs: DataFrame, items: DataFrame) -> DataFram
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).alias("contaminated"))
 
 
+def op9_benchmark_proximity(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_near, n_near_items, near_items: the proximity matches within SLOP words, and the items that they are of, by id."""
+    found = contamination(docs, items, width=13, slop=SLOP)
+    ids = F.array_sort(F.array_distinct(F.col("near.item_id")))
+    return found.select("doc_id", F.size("near").cast("long").alias("n_near"), F.size(ids).cast("long").alias("n_near_items"), F.array_join(ids.cast("array<string>"), ",").alias("near_items"))
+
+
 def sha256_of_ids(ids: list[int]) -> str:
     return hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()
 

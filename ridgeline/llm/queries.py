@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ridgeline.llm.chat import OP5_SQL, op5_chat_formatting
-from ridgeline.llm.decontam import OP9_SQL, op9_benchmark_decontamination
+from ridgeline.llm.decontam import OP9_SQL, op9_benchmark_decontamination, op9_benchmark_proximity
 from ridgeline.llm.frames import table
 from ridgeline.llm.iblt import op8_document_fingerprints
 from ridgeline.llm.jaccard import OP1_SQL, op1_ngram_jaccard_join
@@ -38,5 +38,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def more_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Second results of an operator, beside those that SQL and tests fix."""
+    return {"op9_benchmark_proximity": _on(op9_benchmark_proximity, "documents", "benchmark")}
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op1_ngram_jaccard_join": OP1_SQL, "op5_chat_formatting": OP5_SQL, "op9_benchmark_decontamination": OP9_SQL, "op10_source_mixing": OP10_SQL}

@@ -323,6 +323,21 @@ def test_decontamination_in_blocks_and_near(spark, odd, monkeypatch):
     assert decontam.contamination(docs, bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
 
+def test_proximity_does_not_depend_on_the_deal(spark, monkeypatch):
+    """Item 1 has the terms a b c d e f; e and f are the commonest, so that a b c d are required wherever a document is."""
+    texts = ["a x b c y d", "a a b", "e e e e f f f f", "d c b a e f", "a b c " + "z " * 40 + "d", "f e " * 9, "b c d"]
+    items = spark.createDataFrame([(1, "a b c d e f"), (2, "q r s t a"), (3, "x y")], "item_id long, text string")
+    places = []
+    for parts, size in ((1, decontam.SHARD_BYTES), (7, 1)):
+        monkeypatch.setattr(decontam, "SHARD_BYTES", size)
+        docs = frame(spark, texts).repartition(parts)
+        got = {(x.doc_id, m.item_id, m.at) for x in decontam.contamination(docs, items, slop=8).collect() for m in x.near}
+        assert {g[:2] for g in got} == {(0, 1), (0, 3), (3, 1)}
+        places.append(got)
+    assert places[0] == places[1]
+    assert {x.doc_id: x.near_items for x in decontam.op9_benchmark_proximity(docs, items).collect()} == {0: "1,3", 1: "", 2: "", 3: "1", 4: "", 5: "", 6: ""}
+
+
 def test_mixing_targets(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 100), ("c", 1000), (None, 500), ("d", 0)], "source string, size long")
     got = {x.source: x.target for x in mixing.source_targets(sizes, 1.5, mixing.WEIGHTS, 2.0).collect()}
