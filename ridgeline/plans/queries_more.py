@@ -489,6 +489,12 @@ def _(segments, buckets, coverage, lines, runs):
     return P.connect_all(asked.withColumns({"to_direction": F.lit("forward"), "to_m": F.lit(5.0)}), *graph)
 
 
+@query("graph_leave_one_out_all", "runs")
+def _(runs):
+    """Every session's moves, against the history of all the others."""
+    return P.leave_one_out(W.transitions(runs))
+
+
 @query("path_steepest", "spans")
 def _(spans):
     return rounded(P.steepest(_spans(spans)), "grade_pct", "at_m", places=5)

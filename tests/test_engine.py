@@ -2,6 +2,7 @@
 
 import json
 import math
+from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -234,6 +235,21 @@ def test_components(spark):
     assert {tuple(r) for r in X.components(links).collect()} == {(4, 4), (9, 4), (17, 4), (30, 4), (8, 8), (16, 8)}
 
 
+def test_leave_one_out_of_all_sessions(spark, sf):
+    made = set(map(tuple, W.transitions(model_table(spark, sf, "runs")).collect()))
+    rode = defaultdict(lambda: defaultdict(set))
+    for session, segment, direction, *following in made:
+        rode[segment, direction][tuple(following)].add(session)
+    want = Counter()
+    for session, segment, direction, *following in made:
+        counts = Counter({n: len(s - {session}) for n, s in rode[segment, direction].items()})
+        top = max(counts.values())
+        leaders = [n for n, k in counts.items() if k == top]
+        want["stopped" if top == 0 or len(leaders) > 1 else "right" if leaders[0] == tuple(following) else "wrong"] += 1
+    assert {r.verdict: r.moves for r in plans.QUERIES["graph_leave_one_out_all"](spark, sf).collect()} == want
+    assert sum(want.values()) == len(made)
+
+
 @pytest.mark.parametrize("most", [P.REQUESTS, 20])
 def test_paths_of_all_lines_over_the_whole_network(spark, sf, monkeypatch, most):
     """Every line is asked for, and each answer is that of one graph of all lines and all neighbours."""
