@@ -495,6 +495,43 @@ def _(runs):
     return P.leave_one_out(W.transitions(runs))
 
 
+# --- two halves of a whole table, beside the slices that SQL fixes: odd and even sessions, each row on one side
+
+
+def _halves(rows):
+    return [rows.where(F.col("session_id") % 2 == k) for k in (0, 1)]
+
+
+@query("model_changed_lines_all", "runs")
+def _(runs):
+    return R.changed_lines(*_halves(runs))
+
+
+@query("model_witness_disagreement_all", "runs")
+def _(runs):
+    return R.witness_disagreement(*_halves(runs))
+
+
+@query("join_interval_overlap_all", "runs")
+def _(runs):
+    at = runs.select("match_id", "segment_id", "direction", "session_id", (S.micros(F.col("started_at")) / 1e6).alias("started"), (S.micros(F.col("ended_at")) / 1e6 + 86400 * 3).alias("ended"))
+    a, b = _halves(at)
+    return R.overlapping(a, b.withColumnRenamed("match_id", "run_id").drop("session_id"), ["segment_id", "direction"]).select("match_id", "run_id")
+
+
+@query("join_fixes_in_interval_all", "samples")
+def _(samples):
+    at = (S.micros(F.col("recorded_at")) / 1e6).alias("at_s")
+    windows = samples.select("session_id", F.col("id").alias("window_id"), at.alias("started")).withColumn("ended", F.col("started") + 90000)
+    return R.fixes_within(windows, samples.select("session_id", "id", at), "session_id", 100_000).select("window_id", "id")
+
+
+@query("barometer_windowed_altitude_all", "readings")
+def _(readings):
+    fixes = readings.select(F.col("event_id").alias("fix_id"), (F.col("at_ms") + 100).alias("at_ms"))
+    return rounded(R.readings_near(fixes, readings.select("at_ms", "hpa")), "altitude_m", "mean_offset_ms")
+
+
 @query("path_steepest", "spans")
 def _(spans):
     return rounded(P.steepest(_spans(spans)), "grade_pct", "at_m", places=5)
@@ -559,6 +596,34 @@ def _(runs):
     return D.run_fates(*_fates(runs)).drop("length_m")
 
 
+def _all_fates(runs):
+    fates = runs.select("segment_id", "direction", (F.col("match_id") % 10 / 10.0).alias("share"))
+    return runs.select("segment_id", "direction").distinct().withColumn("length_m", F.col("segment_id") * 2.0), fates
+
+
+@query("diagnose_line_verdicts_all", "runs")
+def _(runs):
+    return D.line_verdicts(*_all_fates(runs))
+
+
+@query("diagnose_sensitivity_all", "runs")
+def _(runs):
+    return D.sensitivity(*_all_fates(runs), [0.3, 0.7])
+
+
+@query("diagnose_run_fates_all", "runs")
+def _(runs):
+    return D.run_fates(*_all_fates(runs)).drop("length_m")
+
+
+@query("diagnose_judged_admissions_all", "runs")
+def _(runs):
+    """Odd and even blocks of 40 sessions: sessions are compared by their place in a block, so that both halves have each."""
+    r = runs.select("match_id", "session_id", "segment_id", "direction", (S.micros(F.col("started_at")) / 1e6).alias("started"), (S.micros(F.col("ended_at")) / 1e6 + 9e6).alias("ended"))
+    a, b = [r.where(F.floor(F.col("session_id") / 40) % 2 == k).withColumn("session_id", F.col("session_id") % 40) for k in (0, 1)]
+    return D.judged_admissions(a, b.drop("match_id")).select("match_id", "judged")
+
+
 @query("diagnose_judged_admissions", "runs", """WITH r AS (SELECT match_id, session_id % 40 AS session_id, segment_id, direction, epoch_us(started_at) / 1e6 AS started, epoch_us(ended_at) / 1e6 + 9e6 AS ended FROM runs), a AS (SELECT * FROM r WHERE match_id % 5 = 0), p AS (SELECT * FROM r WHERE match_id % 5 = 1)
     SELECT a.match_id, CASE WHEN count(p.match_id) FILTER (p.direction = a.direction) > 0 THEN 'witnessed' WHEN count(p.match_id) > 0 THEN 'denied' ELSE 'unjudgeable' END AS judged FROM a LEFT JOIN p ON p.session_id = a.session_id AND p.segment_id = a.segment_id AND a.started <= p.ended AND p.started <= a.ended GROUP BY 1""")
 def _(runs):
