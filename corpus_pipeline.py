@@ -21,7 +21,8 @@ from ridgeline.llm.langid import detect, fit
 from ridgeline.llm.mixing import mix
 from ridgeline.llm.secrets import redact
 
-#: A document whose language is less sure than this is rejected, as is one without a letter.
+#: A document whose language is less sure than this is rejected, as is one without a letter.  With two families of at most
+#: two languages each, no score is lower, so that only documents without a letter are rejected.
 MIN_LANGUAGE_SCORE = 0.25
 #: Ids of a decision that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
@@ -42,7 +43,7 @@ def _joined(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; those without a letter, or of no sure language, go.  A missing lang is filled in."""
+    """Documents with a letter; a text of a language that wasn't learnt stays, under the learnt one that it is nearest to, unless its score is below MIN_LANGUAGE_SCORE.  A missing lang is filled in."""
     model = fit(docs, F.lit(True))
     found = detect(docs, model, lang_as="_lang", score_as="_score").where((F.col("_lang") != "und") & (F.col("_score") >= MIN_LANGUAGE_SCORE))
     return found.withColumn("lang", F.coalesce("lang", "_lang")).select(docs.columns)
