@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of a slice of rows that a worker handles at once, about; a longer row stands alone.
 SLICE_BYTES = 4 << 20
+#: Rows (of a few numbers each) of a side that is broadcast in joined(); rows of a key beyond which it is dealt over salts.
+BROADCAST_ROWS = 300_000
+HOT_ROWS = 50_000
 PACKAGE = Path(__file__).resolve().parent.parent
 
 
@@ -45,6 +48,25 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def joined(many: DataFrame, one: DataFrame, on: str, how: str = "inner", *, small: bool = True) -> DataFrame:
+    """many.join(one, on, how) where `one` has a key once at most and `many` may have a key in any share of its rows.
+
+    `one` is broadcast if it has BROADCAST_ROWS at most (small=False: never, for wide rows).  Otherwise the rows of a key
+    that `many` has more than HOT_ROWS times are dealt over salts by a hash of the row, and the row of `one` is repeated
+    for each salt.  Both frames are read more than once: give saved ones, or plain columns of a table."""
+    if small and one.count() <= BROADCAST_ROWS:
+        return many.join(F.broadcast(one), on, how)
+    hot = many.groupBy(on).agg(F.count("*").alias("_salts")).where(F.col("_salts") > HOT_ROWS).select(on, F.ceil(F.col("_salts") / HOT_ROWS).cast("long").alias("_salts"))
+    hot = saved(hot.where(F.col(on).isNotNull()))
+    if not hot.limit(1).count():
+        return many.join(one, on, how)
+    hot = F.broadcast(hot)  # a row for HOT_ROWS rows of `many` at most
+    salts = F.coalesce("_salts", F.lit(1))
+    dealt = many.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(*many.columns), salts)).drop("_salts")
+    copied = one.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("_salts")
+    return dealt.join(copied, [on, "_salt"], how).drop("_salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ridgeline.llm import chat, decontam, iblt, jaccard, langid, mixing, quality, secrets, tokens, toxicity
+from ridgeline.llm import chat, decontam, frames, iblt, jaccard, langid, mixing, quality, secrets, tokens, toxicity
 from ridgeline.llm.labelled import held_out
 from ridgeline.llm.wordhash import shingle_sets
 
@@ -82,7 +82,12 @@ def test_jaccard_against_brute_force(spark, odd, seed):
 
 
 def test_jaccard_small_limits_and_all_links(spark, odd, monkeypatch):
-    """Salted postings, several blocks and few list names give the same; complete=True gives every link."""
+    """Salted postings and joins, several blocks and slots give the same; complete=True gives every link."""
+    monkeypatch.setattr(frames, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(frames, "HOT_ROWS", 5)
+    monkeypatch.setattr(jaccard, "SLOT", 3)
+    monkeypatch.setattr(jaccard, "SAMPLED", 2)
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
     monkeypatch.setattr(jaccard, "HOT_FROM", 3)
     monkeypatch.setattr(jaccard, "BLOCK", 2)
     r = random.Random(9)
