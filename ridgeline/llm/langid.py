@@ -24,7 +24,6 @@ DIMS = 2048
 TRAIN_PER_LANG = 600
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32
-LETTER = re.compile(r"[^\W\d_]")
 
 #: ISO 639-1 codes by family; a code that isn't listed is a family of its own.
 FAMILIES = {
@@ -42,6 +41,11 @@ FAMILIES = {
 FAMILY_OF = {code: f for f, codes in FAMILIES.items() for code in codes.split()}
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a character of the text is a letter (general category L; numbers like ½ or Ⅷ are none)."""
+    return bool(text) and any(map(str.isalpha, text))
+
+
 def family(lang: str) -> str:
     return FAMILY_OF.get(re.split(r"[-_]", lang.lower())[0], lang)
 
@@ -124,24 +128,25 @@ class Hierarchy:
 
 
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = TRAIN_PER_LANG) -> Hierarchy | None:
-    """A hierarchy learnt from rows with `learn`, a language and a letter: per_lang of each language at most, chosen by a hash of text."""
+    """A hierarchy learnt from rows with `learn`, a language and a letter: per_lang of each language at most, chosen by a hash of the text; equal texts count once."""
     pool = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r.lang: r.n for r in pool.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
     # a first draw near the bound for each language; what is over is dropped on the driver
     odds = F.create_map(*[x for s, n in sorted(counts.items()) for x in (F.lit(s), F.lit(min(1.0, 1.2 * per_lang / n + 20 / n)))])
-    draw = pool.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.length(text_col)), F.lit(1_000_003)) / 1_000_003.0 < odds[F.col(lang_col)])
+    own = pool.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    draw = own.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003.0 < odds[F.col("lang")]).dropDuplicates()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            has = pa.array([bool(LETTER.search(t)) for t in batch.column(1).to_pylist()])
+            has = pa.array([has_letter(t) for t in batch.column(1).to_pylist()], pa.bool_())
             batch = batch.filter(has)
             if batch.num_rows:
                 x = np.concatenate(list(trigrams(batch.column(1))))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
-    rows = map_arrow(draw.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text")), run, "lang string, x binary").collect()
+    rows = map_arrow(draw, run, "lang string, x binary").collect()
     rows = sorted((r.lang, bytes(r.x)) for r in rows)
     kept, seen = [], dict.fromkeys(counts, 0)
     for r in sorted(rows, key=lambda r: hash_key(r[1])):
@@ -177,7 +182,7 @@ def detect(docs: DataFrame, model: Hierarchy | None, text_col: str = "text", *,
                 got = [hierarchy.predict(x) for x in trigrams(texts)]
                 lang, score = np.concatenate([g[0] for g in got]), np.clip(np.concatenate([g[1] for g in got]), 0, 1)
                 for i, t in enumerate(texts.to_pylist()):
-                    if not t or not LETTER.search(t):
+                    if not has_letter(t):
                         lang[i], score[i] = "und", 0.0
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score.astype(np.float64))], names=[*batch.schema.names, lang_as, score_as])
 
