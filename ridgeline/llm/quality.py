@@ -2,8 +2,8 @@
 
 Bytes are embedded; learned filters of WIDTH bytes run over overlapping chunks of CHUNK bytes that cover the whole
 document; each filter's response is rectified and max-pooled over its chunk.  The mean and the maximum over the chunks
-go through one logistic unit.  The network is trained on the driver, by Adam, from TRAIN_ROWS documents of each label at
-most with TRAIN_CHUNKS chunks of each; scoring always covers every byte.
+go through one logistic unit.  The network is trained on the driver, by Adam, from all chunks of TRAIN_ROWS documents of
+each label at most, of those with TRAIN_BYTES bytes at most; scoring always covers every byte.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from ridgeline.llm.wordhash import chunks, utf8_parts
 
 CHUNK, OVERLAP = 512, 64
 EMBED, WIDTH, STRIDE, FILTERS = 6, 8, 2, 16
-TRAIN_ROWS, TRAIN_CHUNKS, EPOCHS = 600, 8, 12
+#: The sample that the network learns from: documents of each label, at most, and the bytes of the longest of them.
+TRAIN_ROWS, TRAIN_BYTES, EPOCHS = 600, 1 << 16, 12
 
 
 def chunk_starts(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +87,8 @@ class ByteNet:
                 n = np.array([len(docs[j]) for j in batch])
                 of = np.repeat(np.arange(len(batch)), n)
                 first = np.cumsum(n) - n
-                pooled, at = self.pool(rows, True)
+                parts = [self.pool(rows[k : k + 256], True) for k in range(0, len(rows), 256)]
+                pooled, at = (np.concatenate([x[c] for x in parts]) for c in (0, 1))
                 mean, most = np.add.reduceat(pooled, first, axis=0) / n[:, None], np.maximum.reduceat(pooled, first, axis=0)
                 u = np.concatenate((mean, most), axis=1)
                 prob = 1 / (1 + np.exp(-np.clip(u @ self.p["out"] + self.p["bias"], -30, 30)))
@@ -109,30 +111,24 @@ class ByteNet:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> ByteNet | None:
-    """A network learnt from rows that aren't held out; none where a label is missing altogether."""
+    """A network learnt from rows that aren't held out; none where a label is missing altogether.
+
+    Documents of more than TRAIN_BYTES bytes aren't learnt from; of rows that repeat an id, the least text is."""
     ids = {i: y for y in (0, 1) for i in sample(labels, label_col, y, rows, id_col)}
     if len(set(ids.values())) < 2:
         return None
     spark = docs.sparkSession
-    wanted = spark.createDataFrame(sorted(ids.items()), "i long, y int")
+    wanted = spark.createDataFrame(sorted(ids.items()), "doc_id long, y int")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8_parts(batch.column(2))
-            doc, start = chunk_starts(offsets)
-            out = []
-            for d in range(batch.num_rows):
-                own = start[doc == d]
-                pick = own[np.random.default_rng(len(own)).permutation(len(own))[:TRAIN_CHUNKS]]
-                out.append(chunk_bytes(data, offsets, np.full(len(pick), d), pick).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["i", "y", "chunks"])
-
-    few = docs.join(F.broadcast(wanted), F.col(id_col) == F.col("i")).select("i", "y", F.col(text_col).cast("string").alias("text"))
-    got = {r.i: (r.y, bytes(r.chunks)) for r in sorted(map_arrow(few, run, "i long, y int, chunks binary").collect(), key=lambda r: (r.i, bytes(r.chunks)))}
-    if len({y for y, _ in got.values()}) < 2:
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    few = own.where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    got = sorted((r.doc_id, r.y, r.text) for r in few.collect())
+    if len({y for _, y, _ in got}) < 2:
         return None
-    order = sorted(got)
-    return ByteNet().fit([np.frombuffer(got[i][1], dtype=np.uint8).reshape(-1, CHUNK) for i in order], np.array([got[i][0] for i in order], dtype=np.float32))
+    data, offsets = utf8_parts(pa.array([t for _, _, t in got], pa.large_string()))
+    doc, start = chunk_starts(offsets)
+    rows = chunk_bytes(data, offsets, doc, start)
+    return ByteNet().fit(np.split(rows, np.flatnonzero(doc[1:] != doc[:-1]) + 1), np.array([y for _, y, _ in got], dtype=np.float32))
 
 
 def quality_scores(docs: DataFrame, model: ByteNet | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
