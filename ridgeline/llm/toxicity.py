@@ -2,7 +2,7 @@
 
 A text becomes the set of its words (lower case) and of the words' first few bytes, so that forms of one stem count alike.  The classifier is logistic over VOCABULARY of them that tell confirmed
 toxic texts from the unlabelled ones best, trained in numpy from POSITIVES confirmed toxic texts and UNLABELLED texts
-of any kind at most (labels 0 aren't used, but for the class prior).  The risk is p R+(positives) + max(0,
+of any kind at most, of those with TRAIN_BYTES bytes at most (labels 0 aren't used, but for the class prior).  The risk is p R+(positives) + max(0,
 R-(unlabelled) - p R-(positives)), with the class prior p; where the second part falls below 0, the step goes up it.
 """
 
@@ -20,7 +20,9 @@ from ridgeline.llm.frames import binary, map_arrow, to_binary
 from ridgeline.llm.labelled import held_out, lowest, sample, share
 from ridgeline.llm.wordhash import chunks, folded_sums, mix, utf8_parts, word_hashes
 
-POSITIVES, UNLABELLED, VOCABULARY = 1_500, 4_000, 512
+#: The sample that the classifier learns from: rows of each kind, at most, and the bytes of the longest of their texts.
+POSITIVES, UNLABELLED, TRAIN_BYTES = 1_500, 4_000, 1 << 14
+VOCABULARY = 512
 STEMS = (4, 5, 6, 7)
 #: The last bits of a feature: 0 for a word, else 8 less the bytes of the stem.
 _KIND = np.uint64(7)
@@ -148,6 +150,7 @@ def nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, rounds: int = 600, penalt
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", prior: float | None = None) -> WordModel | None:
     """A model learnt from confirmed toxic rows and unlabelled ones, none of them held out; none without a toxic row.
 
+    Texts of more than TRAIN_BYTES bytes aren't learnt from; of rows that repeat an id, the least text is.
     The prior is that of the labels which aren't held out (kept within 0.01 and 0.5), PRIOR where they hold only toxic rows."""
     toxic = sample(labels, label_col, 1, POSITIVES, id_col)
     if not toxic:
@@ -157,14 +160,15 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
         prior = share(labels, label_col, id_col)
         prior = PRIOR if prior is None or prior == 1 else min(max(prior, 0.01), 0.5)
     ids = lowest(docs.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).cast("long").alias("doc_id")), UNLABELLED, 1)
-    wanted = spark.createDataFrame([(i, 1) for i in toxic] + [(i, 0) for i in sorted(set(ids))], "i long, y int")
+    wanted = spark.createDataFrame([(i, 1) for i in toxic] + [(i, 0) for i in sorted(set(ids))], "doc_id long, y int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, words, bounds in feature_sets(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), to_binary(words, bounds)], names=["y", "words"])
 
-    few = docs.join(F.broadcast(wanted), F.col(id_col) == F.col("i")).select("y", F.col(text_col).cast("string").alias("text"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    few = own.where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("y", "text")
     rows = sorted(((r.y, bytes(r.words)) for r in map_arrow(few, run, "y int, words binary").collect()))
     sets = {y: without_copies([np.frombuffer(w, dtype=np.uint64) for k, w in rows if k == y]) for y in (0, 1)}
     if not sets[1] or not sets[0]:
