@@ -90,6 +90,12 @@ class Sketches:
             np.add.at(self.key, cell, value)
             np.add.at(self.check, cell, check)
 
+    def minus(self, other: Sketches) -> Sketches:
+        """What is left when the sketches of `other`, which are of the same sizes, are taken away from these."""
+        out = Sketches(self.part)
+        out.count, out.key, out.check = self.count - other.count, self.key - other.key, self.check - other.check
+        return out
+
     def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Digests recovered, the sketch and the sign of each, and for each sketch whether nothing is left."""
         owner = np.repeat(np.arange(len(self.part)), 3 * self.part)
@@ -120,22 +126,33 @@ class Sketches:
         return (np.concatenate(got_d), np.concatenate(got_o), np.concatenate(got_s), done) if got_d else (np.zeros(0, np.uint64), empty, empty, done)
 
 
-def differences(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], part: int = PART) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sketched(digests: np.ndarray, bounds: np.ndarray, part: int = PART) -> Sketches:
+    """The stored sketches of texts, of 3 * part cells each."""
+    n = len(bounds) - 1
+    s = Sketches(np.full(n, part))
+    s.add(digests, np.repeat(np.arange(n), np.diff(bounds)))
+    return s
+
+
+def differences(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], stored: Sketches) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For pairs of texts (digests and bounds of each side): how many digests only the first, and only the second has; and the attempts it took.
 
-    The first attempt has 3 * part cells; one that fails is followed by one for as many digests as may differ, and by
-    doubled ones until peeling leaves nothing."""
+    `stored` is what the stored sketches of the first leave when those of the second are taken away.  Where peeling it
+    fails, both texts are sketched again for as many digests as may differ, and with doubled cells until nothing is left."""
     n = len(a[1]) - 1
     only_a, only_b, tries = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
     todo = np.arange(n)
-    size = np.full(n, part, dtype=np.int64)
+    size = stored.part.copy()
     while len(todo):
-        s = Sketches(size[todo])
-        for (digests, bounds), sign in ((a, 1), (b, -1)):
-            m = bounds[todo + 1] - bounds[todo]
-            of = np.repeat(np.arange(len(todo)), m)
-            at = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(bounds[todo], m)
-            s.add(digests[at], of, sign)
+        if not tries[todo[0]]:
+            s = stored
+        else:
+            s = Sketches(size[todo])
+            for (digests, bounds), sign in ((a, 1), (b, -1)):
+                m = bounds[todo + 1] - bounds[todo]
+                of = np.repeat(np.arange(len(todo)), m)
+                at = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(bounds[todo], m)
+                s.add(digests[at], of, sign)
         _, of, sign, done = s.peel()
         tries[todo] += 1
         plus, minus = np.bincount(of[sign > 0], minlength=len(todo)), np.bincount(of[sign < 0], minlength=len(todo))
@@ -146,18 +163,16 @@ def differences(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarra
     return only_a, only_b, tries
 
 
-def fingerprints(digests: np.ndarray, bounds: np.ndarray, part: int = PART) -> list[str]:
-    """Each text's sketch of 3 * part cells with its number of pieces, as base64 text."""
+def fingerprints(s: Sketches, bounds: np.ndarray) -> list[str]:
+    """Each text's stored sketch with its number of pieces, as base64 text."""
     n = len(bounds) - 1
-    s = Sketches(np.full(n, part))
-    s.add(digests, np.repeat(np.arange(n), np.diff(bounds)))
     cells = np.concatenate((s.count.reshape(n, -1).view(np.uint64), s.key.reshape(n, -1), s.check.reshape(n, -1), np.diff(bounds).reshape(n, 1).astype(np.uint64)), axis=1)
     return [base64.b64encode(row.tobytes()).decode() for row in cells]
 
 
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], stored_a: Sketches, stored_b: Sketches) -> np.ndarray:
     """Shared pieces over all pieces of both, for each pair; 1 for two empty texts."""
-    only_a, only_b, _ = differences(a, b)
+    only_a, only_b, _ = differences(a, b, stored_a.minus(stored_b))
     shared = np.diff(a[1]) - only_a
     every = shared + only_a + only_b
     return np.where(every > 0, shared / np.maximum(every, 1), 1.0)
@@ -166,36 +181,49 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 def with_next(docs: DataFrame, f, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """f(ids, texts, next texts) -> record batch, over all rows in order of id, each with the text of the row after it (the first after the last).
 
-    Rows are dealt into ranges of ids; each range also gets the first row of the range after it, so the order needs
-    one shuffle and no task gets more than its range.  Null ids come last; rows of the same id follow each other in
-    order of their texts."""
+    Rows are dealt into ranges of ids, and an id that fills ranges of its own (null, or repeated) into ranges of a hash of
+    the text; each range also gets the first row of the range after it, so the order needs one shuffle and no task gets
+    more than its range.  Null ids come last; rows of the same id follow each other in order of that hash.  Only rows
+    that repeat both id and text can't be parted."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("k"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("k")).withColumn("h", F.xxhash64("text"))
     n = 4 * partitions(spark)
     cuts = docs.select(F.percentile_approx(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), [i / n for i in range(1, n)], 100 * n).alias("q")).first()[0] or []
-    cuts = np.unique(np.array(cuts, dtype=np.int64))
+    cuts, times = np.unique(np.array(cuts, dtype=np.int64), return_counts=True)
+    base = np.concatenate(([0], np.cumsum(times)))
+
+    def ranges(k: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The range of each row: an id that is r cuts at once has r ranges, of equal stretches of the hash."""
+        i = np.searchsorted(cuts, k, side="right")
+        out = base[i]
+        if len(cuts):
+            at = np.maximum(i - 1, 0)
+            own = np.flatnonzero((i > 0) & (cuts[at] == k) & (times[at] > 1))
+            r = times[at[own]]
+            share = (h[own].astype(np.float64) + 2.0**63) / 2.0**64
+            out[own] += np.minimum((share * r).astype(np.int64), r - 1) - (r - 1)
+        return out.astype(np.int32)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = batch.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.searchsorted(cuts, k, side="right").astype(np.int32))], names=["k", "part"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ranges(batch.column(0).to_numpy(), batch.column(1).to_numpy()))], names=["k", "h", "part"])
 
-    firsts = sorted((r.part, r.k) for r in map_arrow(rows.select("k"), dealt, "k long, part int").groupBy("part").agg(F.min("k").alias("k")).collect())
-    heads = {k: firsts[i - 1][0] for i, (_, k) in enumerate(firsts)}  # the first id of a range -> the range before it
+    firsts = map_arrow(rows.select("k", "h"), dealt, "k long, h long, part int").groupBy("part").agg(F.min(F.struct("k", "h")).alias("m")).collect()
+    firsts = sorted((r.part, r.m.k, r.m.h) for r in firsts)
+    heads = {(k, h): firsts[i - 1][0] for i, (_, k, h) in enumerate(firsts)}  # the first row of a range -> the range before it
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = np.array(sorted(heads), dtype=np.int64)
+        head = np.array(sorted({h for _, h in heads}), dtype=np.int64)
         for batch in batches:
-            k = batch.column(2).to_numpy()
-            own = np.searchsorted(cuts, k, side="right").astype(np.int32)
-            copy = np.flatnonzero(np.isin(k, head))
+            k, h = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            copy = np.array([i for i in np.flatnonzero(np.isin(h, head)) if (int(k[i]), int(h[i])) in heads], dtype=np.int64)
             take = pa.array(np.concatenate((np.arange(len(k)), copy)))
-            part = np.concatenate((own, np.array([heads[int(x)] for x in k[copy]], dtype=np.int32)))
+            part = np.concatenate((ranges(k, h), np.array([heads[int(k[i]), int(h[i])] for i in copy], dtype=np.int32)))
             guest = np.concatenate((np.zeros(len(k), bool), np.ones(len(copy), bool)))
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(guest), *[batch.column(c).take(take) for c in range(3)]], names=["part", "guest", "doc_id", "text", "k"])
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(guest), *[batch.column(c).take(take) for c in range(4)]], names=["part", "guest", "doc_id", "text", "k", "h"])
 
-    spread = map_arrow(rows, placed, "part int, guest boolean, doc_id long, text string, k long")
-    spread = spread.repartition(partitions(spark), "part").sortWithinPartitions("part", "guest", "k", "text")
+    spread = map_arrow(rows, placed, "part int, guest boolean, doc_id long, text string, k long, h long")
+    spread = spread.repartition(partitions(spark), "part").sortWithinPartitions("part", "guest", "k", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row, without its next one yet
@@ -222,8 +250,9 @@ def edited(text: str, following: str) -> str:
 def _fingerprint_rows(ids: list, texts: list[str], following: list[str]) -> pa.RecordBatch:
     changed = [edited(t, x) for t, x in zip(texts, following, strict=True)]
     own, new, after = (text_pieces(pa.array(x, pa.large_string())) for x in (texts, changed, following))
+    s_own, s_new, s_after = (sketched(*x) for x in (own, new, after))
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed]), pa.array(fingerprints(*own)), pa.array(fingerprints(*new)), pa.array(likeness(own, new)), pa.array(likeness(own, after))],
+        [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed]), pa.array(fingerprints(s_own, own[1])), pa.array(fingerprints(s_new, new[1])), pa.array(likeness(own, new, s_own, s_new)), pa.array(likeness(own, after, s_own, s_after))],
         names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
     )
 
@@ -234,7 +263,7 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d, bounds = text_pieces(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), pa.array(fingerprints(d, bounds, part), pa.string())], names=["doc_id", "n_pieces", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), pa.array(fingerprints(sketched(d, bounds, part), bounds), pa.string())], names=["doc_id", "n_pieces", "fingerprint"])
 
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, n_pieces long, fingerprint string")
 
