@@ -2,9 +2,10 @@
 
 Sizes are words.  Each source has a target number of words; targets over `cap` times the source's size stop there and
 the excess goes to the others by weight, which is a water level over the sources ordered by cap * size / weight.
-A document's expected copies are its source's rate (target / size), times its weight where one is given.  Whole copies
-are certain; the fraction is the inclusion probability p of one more.  With u uniform from a hash of the id, documents
-are ranked by their random odds u / (1 - u) divided by their inclusion odds p / (1 - p), and taken in that order until
+A document's expected copies go by its weight, `cap` at most: a water level over the weights of a source gives the factor
+at which all expected words make the target.  Unless weights are given, a document weighs the bit length of its size, so
+that longer ones are likelier.  Whole copies are certain; the fraction is the inclusion probability p of one more.  With
+u uniform from a hash of the id and the text, documents are ranked by their random odds u / (1 - u) divided by their inclusion odds p / (1 - p), and taken in that order until
 the source's words are full, so the sample has a fixed size.  The running sum that finds the end is taken over bins of
 the rank first and within the one bin where it falls second, so no source is gathered in one task.
 """
@@ -23,6 +24,8 @@ from ridgeline.llm.frames import map_arrow, saved
 from ridgeline.llm.wordhash import _SPACE, utf8_parts
 
 WEIGHTS = (5, 2, 1)
+#: The largest weight of a document; with steps of a tenth, a source has a bounded number of weights.
+MOST_WEIGHT = 1000.0
 #: Sources whose table is broadcast; with more, it is joined by a shuffle.
 BROADCAST_SOURCES = 100_000
 
@@ -46,9 +49,10 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n)], names=[*batch.schema.names[:-1], "size"])
 
 
-def uniform(doc_id: Column, seed: str = "") -> Column:
-    """A number in (0, 1) from 52 bits of the md5 of the id as text; a null id counts as empty text."""
-    digits = F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary")), 1, 13)
+def uniform(doc_id: Column, text: Column, seed: str = "") -> Column:
+    """A number in (0, 1) from 52 bits of the md5 of the id and the text's md5; a null id or text counts as empty text."""
+    own = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    digits = F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), own).cast("binary")), 1, 13)
     return (F.conv(digits, 16, 10).cast("long").cast("double") + 0.5) / F.lit(float(2**52))
 
 
@@ -69,26 +73,34 @@ def source_targets(sizes: DataFrame, share: float, weights: tuple[float, ...], c
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, share: float = 1.5, weights: tuple[float, ...] = WEIGHTS, cap: float = 2.0, weight_col: str | None = None, seed: str = "") -> DataFrame:
     """Per row: doc_id, source, size, source_size, target, copies (times the mix takes it) and taken (copies * size).
 
-    A null text has size 0; a null source is a source of its own, ordered last; null ids draw the number of an empty
-    id.  Rows that repeat an id draw the same number and rank by size; equal rows are interchangeable.  With
-    `weight_col`, expected copies within a source follow the weight (null or below 0: 0), cap copies at most; what
-    doesn't fit under the cap goes to the next in rank.  An empty table gives no rows.  Extra columns are left out."""
+    A null text has size 0; a null source is a source of its own, ordered last.  Rows equal in id and text draw the same
+    number and are interchangeable.  With `weight_col`, expected copies within a source follow that weight, rounded to
+    tenths and at most MOST_WEIGHT (null or below 0: 0, never taken).  An empty table gives no rows.  Extra columns are
+    left out."""
     spark = docs.sparkSession
-    weight = F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0)) if weight_col else F.lit(1.0)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), weight.alias("weight"), F.col(text_col).cast("string").alias("text"))
-    sizes = saved(map_arrow(rows, _word_counts, "doc_id long, source string, weight double, size long"))
-    targets = source_targets(sizes, share, weights, cap)
-    targets = saved(targets.join(sizes.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("weight") * F.col("size")).alias("weighed")), F.col("source").eqNullSafe(F.col("s"))).drop("s"))
+    given = F.round(F.least(F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(MOST_WEIGHT)), 1) if weight_col else F.lit(None).cast("double")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), given.alias("weight"), uniform(F.col(id_col), text, seed).alias("u"), text.alias("text"))
+    sizes = map_arrow(rows, _word_counts, "doc_id long, source string, weight double, u double, size long")
+    sizes = saved(sizes if weight_col else sizes.withColumn("weight", F.length(F.bin(F.greatest("size", F.lit(1)))).cast("double")))
+    targets = saved(source_targets(sizes, share, weights, cap))
     n_sources = targets.count()
 
     def with_source(left: DataFrame, right: DataFrame, *on: Column) -> DataFrame:
         return left.join(F.broadcast(right) if n_sources <= BROADCAST_SOURCES else right, [left["source"].eqNullSafe(right["s"]), *on], "left").drop("s")
 
-    sized = with_source(sizes, targets.withColumnRenamed("source", "s"))
-    expected = F.least(F.lit(float(cap)), F.when(F.col("weighed") > 0, F.col("target") * F.col("weight") / F.col("weighed")).otherwise(F.lit(0.0)))
-    sized = sized.withColumn("expected", F.coalesce(expected, F.lit(0.0))).withColumn("whole", F.floor("expected").cast("long")).withColumn("p", F.col("expected") - F.col("whole"))
-    u = uniform(F.col("doc_id"), seed)
-    sized = sized.withColumn("u", u).withColumn("q", (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p"))))
+    # the water level over the weights of each source: the heaviest stop at cap copies first
+    words = sizes.where((F.col("weight") > 0) & (F.col("size") > 0)).groupBy("source", "weight").agg(F.sum("size").alias("words"))
+    heavier = Window.partitionBy("source").orderBy(F.desc("weight")).rowsBetween(Window.unboundedPreceding, -1)
+    levels = with_source(words, targets.select(F.col("source").alias("s"), "target"))
+    levels = levels.withColumn("above", F.coalesce(F.sum("words").over(heavier), F.lit(0))).withColumn("weighed", F.sum(F.col("words") * F.col("weight")).over(Window.partitionBy("source")) - F.coalesce(F.sum(F.col("words") * F.col("weight")).over(heavier), F.lit(0.0)))
+    levels = levels.withColumn("level", (F.col("target") - F.col("above") * F.lit(float(cap))) / F.col("weighed"))
+    levels = saved(levels.groupBy("source").agg(F.max(F.when(F.col("level") * F.col("weight") < F.lit(float(cap)), F.col("level"))).alias("level")))
+    sized = with_source(with_source(sizes, targets.withColumnRenamed("source", "s")), levels.withColumnRenamed("source", "s"))
+    # without a level below the cap, every document stops at the cap
+    expected = F.when(F.col("weight") > 0, F.least(F.lit(float(cap)), F.coalesce(F.col("level") * F.col("weight"), F.lit(float(cap))))).otherwise(F.lit(0.0))
+    sized = sized.withColumn("expected", F.greatest(expected, F.lit(0.0))).withColumn("whole", F.floor("expected").cast("long")).withColumn("p", F.col("expected") - F.col("whole"))
+    sized = sized.withColumn("q", (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p"))))
     sized = sized.withColumn("q", F.when((F.col("p") > 0) & (F.col("size") > 0), F.col("q")))
     # bins of q / (1 + q): as many as the square root of the documents needs, so that neither sum is long
     count = max(1, sizes.count())
@@ -112,7 +124,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def op10_source_mixing(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken; 150% of all words, weights 5, 2, 1, at most 2 times a document."""
+    """Per document: doc_id, size, source_size, target, taken; 150% of all words, weights 5, 2, 1, at most 2 times a document; longer documents are likelier."""
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -128,10 +140,17 @@ s AS (
   FROM b WINDOW o AS (ORDER BY most / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), t AS (
   SELECT source, source_size, CASE WHEN level * w >= most THEN most ELSE max(CASE WHEN level * w < most THEN level END) OVER () * w END AS target FROM c
+), w AS (
+  SELECT s.source, length(bin(greatest(size, 1)))::DOUBLE AS weight, max(target) AS target, CAST(sum(size) AS BIGINT) AS words
+  FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source WHERE size > 0 GROUP BY ALL
+), v AS (
+  SELECT source, weight, (target - coalesce(sum(words) OVER h, 0)::DOUBLE * 2.0::DOUBLE) / (sum(words::DOUBLE * weight) OVER (PARTITION BY source) - coalesce(sum(words::DOUBLE * weight) OVER h, 0.0::DOUBLE)) AS level
+  FROM w WINDOW h AS (PARTITION BY source ORDER BY weight DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), l AS (SELECT source, max(CASE WHEN level * weight < 2.0::DOUBLE THEN level END) AS level FROM v GROUP BY source
 ), e AS (
-  SELECT s.*, t.source_size, t.target, least(2.0::DOUBLE, CASE WHEN t.source_size > 0 THEN t.target * 1.0::DOUBLE / t.source_size ELSE 0 END) AS expected,
-         (CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
-  FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source
+  SELECT s.*, t.source_size, t.target, greatest(0.0::DOUBLE, least(2.0::DOUBLE, coalesce(l.level * length(bin(greatest(size, 1)))::DOUBLE, 2.0::DOUBLE))) AS expected,
+         (CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || md5(coalesce(text, ''))), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+  FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source LEFT JOIN l ON s.source IS NOT DISTINCT FROM l.source
 ), f AS (SELECT *, CAST(floor(expected) AS BIGINT) AS whole, expected - floor(expected) AS p FROM e
 ), g AS (
   SELECT *, CASE WHEN p > 0 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q, target - CAST(sum(whole * size) OVER (PARTITION BY source) AS BIGINT) AS room FROM f
