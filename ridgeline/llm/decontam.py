@@ -2,10 +2,11 @@
 
 The index is cut by document: each shard (a map batch) stores, for every term, the sorted positions at which its
 documents have it, and where its documents begin.  It is written to the shared checkpoint folder.  A search sends the
-test items to all shards in blocks of bounded size.  For every window of test terms, a shard takes the list of the
-term that is rarest in it, shifts it by the term's offset and intersects it with the other lists in order of rarity;
-what remains are the exact occurrences.  Proximity matches need the rarest terms of an item within a few words of
-each other, in any order.  Terms are 64-bit hashes of words.
+test items to all shards, one block of bounded size after another.  A shard looks only at windows whose leading term
+(the rarest among the items) it has; for each it takes the list of the term that is rarest in it, shifts it by the
+term's offset and intersects it with the other lists in order of rarity; what remains are the exact occurrences.
+Proximity matches need the rarest terms of an item within a few words of each other, in any order.  Terms are 64-bit
+hashes of words.
 """
 
 from __future__ import annotations
@@ -15,11 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm.frames import binary, map_arrow, saved, to_binary
-from ridgeline.llm.wordhash import utf8_parts, word_hashes
+from ridgeline.llm.wordhash import mix, utf8_parts, word_hashes
 
 #: Bytes other than 0-9, A-Z, a-z and those of non-ASCII characters part the words.
 _BREAK = np.ones(256, dtype=bool)
@@ -27,7 +29,7 @@ _BREAK[128:] = False
 for _a, _b in ((48, 58), (65, 91), (97, 123)):
     _BREAK[_a:_b] = False
 
-#: Words of test items in a block that is broadcast at once.
+#: Words of test items in a block; one block is broadcast at a time.
 BLOCK_WORDS = 2_000_000
 #: Words within which the required terms of an item are a proximity match, in the registered query.
 SLOP = 16
@@ -50,27 +52,31 @@ def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Items:
-    """A block of test items: their distinct windows as rows of term numbers, and the items of each window."""
+    """A block of test items: their terms in a row, the distinct windows by where they begin in it, and the items of each window."""
 
-    def __init__(self, ids: list[int], column: pa.Array, width: int):
+    def __init__(self, ids: list[int | None], column: pa.Array, width: int):
         words, first = _terms(column)
-        self.ids = np.array(ids, dtype=np.int64)
-        self.terms = np.unique(words)
-        number = np.searchsorted(self.terms, words).astype(np.int64)
-        self.lists = [number[first[i] : first[i + 1]] for i in range(len(ids))]
-        by_length: dict[int, tuple[list, list]] = {}
-        for i, own in enumerate(self.lists):
-            if len(own):
-                m = min(width, len(own))
-                rows, of = by_length.setdefault(m, ([], []))
-                rows.append(np.lib.stride_tricks.sliding_window_view(own, m))
-                of.append(np.full(len(own) - m + 1, i, dtype=np.int64))
-        #: length -> distinct windows, and the (window, item) pairs sorted by window
+        self.ids = np.array([0 if i is None else i for i in ids], dtype=np.int64)
+        self.none = np.array([i is None for i in ids], dtype=bool)
+        self.terms, number, count = np.unique(words, return_inverse=True, return_counts=True)
+        self.first = first
+        self.row = number.astype(np.int32)
+        length = np.diff(first)
+        #: length -> first places of the distinct windows, their leading terms, and the (window, item) pairs sorted by window
         self.windows = {}
-        for m, (rows, of) in by_length.items():
-            distinct, inverse = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
-            pair = np.unique(np.stack((inverse.reshape(-1), np.concatenate(of))), axis=1)
-            self.windows[m] = (distinct, pair)
+        for m in np.unique(np.minimum(length[length > 0], width)).tolist():
+            of = np.flatnonzero((length == m) if m < width else (length >= width))
+            n = length[of] - m + 1
+            at = np.repeat(first[of], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            name = np.zeros(len(at), dtype=np.uint64)
+            lead = self.row[at].copy()
+            for k in range(m):
+                own = self.row[at + k]
+                name = mix(name * np.uint64(0x9E37_79B9_7F4A_7C15) + words[at + k])
+                lead = np.where(count[own] < count[lead], own, lead)
+            _, chosen, inverse = np.unique(name, return_index=True, return_inverse=True)
+            pair = np.unique(np.stack((inverse.reshape(-1), np.repeat(of, n))), axis=1)
+            self.windows[m] = (at[chosen], lead[chosen], pair)
 
 
 class Shard:
@@ -90,16 +96,17 @@ class Shard:
         """All postings as term number * 2**33 + position, ascending."""
         return (np.repeat(np.arange(len(self.terms), dtype=np.int64), np.diff(self.bounds)) << 33) + self.positions
 
-    def phrases(self, windows: np.ndarray, number: np.ndarray, keyed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, first word's position) of every occurrence within one document."""
-        own = number[windows]
+    def phrases(self, row: np.ndarray, begin: np.ndarray, lead: np.ndarray, m: int, number: np.ndarray, keyed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, first word's position) of every occurrence, within one document, of the windows row[begin:begin + m]."""
+        live = np.flatnonzero(number[lead] >= 0)
+        own = number[row[begin[live][:, None] + np.arange(m)]]
         size = np.where(own >= 0, self.bounds[own + 1] - self.bounds[own], 0)
-        live = np.flatnonzero(size.min(axis=1) > 0)
+        whole = size.min(axis=1, initial=1) > 0
+        live, own, size = live[whole], own[whole], size[whole]
         if not len(live):
             return live, live
-        m = windows.shape[1]
-        order = np.argsort(size[live], axis=1, kind="stable")
-        rare = np.take_along_axis(own[live], order, axis=1)
+        order = np.argsort(size, axis=1, kind="stable")
+        rare = np.take_along_axis(own, order, axis=1)
         n = self.bounds[rare[:, 0] + 1] - self.bounds[rare[:, 0]]
         which = np.repeat(np.arange(len(live)), n)
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -130,41 +137,37 @@ class Shard:
         return at[ok]
 
 
-def positional_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: np.ndarray | None = None) -> DataFrame:
-    """Shards of the index, stored: doc_ids, none (1 where the id is null), starts, terms, bounds, positions (packed arrays).
+_INDEX = "shard long, doc_ids binary, none binary, starts binary, terms binary, bounds binary, positions binary"
+_PACKED = ("<i8", "<i1", "<i8", "<u8", "<i8", "<u4")
 
-    With `terms` (sorted hashes), only their postings are stored; they must then hold every term of later searches."""
-    wanted = None if terms is None else docs.sparkSession.sparkContext.broadcast(terms)
+
+def positional_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Shards of the index of all terms, stored: shard, doc_ids, none (1 where the id is null), starts, terms, bounds, positions (packed arrays)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = TaskContext.get().partitionId() << 40
         for batch in batches:
             _, offsets = utf8_parts(batch.column(1))
             a, n = 0, batch.num_rows
             while a < n:
                 b = min(n, max(a + 1, int(np.searchsorted(offsets, offsets[a] + SHARD_BYTES, side="right")) - 1))
                 words, first = _terms(batch.column(1).slice(a, b - a))
-                at = np.arange(len(words), dtype=np.int64)
-                if wanted is not None:
-                    every = wanted.value
-                    i = np.minimum(np.searchsorted(every, words), max(len(every) - 1, 0))
-                    ok = every[i] == words if len(every) else np.zeros(len(words), bool)
-                    words, at = words[ok], at[ok]
-                order = np.argsort(words, kind="stable")
-                words, at = words[order], at[order]
+                at = np.argsort(words, kind="stable")
+                words = words[at]
                 new = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1]))) if len(words) else np.zeros(0, np.int64)
                 ids = batch.column(0).slice(a, b - a)
-                packed = [ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), np.asarray(ids.is_null()).astype(np.int8), first, words[new], np.concatenate((new, [len(words)])).astype(np.int64), at.astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([to_binary(x, np.array([0, len(x)])) for x in packed], names=["doc_ids", "none", "starts", "terms", "bounds", "positions"])
-                a = b
+                packed = [ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), np.asarray(ids.is_null()).astype(np.int8), first, words[new], np.concatenate((new, [len(words)])).astype(np.int64), at.astype(np.uint32)]
+                yield pa.RecordBatch.from_arrays([pa.array([shard]), *[to_binary(x, np.array([0, len(x)])) for x in packed]], names=["shard", "doc_ids", "none", "starts", "terms", "bounds", "positions"])
+                a, shard = b, shard + 1
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return saved(map_arrow(texts, run, "doc_ids binary, none binary, starts binary, terms binary, bounds binary, positions binary"))
+    return saved(map_arrow(texts, run, _INDEX))
 
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str, width: int) -> Iterator[Items]:
-    """The items in blocks of about BLOCK_WORDS words; those with a null id are left out."""
+    """The items in blocks of about BLOCK_WORDS words; the driver holds one at a time."""
     ids, texts, size = [], [], 0
-    for r in items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).toLocalIterator(prefetchPartitions=True):
+    for r in items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).toLocalIterator():
         ids.append(r.i)
         texts.append(r.t)
         size += len(r.t or "") // 4
@@ -181,9 +184,12 @@ def corpus_counts(index: DataFrame, terms: np.ndarray) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(len(every.value), dtype=np.int64)
-        for batch in batches:
+        for batch in batches if len(every.value) else ():
             for own, bounds in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n[np.searchsorted(every.value, np.frombuffer(own, dtype="<u8"))] += np.diff(np.frombuffer(bounds, dtype="<i8"))
+                own, size = np.frombuffer(own, dtype="<u8"), np.diff(np.frombuffer(bounds, dtype="<i8"))
+                i = np.minimum(np.searchsorted(every.value, own), len(n) - 1)
+                known = every.value[i] == own
+                n[i[known]] += size[known]
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["term", "n"])
 
@@ -193,69 +199,111 @@ def corpus_counts(index: DataFrame, terms: np.ndarray) -> np.ndarray:
     return out
 
 
-def required_terms(block: Items, terms: np.ndarray, counts: np.ndarray, near_terms: int) -> list[np.ndarray]:
-    """For each item, the numbers of the `near_terms` of its terms that are rarest in the corpus, of those that occur in it; none where fewer occur than it takes."""
-    n = counts[np.searchsorted(terms, block.terms)]
+def required_terms(block: Items, counts: np.ndarray, near_terms: int) -> list[np.ndarray]:
+    """For each item, the numbers of the `near_terms` of its terms that are rarest in the corpus (of equally rare ones, those that the item has first), of those that occur in it; none where fewer occur than it takes, or the item has no id."""
     out = []
-    for words in block.lists:
-        mine = np.unique(words)
-        some = mine[n[mine] > 0]
-        some = some[np.argsort(n[some], kind="stable")[:near_terms]]
-        out.append(some if len(some) == min(near_terms, len(mine)) else some[:0])
+    for i in range(len(block.ids)):
+        mine, at = np.unique(block.row[block.first[i] : block.first[i + 1]], return_index=True)
+        mine = mine[np.argsort(at, kind="stable")]
+        some = mine[counts[mine] > 0]
+        some = some[np.argsort(counts[some], kind="stable")[:near_terms]]
+        out.append(some if len(some) == min(near_terms, len(mine)) and not block.none[i] else some[:0])
     return out
 
 
+def _search(raw: list[np.ndarray], block: Items, required: list[np.ndarray] | None, slop: int | None) -> list[np.ndarray]:
+    """Of a shard: the starts and ends of the hit stretches, (document, item) of windows that occur, and (document, item, place) of proximity matches, flat."""
+    _, _, starts, own, bounds, positions = raw
+    shard = Shard(own, bounds, positions.astype(np.int64), starts)
+    keyed, number = shard.keyed(), shard.numbers(block.terms)
+    begins, ends, got, close = [], [], [np.zeros((2, 0), np.int64)], [np.zeros((3, 0), np.int64)]
+    for m, (begin, lead, pair) in block.windows.items():
+        w, at = shard.phrases(block.row, begin, lead, m, number, keyed)
+        begins.append(at)
+        ends.append(at + m)
+        lo, hi = np.searchsorted(pair[0], w), np.searchsorted(pair[0], w, side="right")
+        n = hi - lo
+        item = pair[1][np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        d = np.repeat(np.searchsorted(starts, at, side="right") - 1, n)[~block.none[item]]
+        got.append(np.unique(np.stack((d, block.ids[item[~block.none[item]]])), axis=1))
+    for i, mine in enumerate(required or ()):
+        at = shard.near(number[mine], slop)
+        close.append(np.stack((np.searchsorted(starts, at, side="right") - 1, np.full(len(at), block.ids[i]), at)))
+    none = np.zeros(0, np.int64)
+    return [np.concatenate(begins) if begins else none, np.concatenate(ends) if ends else none, np.concatenate(got, axis=1), np.concatenate(close, axis=1)]
+
+
 def contamination(docs: DataFrame, items: DataFrame, *, width: int = 13, slop: int | None = None, near_terms: int = 4, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, n_hit, items (sorted distinct item ids with an occurring window), hits (start, end of the hit stretches, in words) and near (item_id, at), which is empty without `slop`.
 
     A window is `width` consecutive words of an item, or all words of a shorter one.  A null or wordless text has no
-    words and no hits; an item with a null id, or without words, is left out; items that repeat an id count once.
-    Documents with null or repeated ids keep their rows.  Extra columns are left out.
+    words and no hits; an item without words is left out; one with a null id counts in n_hit and hits, but can't be
+    named; items that repeat an id count once.  Documents with null or repeated ids keep their rows.  Extra columns are
+    left out.
 
     A proximity match of an item is a place in a document where the rarest of its required terms (see required_terms)
     has all the others within `slop` words; terms are ranked by their counts in all documents, so a match doesn't depend
-    on how the documents are dealt."""
+    on how the documents are dealt.
+
+    Items come in blocks of BLOCK_WORDS words.  One block is the rule; where there are more, each is broadcast and
+    searched for on its own, and what a shard holds of them is put together by the shard's number."""
     context = docs.sparkSession.sparkContext
-    blocks = list(item_blocks(items, item_id_col, item_text_col, width))
-    terms = np.unique(np.concatenate([b.terms for b in blocks])) if blocks else np.zeros(0, np.uint64)
-    index = positional_index(docs, id_col, text_col, terms)
-    shared = [context.broadcast(b) for b in blocks]
-    counts = corpus_counts(index, terms) if slop is not None else None
-    required = [context.broadcast(required_terms(b, terms, counts, near_terms)) for b in blocks] if slop is not None else []
+    index = positional_index(docs, id_col, text_col)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     near_kind = pa.list_(pa.struct([("item_id", pa.int64()), ("at", pa.int64())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = "doc_id long, n_words long, n_hit long, items array<long>, hits array<struct<start:long,end:long>>, near array<struct<item_id:long,at:long>>"
+
+    def read(batch: pa.RecordBatch, row: int) -> list[np.ndarray]:
+        return [np.frombuffer(batch.column(c + 1)[row].as_py(), dtype=t) for c, t in enumerate(_PACKED)]
+
+    def prepared(block: Items):
+        required = required_terms(block, corpus_counts(index, block.terms), near_terms) if slop is not None else None
+        return context.broadcast((block, required))
+
+    def direct(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    raw = read(batch, row)
+                    yield _per_document(raw, [_search(raw, *shared.value, slop)] if shared else [], kind, near_kind)
+
+        return map_arrow(index, run, schema)
+
+    blocks = item_blocks(items, item_id_col, item_text_col, width)
+    block, following = next(blocks, None), next(blocks, None)
+    if following is None:
+        return direct(prepared(block) if block is not None else None)
+
+    def partial(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    found = _search(read(batch, row), *shared.value, slop)
+                    if any(x.size for x in found):
+                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), *[pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in found]], names=["shard", "begins", "ends", "got", "close"])
+
+        found = saved(map_arrow(index, run, "shard long, begins binary, ends binary, got binary, close binary"))
+        shared.unpersist()
+        return found
+
+    parts = partial(prepared(block))
+    while following is not None:
+        parts = parts.union(partial(prepared(following)))
+        following = next(blocks, None)
+    parts = parts.groupBy("shard").agg(F.collect_list(F.struct("begins", "ends", "got", "close")).alias("found"))  # one for each block at most
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                raw = [np.frombuffer(batch.column(c)[row].as_py(), dtype=t) for c, t in enumerate(("<i8", "<i1", "<i8", "<u8", "<i8", "<i8"))]
-                ids, none, starts, own, bounds, positions = raw
-                shard = Shard(own, bounds, positions, starts)
-                keyed = shard.keyed()
-                hit: list[tuple[np.ndarray, np.ndarray]] = []
-                got: list[np.ndarray] = []
-                close: list[np.ndarray] = []
-                for k, b in enumerate(shared):
-                    block: Items = b.value
-                    number = shard.numbers(block.terms)
-                    for m, (windows, pair) in block.windows.items():
-                        w, at = shard.phrases(windows, number, keyed)
-                        hit.append((at, at + m))
-                        lo, hi = np.searchsorted(pair[0], w), np.searchsorted(pair[0], w, side="right")
-                        d = np.searchsorted(starts, at, side="right") - 1
-                        n = hi - lo
-                        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                        got.append(np.unique(np.stack((np.repeat(d, n), block.ids[pair[1][np.repeat(lo, n) + inner]])), axis=1))
-                    if slop is not None:
-                        for i, mine in enumerate(required[k].value):
-                            at = shard.near(number[mine], slop)
-                            close.append(np.stack((np.searchsorted(starts, at, side="right") - 1, np.full(len(at), block.ids[i]), at)))
-                yield _per_document(ids, none, starts, hit, got, close, kind, near_kind)
-
-    return map_arrow(index, run, "doc_id long, n_words long, n_hit long, items array<long>, hits array<struct<start:long,end:long>>, near array<struct<item_id:long,at:long>>")
-
-
-def _per_document(ids, none, starts, hit, got, close, kind, near_kind) -> pa.RecordBatch:
+                found = [[np.frombuffer(x[c], dtype=np.int64).reshape(shape) for c, shape in (("begins", -1), ("ends", -1), ("got", (2, -1)), ("close", (3, -1)))] for x in batch.column(7)[row].as_py() or ()]
+                yield _per_document(read(batch, row), found, kind, near_kind)
+
+    return map_arrow(index.join(parts, "shard", "left"), whole, schema)
+
+
+def _per_document(raw: list[np.ndarray], found: list[list[np.ndarray]], kind, near_kind) -> pa.RecordBatch:
+    ids, none, starts = raw[:3]
+    hit, got, close = [(x[0], x[1]) for x in found], [x[2] for x in found], [x[3] for x in found]
     n = len(ids)
     total = int(starts[-1]) if len(starts) else 0
     depth = np.zeros(total + 1, dtype=np.int32)
@@ -284,11 +332,12 @@ def _per_document(ids, none, starts, hit, got, close, kind, near_kind) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array(ids, mask=none.astype(bool)), pa.array(np.diff(starts)), pa.array(sums[starts[1:]] - sums[starts[:-1]]), items, hits, nears], names=["doc_id", "n_words", "n_hit", "items", "hits", "near"])
 
 
-def op9_benchmark_decontamination(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, by windows of 13 words."""
-    found = contamination(docs, items, width=13)
+def op9_benchmark_decontamination(docs: DataFrame, items: DataFrame, slop: int | None = SLOP) -> DataFrame:
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, by windows of 13 words; n_near and near_items, the proximity matches within `slop` words and the items that they are of (0 and empty without `slop`)."""
+    found = contamination(docs, items, width=13, slop=slop)
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).alias("contaminated"))
+    near = F.array_join(F.array_sort(F.array_distinct(F.col("near.item_id"))).cast("array<string>"), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).alias("contaminated"), F.size("near").cast("long").alias("n_near"), near.alias("near_items"))
 
 
 def op9_benchmark_proximity(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -317,8 +366,22 @@ WITH d AS (
   FROM (SELECT doc_id, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM d, lens WHERE len(w) >= m)
 ), hit AS (SELECT doc_id, i, dw.m, item_id FROM dw JOIN bw ON dw.win = bw.win AND dw.m = bw.m
 ), pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + m - 1)) AS p FROM hit) GROUP BY doc_id
-), its AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY doc_id)
+), tw AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS p FROM d WHERE len(w) > 0
+), ti AS (
+  SELECT item_id, word, min(p) AS p FROM (SELECT item_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS p FROM b WHERE len(w) > 0 AND item_id IS NOT NULL) GROUP BY item_id, word
+), tr AS (
+  SELECT item_id, word, row_number() OVER (PARTITION BY item_id ORDER BY n, p) AS r, count(*) OVER (PARTITION BY item_id) AS known
+  FROM ti JOIN (SELECT word, count(*) AS n FROM tw GROUP BY word) USING (word)
+), tq AS (
+  SELECT item_id, word, r, least(4, total) AS take FROM tr JOIN (SELECT item_id, count(*) AS total FROM ti GROUP BY item_id) USING (item_id) WHERE r <= 4 AND known >= least(4, total)
+), nr AS (
+  SELECT a.item_id, x.doc_id, x.p FROM tq a JOIN tw x ON a.word = x.word JOIN tq o ON o.item_id = a.item_id JOIN tw y ON y.word = o.word AND y.doc_id = x.doc_id AND y.p BETWEEN x.p - 16 AND x.p + 16
+  WHERE a.r = 1 GROUP BY a.item_id, x.doc_id, x.p, a.take HAVING count(DISTINCT o.word) = a.take
+), nd AS (
+  SELECT doc_id, sum(c) AS n_near, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS near_items FROM (SELECT doc_id, item_id, count(*) AS c FROM nr GROUP BY doc_id, item_id) GROUP BY doc_id
+), its AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
-FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated,
+       CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, coalesce(near_items, '') AS near_items
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN nd USING (doc_id)
 """
