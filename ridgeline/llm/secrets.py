@@ -53,10 +53,18 @@ _LEET = str.maketrans("@4301!57$", "aaeoiists")
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _KEYS = {c: (x + r * 0.5, r) for r, row in enumerate(_ROWS) for x, c in enumerate(row)}
 _NEXT = {(a, b) for a, (x, r) in _KEYS.items() for b, (y, s) in _KEYS.items() if a != b and abs(x - y) <= 1 and abs(r - s) <= 1}
-_DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
+_YMD = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])", re.ASCII)
+_DMY = re.compile(r"(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\1(?:19|20)\d\d", re.ASCII)
+_YEAR = re.compile(r"(?:19|20)\d\d", re.ASCII)
 _SEGMENT = 1.0
 
 
+#: A walk: its first key, and each further step.  A repeat: how often, beside its first period of at most PERIODS characters.
+_START, _STEP, _TIMES = math.log2(47), 1.6, 5.0
+PERIODS = 8
+_DAY, _YEAR_BITS = math.log2(365 * 120), math.log2(120)
+
+
 def _char_bits(c: str) -> float:
     if c.isdigit():
         return math.log2(10)
@@ -66,48 +74,59 @@ def _char_bits(c: str) -> float:
 
 
 def guess_bits(value: str) -> float:
-    """Bits of the cheapest segmentation of the value; 0 for an empty one."""
+    """Bits of the cheapest segmentation of the value; 0 for an empty one.
+
+    Segments: brute force, the bits of each character (and one for each letter of a value in mixed case); a word of
+    WORDS, the bits of its rank (one more if not in lower case, two more with digits or signs for letters); a date or
+    year; three keys or more of which each is beside the one before; a group of at most PERIODS characters that comes
+    twice or more (a single one three times), in full or cut short at the end.  The best cost of every prefix is the least
+    over all segments that may end it; walks and repeats carry the best place to begin from character to character."""
     n = len(value)
     if not n:
         return 0.0
     lower = value.lower() if len(value.lower()) == n else value
     plain = lower.translate(_LEET)
     mixed = 1.0 if any(c.isupper() for c in value) and any(c.islower() for c in value) else 0.0
+    bits = [_char_bits(c) + mixed * c.isalpha() for c in value]
+    dates: dict[int, list[tuple[int, float]]] = {}
+    for i, c in enumerate(value):
+        if c.isdigit():
+            for pattern, cost in ((_YMD, _DAY), (_DMY, _DAY), (_YEAR, _YEAR_BITS)):
+                if m := pattern.match(value, i):
+                    dates.setdefault(m.end(), []).append((i, cost))
     best = [0.0] + [math.inf] * n
-    brute = [math.inf] * (n + 1)  # of segmentations that end in a brute-force span
-    walk = repeat = 0
-    period = 1
-    dates: dict[int, list[int]] = {}
-    for i in range(n):
-        if m := _DATE.match(value, i):
-            dates.setdefault(m.end(), []).append(i)
-        if m := re.compile(r"(?:19|20)\d\d").match(value, i):
-            dates.setdefault(m.end(), []).append(i)
+    brute = math.inf  # the least cost of a segmentation that ends in a brute-force span here
+    walk, walked = 1, math.inf
+    runs, repeated = [0] * (PERIODS + 1), [math.inf] * (PERIODS + 1)
     for i in range(1, n + 1):
-        c = value[i - 1]
-        brute[i] = min(brute[i - 1], best[i - 1] + _SEGMENT) + _char_bits(c) + mixed * c.isalpha()
-        low = brute[i]
-        walk = walk + 1 if i > 1 and (lower[i - 2], lower[i - 1]) in _NEXT else 1
-        if walk >= 3:
-            low = min(low, best[i - walk] + _SEGMENT + math.log2(47) + (walk - 1) * 1.6)
-        for j in dates.get(i, ()):
-            low = min(low, best[j] + _SEGMENT + (math.log2(365 * 120) if i - j > 4 else math.log2(120)))
-        if repeat and i > period and value[i - 1] == value[i - 1 - period]:
-            repeat += 1
+        brute = min(brute, best[i - 1] + _SEGMENT) + bits[i - 1]
+        low = brute
+        if i > 1 and (lower[i - 2], lower[i - 1]) in _NEXT:
+            walk += 1
+            walked += _STEP
+            if walk >= 3:
+                walked = min(walked, best[i - 3] + _SEGMENT + _START + 2 * _STEP)
+                low = min(low, walked)
         else:
-            repeat = 0
-            for p in (1, 2, 3, 4):
-                if i > p and value[i - 1] == value[i - 1 - p]:
-                    repeat, period = 1, p
-                    break
-        if repeat >= max(2, period):
-            at = i - repeat - period
-            low = min(low, best[at] + _SEGMENT + sum(_char_bits(x) for x in value[at : at + period]) + math.log2(repeat + period))
+            walk, walked = 1, math.inf
+        for j, cost in dates.get(i, ()):
+            low = min(low, best[j] + _SEGMENT + cost)
+        for p in range(1, min(PERIODS, i - 1) + 1):
+            if value[i - 1] != value[i - 1 - p]:
+                runs[p], repeated[p] = 0, math.inf
+                continue
+            runs[p] += 1
+            least = max(2, p)
+            if runs[p] >= least:
+                begin = i - p - least
+                repeated[p] = min(repeated[p], best[begin] + _SEGMENT + _TIMES + sum(map(_char_bits, value[begin : begin + p])))
+                low = min(low, repeated[p])
         for j in range(max(0, i - LONGEST), i - 1):
+            cased = value[j:i] != lower[j:i]
             if (r := RANK.get(lower[j:i])) is not None:
-                low = min(low, best[j] + _SEGMENT + math.log2(r) + (value[j:i] != lower[j:i]))
-            elif (r := RANK.get(plain[j:i])) is not None:
-                low = min(low, best[j] + _SEGMENT + math.log2(r) + 2 + (value[j:i] != lower[j:i]))
+                low = min(low, best[j] + _SEGMENT + math.log2(r) + cased)
+            if (r := RANK.get(plain[j:i])) is not None and plain[j:i] != lower[j:i]:
+                low = min(low, best[j] + _SEGMENT + math.log2(r) + 2 + cased)
         best[i] = low
     return best[n] - _SEGMENT
 
