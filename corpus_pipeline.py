@@ -28,6 +28,13 @@ MIN_LANGUAGE_SCORE = 0.25
 BROADCAST_ROWS = 2_000_000
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    """The name, with underscores after it until `docs` has no such column."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def _key() -> Column:
     return F.coalesce(F.col("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62))
 
@@ -39,14 +46,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _joined(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """docs with their rows of ids (key, ...): a broadcast up to BROADCAST_ROWS, a shuffled join beyond."""
     ids = saved(ids)
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, _key() == ids["key"], how)
+    name = _fresh(docs, "key")
+    few = ids.count() <= BROADCAST_ROWS
+    ids = ids.withColumnRenamed("key", name)
+    return docs.join(F.broadcast(ids) if few else ids, _key() == F.col(name), how).drop(name)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a letter; a text of a language that wasn't learnt stays, under the learnt one that it is nearest to, unless its score is below MIN_LANGUAGE_SCORE.  A missing lang is filled in."""
     model = fit(docs, F.lit(True))
-    found = detect(docs, model, lang_as="_lang", score_as="_score").where((F.col("_lang") != "und") & (F.col("_score") >= MIN_LANGUAGE_SCORE))
-    return found.withColumn("lang", F.coalesce("lang", "_lang")).select(docs.columns)
+    lang, score = _fresh(docs, "lang_found"), _fresh(docs, "score_found")
+    found = detect(docs, model, lang_as=lang, score_as=score).where((F.col(lang) != "und") & (F.col(score) >= MIN_LANGUAGE_SCORE))
+    return found.withColumn("lang", F.coalesce("lang", lang)).select(docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,20 +73,24 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by the benchmark."""
-    found = op9_benchmark_decontamination(_keyed(docs), table(spark, sf_dir, "benchmark"))
+    found = op9_benchmark_decontamination(_keyed(docs), table(spark, sf_dir, "benchmark"), slop=None)
     return _joined(docs, found.where("contaminated").select(F.col("doc_id").alias("key")).distinct(), "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced by marks and n_chars counted anew."""
+    """All documents, their secrets replaced by marks and n_chars counted anew; null texts and null n_chars stay null, repeated rows stay."""
     return redact(docs, "text", "n_chars")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, with copy_no from 1."""
-    copies = mix(_keyed(docs)).where("copies > 0").groupBy(F.col("doc_id").alias("key")).agg(F.max("copies").alias("_copies"))
+    """Each document as often as the mix takes it, with copy_no from 1 (or copy_no_ where there is such a column).
+
+    A null text has no words and isn't taken; a null source is a source of its own; rows that repeat a key are all taken
+    as often as the one that is taken most."""
+    times, number = _fresh(docs, "times"), _fresh(docs, "copy_no")
+    copies = mix(_keyed(docs)).where("copies > 0").groupBy(F.col("doc_id").alias("key")).agg(F.max("copies").alias(times))
     taken = _joined(docs, copies, "inner")
-    return taken.withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns, "copy_no")
+    return taken.withColumn(number, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*docs.columns, number)
 
 
 STAGES = [

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -253,7 +254,7 @@ def test_iblt_recovers_differences():
     a, b = ([np.unique(r.integers(0, 2**63, n, dtype=np.uint64)) for n in sizes] for sizes in ((0, 5, 40, 300), (0, 5, 44, 10)))
     b[2] = np.concatenate((a[2][5:], b[2][:9]))
     pack = lambda xs: (np.concatenate(xs), np.concatenate(([0], np.cumsum([len(x) for x in xs]))))
-    only_a, only_b, tries = iblt.differences(pack(a), pack(b))
+    only_a, only_b, tries = iblt.differences(pack(a), pack(b), iblt.sketched(*pack(a)).minus(iblt.sketched(*pack(b))))
     assert only_a.tolist() == [0, 5, 5, 300] and only_b.tolist() == [0, 5, 9, 10] and tries[3] > 1
     s = iblt.Sketches(np.array([40]))
     s.add(a[2], np.zeros(len(a[2]), np.int64))
@@ -262,6 +263,12 @@ def test_iblt_recovers_differences():
     assert done.all() and set(d[sign > 0].tolist()) == set(a[2][:5].tolist()) and set(d[sign < 0].tolist()) == set(b[2][-9:].tolist())
 
 
+def brute_likeness(a, b):
+    """Shared pieces over all pieces, from the pieces' digests as multisets."""
+    x, y = (set(iblt.text_pieces(pa.array([t], pa.large_string()))[0].tolist()) for t in (a, b))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
 @pytest.mark.parametrize("n", [1, 2, 70])
 def test_fingerprints(spark, odd, n):
     texts = [*odd, "same line.\n" * 50][-n:]
@@ -274,7 +281,7 @@ def test_fingerprints(spark, odd, n):
         e = t[: len(t) - k] + x[:k]
         got = rows[ids[i]]
         assert (got.n_chars, got.edited_sha256) == (len(t), hashlib.sha256(e.encode()).hexdigest())
-        assert 0 <= got.near_edited <= 1 and 0 <= got.near_next <= 1
+        assert got.near_edited == pytest.approx(brute_likeness(t, e)) and got.near_next == pytest.approx(brute_likeness(t, x))
         assert prints.setdefault(t, got.fingerprint) == got.fingerprint and prints.setdefault(e, got.edited_fingerprint) == got.edited_fingerprint
         if t == x:
             assert got.near_next == 1
@@ -287,6 +294,17 @@ def test_fingerprints_of_null_and_repeated_ids(spark):
     assert iblt.document_fingerprints(docs).select("fingerprint").distinct().count() == 3
 
 
+def test_fingerprints_of_a_hot_id(spark):
+    """A third of the rows has no id: they are dealt over ranges, and every row has one next."""
+    texts = [f"text {i}. of {i % 5}." for i in range(300)]
+    docs = frame(spark, texts, [None if i % 3 == 0 else i for i in range(300)])
+    following = iblt.with_next(docs, lambda ids, own, after: pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own), pa.array(after)], names=["doc_id", "own", "after"]), "doc_id long, own string, after string").collect()
+    assert sorted(r.own for r in following) == sorted(texts) == sorted(r.after for r in following)
+    after = {r.own: r.after for r in following}
+    at = [i for i in range(300) if i % 3]
+    assert all(after[texts[i]] == texts[j] for i, j in zip(at[:-1], at[1:], strict=True))
+
+
 def brute_hits(texts, items):
     out = []
     wins = defaultdict(set)
@@ -294,7 +312,7 @@ def brute_hits(texts, items):
         w = TERM.findall((t or "").translate(FOLD))
         m = min(13, len(w))
         for k in range(len(w) - m + 1 if w else 0):
-            wins[tuple(w[k : k + m])].add(i)
+            wins[tuple(w[k : k + m])].add(i)  # an item without an id hits, but has no name
     lengths = {len(k) for k in wins}
     for t in texts:
         w = TERM.findall((t or "").translate(FOLD))
@@ -303,7 +321,7 @@ def brute_hits(texts, items):
             for k in range(len(w) - m + 1):
                 if s := wins.get(tuple(w[k : k + m])):
                     hit |= set(range(k, k + m))
-                    got |= s
+                    got |= s - {None}
         out.append((len(w), len(hit), len(got), decontam.sha256_of_ids(sorted(got)), bool(hit) and 20 * len(hit) >= len(w)))
     return out
 
@@ -311,8 +329,9 @@ def brute_hits(texts, items):
 def test_decontamination(spark, odd):
     items = [(3, odd[8]), (20, odd[15]), (100, "one two three"), (4, "ONE-two"), (5, None), (6, "..."), (7, odd[8]), (3, odd[8])]
     texts = [*odd, f"{odd[8][5:80]} x {odd[8]} {odd[8]}", "two one two three one-two", "one two three" * 3]
-    bench = spark.createDataFrame([(*i, 1) for i in [*items, (None, odd[22])]], "item_id long, text string, doc_id int")
-    rows = {x.doc_id: tuple(x)[1:] for x in decontam.op9_benchmark_decontamination(frame(spark, texts), bench).collect()}
+    items.append((None, odd[22]))
+    bench = spark.createDataFrame([(*i, 1) for i in items], "item_id long, text string, doc_id int")
+    rows = {x.doc_id: tuple(x)[1:6] for x in decontam.op9_benchmark_decontamination(frame(spark, texts), bench).collect()}
     expected = brute_hits(texts, items)
     assert [rows[i] for i in range(len(texts))] == expected and any(e[4] for e in expected)
 
@@ -384,6 +403,84 @@ def test_mixing_by_weight(spark):
     assert heavy > light > 0
 
 
+def test_mixing_is_unequal_by_size_and_near_its_odds(spark):
+    """Over many seeds, documents are taken near their expected copies, longer ones more often, and not in the order of u alone."""
+    texts = [" ".join(["w"] * (2 if i % 2 else 200)) + f" {i}" for i in range(120)]
+    docs = saved = frame(spark, texts).select("doc_id", "text", "source").coalesce(1).cache()
+    taken = np.zeros(120)
+    for seed in range(12):
+        rows = mixing.mix(docs, share=0.4, seed=str(seed)).collect()
+        for x in rows:
+            taken[x.doc_id] += x.copies
+        assert abs(sum(x.taken for x in rows) - rows[0].target) <= 201
+    saved.unpersist()
+    short, long = taken[1::2].mean() / 12, taken[0::2].mean() / 12
+    words = {s: len(t.split()) for s, t in ((1, texts[1]), (0, texts[0]))}
+    weight = {s: words[s].bit_length() for s in words}
+    rate = 0.4 * 60 * sum(words.values()) / sum(60 * words[s] * weight[s] for s in words)
+    assert long == pytest.approx(rate * weight[0], abs=0.05) and short == pytest.approx(rate * weight[1], abs=0.08) and long > 2 * short
+
+
+#: Names that the operators and stages use inside, as columns that documents may have.
+INNER = "i y k h u q p key mark rep own part guest bin size weight level target source_size copies whole one edge_bin before room words kind bits n a b owner slot other shard starts terms found lang_pred score lang_found score_found held_out times copy_no _salt _salts _lang _score class_id component".split()
+
+
+def clashing(spark, docs):
+    return docs.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(k).cast("string").alias(c) for k, c in enumerate(INNER)])
+
+
+def test_clashing_columns_and_long_texts(spark):
+    """Every operator and stage takes documents with the inner names as columns, nulls, repeated rows and a text of 5 MB."""
+    r = random.Random(8)
+    long = " ".join(r.choice(VOCAB) for _ in range(1_300_000))
+    texts = ["password: xQvRt7LmWpZk", "some more words here", "some more words here", None, "", long, "½ ² Ⅷ"] + [f"text number {i} of a few words" for i in range(20)]
+    docs = clashing(spark, frame(spark, texts, [1, 2, 2, None, None, 5, 6, *range(10, 30)], sources=[None, *["a"] * 26])).cache()
+    labels = spark.createDataFrame([(i, i % 2, i % 2, "x", 1) for i in range(10, 30)], "doc_id long, quality int, toxic int, i string, y int")
+    bench = spark.createDataFrame([(1, "some more words here", "x")], "item_id long, text string, shard string")
+    for f in (jaccard.op1_ngram_jaccard_join, tokens.op2_token_counts, secrets.op3_secret_scan, langid.op4_language_id, iblt.op8_document_fingerprints, mixing.op10_source_mixing):
+        assert f(docs).count() == len(texts), f
+    assert quality.op6_quality_classifier(docs, labels).count() == toxicity.op7_toxicity(docs, labels).count() == decontam.op9_benchmark_decontamination(docs, bench).count() == len(texts)
+    assert {x.doc_id: x.lang_pred for x in langid.op4_language_id(docs).collect()}[6] == "und"
+
+
+def brute_bits(value):
+    """guess_bits() over all cuts, each segment priced on its own."""
+    import functools
+
+    lower = value.lower()
+    plain = lower.translate(secrets._LEET)
+    mixed = any(c.isupper() for c in value) and any(c.islower() for c in value)
+
+    def price(j, i):
+        s, m = value[j:i], i - j
+        out = [sum(secrets._char_bits(c) + (mixed and c.isalpha()) for c in s)]
+        if m >= 3 and all((a, b) in secrets._NEXT for a, b in zip(lower[j : i - 1], lower[j + 1 : i], strict=True)):
+            out.append(secrets._START + (m - 1) * secrets._STEP)
+        for p in range(1, secrets.PERIODS + 1):
+            if m >= p + max(2, p) and s[p:] == s[:-p]:
+                out.append(secrets._TIMES + sum(map(secrets._char_bits, s[:p])))
+        if s.isdigit() or any(c.isdigit() for c in s):
+            out += [secrets._DAY for x in (secrets._YMD, secrets._DMY) if x.fullmatch(s)] + [secrets._YEAR_BITS for _ in [0] if secrets._YEAR.fullmatch(s)]
+        if m >= 2:
+            out += [math.log2(secrets.RANK[lower[j:i]]) + (s != lower[j:i])] if lower[j:i] in secrets.RANK else []
+            out += [math.log2(secrets.RANK[plain[j:i]]) + 2 + (s != lower[j:i])] if plain[j:i] in secrets.RANK and plain[j:i] != lower[j:i] else []
+        return min(out)
+
+    @functools.cache
+    def best(i):
+        return 0.0 if i == 0 else min(best(j) + secrets._SEGMENT + price(j, i) for j in range(i))
+
+    return best(len(value)) - secrets._SEGMENT
+
+
+def test_guess_cost_is_the_least(spark):
+    r = random.Random(4)
+    bits = ["dragon", "bvcxz", "xyz", "xyz", "for", "shadow", "asdf", "2019-05-04", "04051999", "1987", "aaaa", "abab", "P@ssw0rd", "Qwerty", "k", "7", "!", "zz", "Xq9"]
+    for _ in range(3000):
+        value = "".join(r.choice(bits) if r.random() < 0.8 else r.choice("aB3$xyz12") for _ in range(r.randrange(1, 6)))
+        assert secrets.guess_bits(value) == pytest.approx(brute_bits(value)), value
+
+
 def test_empty_tables(spark):
     docs = frame(spark, ["x"]).limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from ridgeline.llm import secrets  # noqa: E402
-from tests.llm.test_llm import brute_components, brute_hits  # noqa: E402
+from tests.llm.test_llm import brute_components, brute_hits, clashing, frame  # noqa: E402
 
 
 def test_stages_against_brute_force(spark, sf, tmp_path):
@@ -51,3 +51,16 @@ def test_empty(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf).count() == 0
+
+
+def test_stages_with_clashing_columns(spark, sf, tmp_path):
+    """Documents may have columns of the names that stages use inside; nulls and repeated rows go through every stage."""
+    texts = ["password: xQvRt7LmWpZk and so on", "some more words here", "some more words here", None, "", "12 34"] + [f"text number {i} of a few words" for i in range(20)]
+    docs = clashing(spark, frame(spark, texts, [1, 2, 2, None, None, 6, *range(10, 30)], sources=[None, *["a"] * 25]))
+    names = docs.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, sf)
+        out.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        assert docs.columns[: len(names)] == names and docs.count() > 0
+    assert docs.columns == [*names, "copy_no_"]
