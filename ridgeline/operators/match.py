@@ -132,34 +132,37 @@ def near_drawn(segments: DataFrame, buckets: DataFrame, box: tuple[float, float,
     return rows.join(n.select("osm_way_id", "lo", "hi").distinct(), ["osm_way_id", "lo", "hi"], "left_semi").drop("minx", "maxx", "miny", "maxy", "lo", "hi")
 
 
-class RunMachine:
-    """Assigns fixes to (segment, direction) runs, in order of time.
-
-    A candidate's score is its distance, plus a penalty where it doesn't touch the segment of the last matched fix
-    (remembered for a while).  A run goes on while its own candidate is within the margin of the best one."""
-
-    def __init__(self, touching: dict[int, set[int]], config: EngineConfig = DEFAULT):
-        self.touching, self.config = touching, config
-        self.current: tuple[int, str] | None = None
-        self.anchor: tuple[int, float] | None = None
-        self.run = -1
-
-    def step(self, at_s: float, found: list[tuple[int, str, float]]) -> tuple[int, int, str] | None:
-        """(run, segment, direction) of a fix with candidates (segment, direction, metres) in order of segment; None without any."""
-        if not found:
-            self.current = None
-            return None
-        held = self.anchor is not None and at_s - self.anchor[1] <= self.config.anchor_max_gap_s
-        near = {self.anchor[0]} | self.touching.get(self.anchor[0], set()) if held else None
-        scored = [(d + (0.0 if near is None or s in near else self.config.disconnect_penalty_m), s, way) for s, way, d in found]
-        least = min(x[0] for x in scored)
-        best = next(x for x in scored if x[0] == least)
-        own = next((x for x in scored if (x[1], x[2]) == self.current), None)
-        if own is None or own[0] > least + self.config.switch_margin_m:
-            self.current = (best[1], best[2])
-            self.run += 1
-        self.anchor = (self.current[0], at_s)
-        return self.run, *self.current
+def assign_runs(at_s: np.ndarray, bounds: np.ndarray, segment: np.ndarray, way: np.ndarray, metres: np.ndarray, touching: np.ndarray, config: EngineConfig = DEFAULT) -> tuple[np.ndarray, np.ndarray]:
+    """For each fix of a ride, in order of time, its run and the candidate chosen for it (-1 without any).
+
+    Fix i has the candidates bounds[i]:bounds[i + 1], in order of segment; `touching` are pairs of segments.  A candidate
+    costs its distance, and a penalty where it doesn't touch the segment of the last matched fix, which is remembered for a
+    while.  A run holds its line while that costs no more than a margin above the cheapest; a fix without candidates ends
+    it."""
+    ids, place = np.unique(segment, return_inverse=True)
+    linked = np.eye(len(ids), dtype=bool)
+    pair = touching[np.isin(touching, ids).all(axis=1)] if len(touching) else touching
+    if len(pair):
+        linked[np.searchsorted(ids, pair[:, 0]), np.searchsorted(ids, pair[:, 1])] = True
+    line = 2 * place + (way == "backward")
+    fee = np.where(linked, 0.0, config.disconnect_penalty_m)
+    runs, chosen = np.full(len(at_s), -1), np.full(len(at_s), -1)
+    held, seen_s, run = -1, -np.inf, -1
+    last = -1  # place of the last matched segment
+    for i, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        if lo == hi:
+            held = -1
+            continue
+        cost = metres[lo:hi] + fee[last, place[lo:hi]] if last >= 0 and at_s[i] - seen_s <= config.anchor_max_gap_s else metres[lo:hi]
+        pick = int(cost.argmin())
+        same = np.flatnonzero(line[lo:hi] == held)
+        if len(same) and cost[same[0]] <= cost[pick] + config.switch_margin_m:
+            pick = int(same[0])
+        else:
+            run += 1
+        held, last, seen_s = line[lo + pick], place[lo + pick], at_s[i]
+        runs[i], chosen[i] = run, lo + pick
+    return runs, chosen
 
 
 def match_runs(fixes: DataFrame, found: DataFrame, touching: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
@@ -172,15 +175,16 @@ def match_runs(fixes: DataFrame, found: DataFrame, touching: DataFrame, config:
     pairs = used.join(touching, "segment_id").select("ride", "segment_id", "other")
 
     def run(key: tuple, ride: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-        touch: dict[int, set[int]] = {}
-        for a, b in zip(near.segment_id, near.other, strict=True):
-            touch.setdefault(a, set()).add(b)
-        machine, out = RunMachine(touch, config), []
-        for r in ride.sort_values(["at_s", "id"], kind="stable").itertuples(index=False):
-            got = machine.step(r.at_s, [(c["segment_id"], c["direction"], c["distance_m"]) for c in r.found] if r.found is not None else [])
-            if got is not None:
-                out.append((key[0], r.id, r.at_s, *got))
-        return pd.DataFrame(out, columns=["session_id", "id", "at_s", "run", "segment_id", "direction"])
+        ride = ride.sort_values(["at_s", "id"], kind="stable")
+        lists = [list(x) if x is not None else [] for x in ride.found]
+        flat = [c for x in lists for c in x]
+        segment = np.array([c["segment_id"] for c in flat], dtype=np.int64)
+        way = np.array([c["direction"] for c in flat], dtype=object)
+        metres = np.array([c["distance_m"] for c in flat], dtype=float)
+        bounds = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64)
+        runs, chosen = assign_runs(ride.at_s.to_numpy(float), bounds, segment, way, metres, near[["segment_id", "other"]].to_numpy(np.int64), config)
+        got = chosen >= 0
+        return pd.DataFrame({"session_id": key[0], "id": ride.id.to_numpy()[got], "at_s": ride.at_s.to_numpy()[got], "run": runs[got], "segment_id": segment[chosen[got]], "direction": way[chosen[got]]})
 
     return rows.groupBy("session_id").cogroup(pairs.groupBy("ride")).applyInPandas(run, "session_id long, id long, at_s double, run int, segment_id long, direction string")
 
