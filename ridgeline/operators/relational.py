@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.config import DEFAULT, EngineConfig
 from ridgeline.functions import scalar as S
+from ridgeline.plans.storage import saved
 from ridgeline.functions.geo import haversine_m, is_finite
 from ridgeline.operators.model import LINE
 
@@ -96,15 +97,17 @@ def fixes_within(windows: DataFrame, fixes: DataFrame, key: str, width_s: float)
     return w.join(f, [key, "slot"]).where("at_s >= started AND at_s <= ended").drop("slot")
 
 
-def readings_near(fixes: DataFrame, readings: DataFrame, half_ms: float = 500.0) -> DataFrame:
+def readings_near(fixes: DataFrame, readings: DataFrame, half_ms: float = 500.0, key: str | None = None) -> DataFrame:
     """Mean pressure within half_ms of each fix as an altitude, with the number of readings and their mean offset.
 
-    fixes: fix_id, at_ms; readings: at_ms, hpa (unusable ones don't count).  A fix without readings has no row."""
-    usable = readings.where(S.usable_reading(F.col("at_ms").cast("double"), F.col("hpa"))).select(F.col("at_ms").alias("r_ms"), "hpa")
+    fixes: fix_id, at_ms; readings: at_ms, hpa (unusable ones don't count).  With `key`, only readings of the same key
+    (phone or ride) count, and a time slot of one key is a group of its own.  A fix without readings has no row."""
+    same = [key] if key else []
+    usable = readings.where(S.usable_reading(F.col("at_ms").cast("double"), F.col("hpa"))).select(*same, F.col("at_ms").alias("r_ms"), "hpa")
     size = 2 * half_ms
     r = usable.withColumn("slot", F.floor(F.col("r_ms") / size).cast("long"))
     f = fixes.withColumn("slot", F.explode(F.sequence(F.floor((F.col("at_ms") - half_ms) / size).cast("long"), F.floor((F.col("at_ms") + half_ms) / size).cast("long"))))
-    near = f.join(r, "slot").where(F.abs(F.col("r_ms") - F.col("at_ms")) <= half_ms)
+    near = f.join(r, [*same, "slot"]).where(F.abs(F.col("r_ms") - F.col("at_ms")) <= half_ms)
     return near.groupBy("fix_id").agg(S.altitude_from_hpa(F.avg("hpa")).alias("altitude_m"), F.count("*").alias("readings"), F.avg(F.col("r_ms") - F.col("at_ms")).alias("mean_offset_ms"))
 
 
@@ -147,13 +150,21 @@ def session_verdicts(sessions: DataFrame, samples: DataFrame, config: EngineConf
 def summary(rows: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
     """n, values that aren't finite, median and p90 by nearest rank, mean and worst.
 
-    Ranks come from a window over counts of distinct values, so no key's values are gathered in one row."""
+    Ranks come from running sums over counts of distinct values, so no key's values are gathered in one row.  Without
+    keys, values are dealt into ranges; each range sums up its own counts and adds what the ranges before it hold."""
     keys = keys or []
     v = F.col(value)
     all_rows = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(~is_finite(v)).alias("non_finite"), F.avg(F.when(is_finite(v), v)).alias("mean"), F.max(F.when(is_finite(v), v)).alias("worst"))
     counts = rows.where(is_finite(v)).groupBy(*keys, v.alias("x")).agg(F.count(F.lit(1)).alias("c"))
-    by = Window.partitionBy(*[F.col(k) for k in keys]) if keys else Window.partitionBy(F.lit(0))
-    ranked = counts.select(*keys, "x", F.sum("c").over(by.orderBy("x")).alias("upto"), F.sum("c").over(by).alias("total"))
+    if keys:
+        by = Window.partitionBy(*[F.col(k) for k in keys])
+        ranked = counts.select(*keys, "x", F.sum("c").over(by.orderBy("x")).alias("upto"), F.sum("c").over(by).alias("total"))
+    else:
+        ranged = saved(counts.repartitionByRange("x").withColumn("part", F.spark_partition_id()))
+        parts = ranged.groupBy("part").agg(F.sum("c").alias("own"))  # a row for each partition
+        every = Window.partitionBy()
+        parts = parts.select("part", (F.sum("own").over(Window.orderBy("part")) - F.col("own")).alias("before"), F.sum("own").over(every).alias("total"))
+        ranked = ranged.join(F.broadcast(parts), "part").select("x", (F.col("before") + F.sum("c").over(Window.partitionBy("part").orderBy("x"))).alias("upto"), "total")
     at = lambda q: F.min(F.when(F.col("upto") > F.least(F.col("total") - 1, F.floor(F.col("total") * q)), F.col("x")))
     ranks = ranked.groupBy(*keys).agg(at(0.5).alias("median"), at(0.9).alias("p90"))
     return all_rows.join(ranks, keys, "left") if keys else all_rows.crossJoin(ranks)
@@ -226,9 +237,13 @@ def fingerprint(table: DataFrame) -> DataFrame:
 
 
 def text_fingerprint(table: DataFrame, columns: list[str]) -> DataFrame:
-    """The md5 of all rows' sorted md5s: for tables of bounded size (each row is 32 bytes on one task); fingerprint() has no bound."""
+    """A fingerprint of a table whatever its order: the md5s of its rows, sorted and joined within each bucket of equal
+    first six digits, hashed; these within each of equal first three; and those at last.  No task holds more than a bucket."""
     row = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]).cast("binary"))
-    return table.agg(F.count("*").alias("row_count"), F.md5(F.array_join(F.array_sort(F.collect_list(row)), "").cast("binary")).alias("fingerprint"))
+    joined = lambda c: F.md5(F.array_join(F.array_sort(F.collect_list(c)), "").cast("binary"))
+    fine = table.select(row.alias("h")).groupBy(F.substring("h", 1, 6).alias("digits")).agg(F.count("*").alias("n"), joined("h").alias("h"))
+    coarse = fine.groupBy(F.substring("digits", 1, 3).alias("digits")).agg(F.sum("n").alias("n"), joined(F.concat("digits", "h")).alias("h"))
+    return coarse.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), joined(F.concat("digits", "h")).alias("fingerprint"))
 
 
 def changed_lines(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -307,19 +307,31 @@ def _(passes):
     return rounded(R.model_diff(a, b).drop("before_m", "after_m"), "moved_m")
 
 
-@query("model_changed_lines", "runs", """WITH a AS (SELECT DISTINCT segment_id, direction FROM runs WHERE session_id % 60 = 0), b AS (SELECT DISTINCT segment_id, direction FROM runs WHERE session_id % 60 = 1)
+RIDDEN = ", ".join(f"{name} AS (SELECT segment_id, direction FROM runs WHERE session_id % 2 = {k} GROUP BY 1, 2 HAVING count(*) >= (SELECT count(*) / count(DISTINCT (segment_id, direction)) FROM runs WHERE session_id % 2 = {k}))" for k, name in enumerate("ab"))
+
+
+def _ridden(runs: DataFrame, k: int) -> DataFrame:
+    """Lines that even (0) or odd (1) sessions ride as often as their mean line or more."""
+    counts = runs.where(F.col("session_id") % 2 == k).groupBy("segment_id", "direction").agg(F.count("*").alias("rides"))
+    mean = counts.agg(F.avg("rides")).first()[0] or 0.0
+    return counts.where(F.col("rides") >= mean).select("segment_id", "direction")
+
+
+@query("model_changed_lines", "runs", f"""WITH {RIDDEN}
     SELECT segment_id, direction, 'lost' AS change FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT segment_id, direction, 'gained' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
 def _(runs):
-    return R.changed_lines(*[runs.where(F.col("session_id") % 60 == k) for k in (0, 1)])
+    return R.changed_lines(*[_ridden(runs, k) for k in (0, 1)])
 
 
-@query("model_witness_disagreement", "runs", """WITH a AS (SELECT DISTINCT segment_id, direction FROM runs WHERE session_id % 60 = 0), b AS (SELECT DISTINCT segment_id, direction FROM runs WHERE session_id % 60 = 1), s AS (SELECT segment_id FROM a INTERSECT SELECT segment_id FROM b)
+@query("model_witness_disagreement", "runs", f"""WITH {RIDDEN}, s AS (SELECT segment_id FROM a INTERSECT SELECT segment_id FROM b)
     SELECT segment_id, direction, 'lost' AS change FROM (SELECT * FROM a EXCEPT SELECT * FROM b) WHERE segment_id IN (FROM s) UNION ALL SELECT segment_id, direction, 'gained' FROM (SELECT * FROM b EXCEPT SELECT * FROM a) WHERE segment_id IN (FROM s)""")
 def _(runs):
-    return R.witness_disagreement(*[runs.where(F.col("session_id") % 60 == k) for k in (0, 1)])
+    return R.witness_disagreement(*[_ridden(runs, k) for k in (0, 1)])
 
 
-@query("table_text_fingerprint", "buckets", """SELECT count(*) AS row_count, md5(string_agg(h, '' ORDER BY h)) AS fingerprint FROM (SELECT md5(concat_ws('|', CAST(segment_id AS VARCHAR), direction, CAST(distance_m AS VARCHAR), CAST(sample_count AS VARCHAR))) AS h FROM buckets)""")
+@query("table_text_fingerprint", "buckets", """WITH h AS (SELECT md5(concat_ws('|', CAST(segment_id AS VARCHAR), direction, CAST(distance_m AS VARCHAR), CAST(sample_count AS VARCHAR))) AS h FROM buckets),
+    f AS (SELECT substr(h, 1, 6) AS digits, count(*) AS n, md5(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY 1), c AS (SELECT substr(digits, 1, 3) AS digits, sum(n) AS n, md5(string_agg(digits || h, '' ORDER BY digits || h)) AS h FROM f GROUP BY 1)
+    SELECT CAST(sum(n) AS BIGINT) AS row_count, md5(string_agg(digits || h, '' ORDER BY digits || h)) AS fingerprint FROM c""")
 def _(buckets):
     return R.text_fingerprint(buckets, ["segment_id", "direction", "distance_m", "sample_count"])
 

@@ -16,7 +16,7 @@ from ridgeline.operators import paths as P
 from ridgeline.operators import relational as R
 from ridgeline.operators import selection as E
 from ridgeline.operators import windows as W
-from ridgeline.plans.queries import BUCKET, EXTENTS, SPIKES, TRANS, color_sql, hav, query, rounded
+from ridgeline.plans.queries import BUCKET, EXTENTS, QUERIES, SPIKES, TRANS, color_sql, hav, query, rounded
 from ridgeline.plans.storage import saved
 from ridgeline.sources import accesslog as L
 
@@ -156,27 +156,27 @@ def _(samples, segments):
     return rounded(found.select("fix_id", "segment_id", "direction", "distance_m"), "distance_m", places=5)
 
 
-LINE_TIMES = "t1 AS (SELECT match_id, segment_id, direction, epoch_us(started_at) / 1e6 AS started, epoch_us(ended_at) / 1e6 + 86400 * 3 AS ended FROM runs WHERE session_id % 40 = 3), t2 AS (SELECT match_id, segment_id, direction, epoch_us(started_at) / 1e6 AS started, epoch_us(ended_at) / 1e6 + 86400 * 3 AS ended FROM runs WHERE session_id % 40 = 7)"
+LINE_TIMES = "t1 AS (SELECT match_id, segment_id, direction, epoch_us(started_at) / 1e6 AS started, epoch_us(ended_at) / 1e6 + 86400 * 3 AS ended FROM runs WHERE session_id % 2 = 0), t2 AS (SELECT match_id, segment_id, direction, epoch_us(started_at) / 1e6 AS started, epoch_us(ended_at) / 1e6 + 86400 * 3 AS ended FROM runs WHERE session_id % 2 = 1)"
 
 
 @query("join_interval_overlap", "runs", f"WITH {LINE_TIMES} SELECT t1.match_id, t2.match_id AS run_id FROM t1 JOIN t2 ON t1.segment_id = t2.segment_id AND t1.direction = t2.direction AND t1.started <= t2.ended AND t2.started <= t1.ended")
 def _(runs):
     at = runs.select("match_id", "segment_id", "direction", "session_id", (S.micros(F.col("started_at")) / 1e6).alias("started"), (S.micros(F.col("ended_at")) / 1e6 + 86400 * 3).alias("ended"))
-    a, b = at.where("session_id % 40 = 3"), at.where("session_id % 40 = 7").withColumnRenamed("match_id", "run_id").drop("session_id")
+    a, b = at.where("session_id % 2 = 0"), at.where("session_id % 2 = 1").withColumnRenamed("match_id", "run_id").drop("session_id")
     return R.overlapping(a, b, ["segment_id", "direction"]).select("match_id", "run_id")
 
 
-@query("join_fixes_in_interval", "samples", """WITH w AS (SELECT session_id, id AS window_id, epoch_us(recorded_at) / 1e6 AS started, epoch_us(recorded_at) / 1e6 + 90000 AS ended FROM samples WHERE id % 10 = 0) SELECT w.window_id, s.id FROM w JOIN samples s ON s.session_id = w.session_id AND epoch_us(s.recorded_at) / 1e6 BETWEEN started AND ended""")
+@query("join_fixes_in_interval", "samples", """WITH w AS (SELECT session_id, id AS window_id, epoch_us(recorded_at) / 1e6 AS started, epoch_us(recorded_at) / 1e6 + 90000 AS ended FROM samples) SELECT w.window_id, s.id FROM w JOIN samples s ON s.session_id = w.session_id AND epoch_us(s.recorded_at) / 1e6 BETWEEN started AND ended""")
 def _(samples):
     at = (S.micros(F.col("recorded_at")) / 1e6).alias("at_s")
-    windows = samples.where("id % 10 = 0").select("session_id", F.col("id").alias("window_id"), at.alias("started")).withColumn("ended", F.col("started") + 90000)
+    windows = samples.select("session_id", F.col("id").alias("window_id"), at.alias("started")).withColumn("ended", F.col("started") + 90000)
     return R.fixes_within(windows, samples.select("session_id", "id", at), "session_id", 100_000).select("window_id", "id")
 
 
-@query("barometer_windowed_altitude", "readings", """WITH f AS (SELECT event_id AS fix_id, at_ms + 100 AS t FROM readings WHERE event_id % 5 = 0) SELECT fix_id, round(44330 * (1 - pow(avg(hpa) / 1013.25, 1 / 5.255)), 6) AS altitude_m, count(*) AS readings, round(avg(at_ms - t), 6) AS mean_offset_ms FROM f JOIN readings r ON abs(at_ms - t) <= 500 AND hpa BETWEEN 300 AND 1100 GROUP BY 1""")
+@query("barometer_windowed_altitude", "readings", """WITH f AS (SELECT event_id AS fix_id, phone, at_ms + 100 AS t FROM readings) SELECT fix_id, round(44330 * (1 - pow(avg(hpa) / 1013.25, 1 / 5.255)), 6) AS altitude_m, count(*) AS readings, round(avg(at_ms - t), 6) AS mean_offset_ms FROM f JOIN readings r ON r.phone = f.phone AND abs(at_ms - t) <= 500 AND hpa BETWEEN 300 AND 1100 GROUP BY 1""")
 def _(readings):
-    fixes = readings.where("event_id % 5 = 0").select(F.col("event_id").alias("fix_id"), (F.col("at_ms") + 100).alias("at_ms"))
-    return rounded(R.readings_near(fixes, readings.select("at_ms", "hpa")), "altitude_m", "mean_offset_ms")
+    fixes = readings.select(F.col("event_id").alias("fix_id"), "phone", (F.col("at_ms") + 100).alias("at_ms"))
+    return rounded(R.readings_near(fixes, readings.select("phone", "at_ms", "hpa"), key="phone"), "altitude_m", "mean_offset_ms")
 
 
 @query("barometer_decode", "readings", "SELECT b AS batch, at_ms, hpa FROM (SELECT event_id // 8 AS b, at_ms, hpa FROM readings)")
@@ -336,12 +336,12 @@ def _(runs):
     return P.fork_history(W.transitions(runs))
 
 
-@query("graph_leave_one_out", "runs", f"""WITH {TRANS}, md AS (SELECT DISTINCT * FROM tr WHERE session_id % 10 = 0), ct AS (SELECT segment_id, direction, next_segment_id, next_direction, count(*) AS rides FROM md GROUP BY 1, 2, 3, 4),
+@query("graph_leave_one_out", "runs", f"""WITH {TRANS}, md AS (SELECT DISTINCT * FROM tr), ct AS (SELECT segment_id, direction, next_segment_id, next_direction, count(*) AS rides FROM md GROUP BY 1, 2, 3, 4),
     al AS (SELECT s.session_id, s.segment_id, s.direction, c.next_segment_id, c.next_direction, c.rides - CASE WHEN o.session_id IS NULL THEN 0 ELSE 1 END AS rides FROM (SELECT DISTINCT session_id, segment_id, direction FROM md) s JOIN ct c ON c.segment_id = s.segment_id AND c.direction = s.direction LEFT JOIN md o ON o.session_id = s.session_id AND o.segment_id = c.segment_id AND o.direction = c.direction AND o.next_segment_id = c.next_segment_id AND o.next_direction = c.next_direction),
     tp AS (SELECT *, max(rides) OVER (PARTITION BY session_id, segment_id, direction) AS top FROM al WHERE rides > 0), ld AS (SELECT session_id, segment_id, direction, any_value(next_segment_id) AS ns, any_value(next_direction) AS nd FROM tp WHERE rides = top GROUP BY 1, 2, 3 HAVING count(*) = 1)
     SELECT CASE WHEN ns IS NULL THEN 'stopped' WHEN ns = next_segment_id AND nd = next_direction THEN 'right' ELSE 'wrong' END AS verdict, count(*) AS moves FROM md LEFT JOIN ld ON ld.session_id = md.session_id AND ld.segment_id = md.segment_id AND ld.direction = md.direction GROUP BY 1""")
 def _(runs):
-    return P.leave_one_out(W.transitions(runs).where("session_id % 10 = 0"))
+    return P.leave_one_out(W.transitions(runs))
 
 
 @query("graph_source_metres", "buckets coverage lines", f"""WITH {EXTENTS}, b AS (SELECT segment_id, length_m, d AS direction FROM lines, (SELECT unnest(['forward', 'backward']) AS d)), j AS (SELECT b.*, o.from_m AS a, o.to_m AS e, b.length_m - t.to_m AS c, b.length_m - t.from_m AS f FROM b LEFT JOIN ext o ON o.segment_id = b.segment_id AND o.direction = b.direction LEFT JOIN ext t ON t.segment_id = b.segment_id AND t.direction <> b.direction),
@@ -480,6 +480,18 @@ def _(segments, buckets, coverage, lines, runs):
     return P.growth_census(P.grow_all(_from_all(graph[0]), *graph))
 
 
+@query("graph_rule_census", "segments buckets coverage lines runs")
+def _(segments, buckets, coverage, lines, runs):
+    graph = _graph(segments, buckets, coverage, lines, runs)
+    return P.rule_census(P.grow_all(_from_all(graph[0]), *graph))
+
+
+@query("graph_score_rules", "segments buckets coverage lines runs")
+def _(segments, buckets, coverage, lines, runs):
+    """Every session's moves at forks, judged by all rules in order against the rides of the others."""
+    return P.score_rules(*_graph(segments, buckets, coverage, lines, runs))
+
+
 @query("graph_connect", "segments buckets coverage lines runs")
 def _(segments, buckets, coverage, lines, runs):
     """From every line to the one whose id is 488 further, counted round after the last id; a target that is folded into another line has no way."""
@@ -489,49 +501,11 @@ def _(segments, buckets, coverage, lines, runs):
     return P.connect_all(asked.withColumns({"to_direction": F.lit("forward"), "to_m": F.lit(5.0)}), *graph)
 
 
-@query("graph_leave_one_out_all", "runs")
 def _(runs):
     """Every session's moves, against the history of all the others."""
     return P.leave_one_out(W.transitions(runs))
 
 
-# --- two halves of a whole table, beside the slices that SQL fixes: odd and even sessions, each row on one side
-
-
-def _halves(rows):
-    return [rows.where(F.col("session_id") % 2 == k) for k in (0, 1)]
-
-
-@query("model_changed_lines_all", "runs")
-def _(runs):
-    return R.changed_lines(*_halves(runs))
-
-
-@query("model_witness_disagreement_all", "runs")
-def _(runs):
-    return R.witness_disagreement(*_halves(runs))
-
-
-@query("join_interval_overlap_all", "runs")
-def _(runs):
-    at = runs.select("match_id", "segment_id", "direction", "session_id", (S.micros(F.col("started_at")) / 1e6).alias("started"), (S.micros(F.col("ended_at")) / 1e6 + 86400 * 3).alias("ended"))
-    a, b = _halves(at)
-    return R.overlapping(a, b.withColumnRenamed("match_id", "run_id").drop("session_id"), ["segment_id", "direction"]).select("match_id", "run_id")
-
-
-@query("join_fixes_in_interval_all", "samples")
-def _(samples):
-    at = (S.micros(F.col("recorded_at")) / 1e6).alias("at_s")
-    windows = samples.select("session_id", F.col("id").alias("window_id"), at.alias("started")).withColumn("ended", F.col("started") + 90000)
-    return R.fixes_within(windows, samples.select("session_id", "id", at), "session_id", 100_000).select("window_id", "id")
-
-
-@query("barometer_windowed_altitude_all", "readings")
-def _(readings):
-    fixes = readings.select(F.col("event_id").alias("fix_id"), (F.col("at_ms") + 100).alias("at_ms"))
-    return rounded(R.readings_near(fixes, readings.select("at_ms", "hpa")), "altitude_m", "mean_offset_ms")
-
-
 @query("path_steepest", "spans")
 def _(spans):
     return rounded(P.steepest(_spans(spans)), "grade_pct", "at_m", places=5)
@@ -555,7 +529,7 @@ def _(segments):
 def _(segments):
     ways = _lines(segments)
     plan = N.link_plan(ways.where(N.fold_eligible(F.col("kind"), F.col("street_name"))), ways.where("kind = 'road'"))
-    return N.link_writes(N.decide(plan)).select("id", "action", "write_parent")
+    return rounded(N.decide(plan).select("id", "frontage", "parent_id", "parent_frontage", "best_street_frontage", "connected", "change", "new_parent"), "frontage", "parent_frontage", "best_street_frontage")
 
 
 # --- diagnosis
@@ -573,11 +547,11 @@ def _(buckets, fixes):
     return D.hole_causes(holes, W.straddling_pairs(holes, placed), losses).select("segment_id", "direction", "from_m", "to_m", "cause")
 
 
-FATES = "ft AS (SELECT segment_id, direction, (match_id % 10) / 10e0 AS share FROM runs WHERE session_id % 90 = 0), ln AS (SELECT segment_id, direction, CAST(segment_id * 2 AS DOUBLE) AS length_m FROM runs GROUP BY 1, 2)"
+FATES = "ft AS (SELECT segment_id, direction, (match_id % 10) / 10e0 AS share FROM runs), ln AS (SELECT segment_id, direction, CAST(segment_id * 2 AS DOUBLE) AS length_m FROM runs GROUP BY 1, 2)"
 
 
 def _fates(runs):
-    fates = runs.where("session_id % 90 = 0").select("segment_id", "direction", (F.col("match_id") % 10 / 10.0).alias("share"))
+    fates = runs.select("segment_id", "direction", (F.col("match_id") % 10 / 10.0).alias("share"))
     return runs.select("segment_id", "direction").distinct().withColumn("length_m", F.col("segment_id") * 2.0), fates
 
 
@@ -596,27 +570,8 @@ def _(runs):
     return D.run_fates(*_fates(runs)).drop("length_m")
 
 
-def _all_fates(runs):
-    fates = runs.select("segment_id", "direction", (F.col("match_id") % 10 / 10.0).alias("share"))
-    return runs.select("segment_id", "direction").distinct().withColumn("length_m", F.col("segment_id") * 2.0), fates
-
-
-@query("diagnose_line_verdicts_all", "runs")
-def _(runs):
-    return D.line_verdicts(*_all_fates(runs))
-
-
-@query("diagnose_sensitivity_all", "runs")
-def _(runs):
-    return D.sensitivity(*_all_fates(runs), [0.3, 0.7])
-
-
-@query("diagnose_run_fates_all", "runs")
-def _(runs):
-    return D.run_fates(*_all_fates(runs)).drop("length_m")
-
-
-@query("diagnose_judged_admissions_all", "runs")
+@query("diagnose_judged_admissions", "runs", """WITH r AS (SELECT match_id, session_id // 40 % 2 AS half, session_id % 40 AS session_id, segment_id, direction, epoch_us(started_at) / 1e6 AS started, epoch_us(ended_at) / 1e6 + 9e6 AS ended FROM runs), a AS (SELECT * FROM r WHERE half = 0), p AS (SELECT * FROM r WHERE half = 1)
+    SELECT a.match_id, CASE WHEN count(p.match_id) FILTER (p.direction = a.direction) > 0 THEN 'witnessed' WHEN count(p.match_id) > 0 THEN 'denied' ELSE 'unjudgeable' END AS judged FROM a LEFT JOIN p ON p.session_id = a.session_id AND p.segment_id = a.segment_id AND a.started <= p.ended AND p.started <= a.ended GROUP BY 1""")
 def _(runs):
     """Odd and even blocks of 40 sessions: sessions are compared by their place in a block, so that both halves have each."""
     r = runs.select("match_id", "session_id", "segment_id", "direction", (S.micros(F.col("started_at")) / 1e6).alias("started"), (S.micros(F.col("ended_at")) / 1e6 + 9e6).alias("ended"))
@@ -624,13 +579,6 @@ def _(runs):
     return D.judged_admissions(a, b.drop("match_id")).select("match_id", "judged")
 
 
-@query("diagnose_judged_admissions", "runs", """WITH r AS (SELECT match_id, session_id % 40 AS session_id, segment_id, direction, epoch_us(started_at) / 1e6 AS started, epoch_us(ended_at) / 1e6 + 9e6 AS ended FROM runs), a AS (SELECT * FROM r WHERE match_id % 5 = 0), p AS (SELECT * FROM r WHERE match_id % 5 = 1)
-    SELECT a.match_id, CASE WHEN count(p.match_id) FILTER (p.direction = a.direction) > 0 THEN 'witnessed' WHEN count(p.match_id) > 0 THEN 'denied' ELSE 'unjudgeable' END AS judged FROM a LEFT JOIN p ON p.session_id = a.session_id AND p.segment_id = a.segment_id AND a.started <= p.ended AND p.started <= a.ended GROUP BY 1""")
-def _(runs):
-    r = runs.select("match_id", (F.col("session_id") % 40).alias("session_id"), "segment_id", "direction", (S.micros(F.col("started_at")) / 1e6).alias("started"), (S.micros(F.col("ended_at")) / 1e6 + 9e6).alias("ended"))
-    return D.judged_admissions(r.where("match_id % 5 = 0"), r.where("match_id % 5 = 1").drop("match_id")).select("match_id", "judged")
-
-
 @query("diagnose_faithful_buckets", "buckets pass_buckets", """WITH x AS (SELECT segment_id, direction, distance_m, avg(elevation_m) AS e, count(*) AS n FROM pass_buckets WHERE session_id % 50 <> 0 GROUP BY 1, 2, 3) SELECT b.segment_id, b.direction, b.distance_m, coalesce(b.sample_count = x.n AND abs(b.elevation_m - x.e) < 0.05, false) AS faithful FROM buckets b LEFT JOIN x ON x.segment_id = b.segment_id AND x.direction = b.direction AND x.distance_m = b.distance_m""")
 def _(buckets, passes):
     return D.faithful_buckets(buckets, M.bucket_model(passes.where("session_id % 50 <> 0"))).select("segment_id", "direction", "distance_m", "faithful")
@@ -676,3 +624,9 @@ def _(spans):
 @query("selection_segment_ids", "spans", "WITH f AS (SELECT path_id, segment_id, min(i) AS i FROM spans GROUP BY 1, 2) SELECT path_id, string_agg(CAST(segment_id AS VARCHAR), ',' ORDER BY i) AS ids FROM f GROUP BY 1")
 def _(spans):
     return E.segment_ids(_path_pieces(spans)).select("path_id", F.array_join(F.col("segment_ids").cast("array<string>"), ",").alias("ids"))
+
+
+# the same queries under the names that their forms over whole tables had while SQL fixed slices
+for _name in """graph_leave_one_out model_changed_lines model_witness_disagreement join_interval_overlap join_fixes_in_interval barometer_windowed_altitude
+                diagnose_line_verdicts diagnose_sensitivity diagnose_run_fates diagnose_judged_admissions""".split():
+    QUERIES[f"{_name}_all"] = QUERIES[_name]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions import scalar as S
+from ridgeline.plans.storage import saved
 
 LINE = r"^(GET|POST|PUT|DELETE) (\S+) (\d{3})( ABORTED-BY-CLIENT)? (\d+)ms"
 STAGES = ("network", "rideOrder", "extents", "growth", "lines", "respond", "deliver", "toClose")
@@ -41,9 +42,15 @@ def with_kind(rows: DataFrame) -> DataFrame:
 
 
 def with_quiet(rows: DataFrame, slots: Column | None = None) -> DataFrame:
-    """Seconds without a request before each one.  `slots` deals the log into stretches of time that are ordered on their own (the first request of each has none); without it, one task orders the log."""
-    w = Window.partitionBy(slots if slots is not None else F.lit(0)).orderBy("timestamp", "message")
-    return rows.withColumn("quiet_s", (S.micros(F.col("timestamp")) - F.col("ms") * 1000 - S.micros(F.lag("timestamp").over(w))) / 1e6)
+    """Seconds without a request before each one.  `slots` deals the log into stretches of time that are ordered on their own (the first request of each has none); without it, the log is dealt into ranges of time, and the first request of each follows the last one of the ranges before it."""
+    quiet = lambda last: (S.micros(F.col("timestamp")) - F.col("ms") * 1000 - S.micros(last)) / 1e6
+    if slots is not None:
+        return rows.withColumn("quiet_s", quiet(F.lag("timestamp").over(Window.partitionBy(slots).orderBy("timestamp", "message"))))
+    ranged = saved(rows.repartitionByRange("timestamp", "message").withColumn("_part", F.spark_partition_id()))
+    ends = ranged.groupBy("_part").agg(F.max("timestamp").alias("_end"))  # a row for each partition
+    ends = ends.select("_part", F.max("_end").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    last = F.coalesce(F.lag("timestamp").over(Window.partitionBy("_part").orderBy("timestamp", "message")), F.col("_before"))
+    return ranged.join(F.broadcast(ends), "_part").withColumn("quiet_s", quiet(last)).drop("_part", "_before")
 
 
 def stage_durations(rows: DataFrame, *keep: str) -> DataFrame:
