@@ -2,7 +2,8 @@
 
 The cost of a value is the least sum, over all ways to cut it into segments, of the bits to guess each segment: a
 common word (by its rank, with its spelling), a date, a repeated character or group, a walk over the keyboard, or
-brute force by character class; each further segment costs one bit.  It is found by dynamic programming over the ends
+brute force by character class; each further segment costs one bit.  Words are those that guessers try first, then the
+most frequent words of the texts themselves (see fit_words()).  It is found by dynamic programming over the ends
 of segments, so its time grows with the length of the value.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,6 +40,11 @@ CONTEXT = re.compile(rf"(?:\b{_NAMES}\b[\"']?\x20+(?:is\x20+)?[\"'`]?|://[^\s:/@
 _CLOSING = ".,:;!?)]}>\"'`"
 _HINTS = ("pass", "pwd", "secret", "credential", "auth", "bearer", "token", "key", "://")
 
+#: Frequent words of the texts that follow WORDS in rank, at most, and how often a word comes at least to be one of them.
+DICTIONARY, COMMON = 20_000, 50
+#: A word of running text: lower case as a whole, between white space and marks.
+_PLAIN = re.compile(r"(?<![^\s\"'(])[a-z]{3,16}(?![^\s.,;:!?)\"'])", re.ASCII)
+
 #: Words by how early a guesser tries them.
 WORDS = (
     "password 123456 qwerty admin letmein welcome monkey dragon master login secret token test example changeme default "
@@ -48,7 +55,7 @@ WORDS = (
     "the and for you with this that from have your value none null true false string placeholder insert here"
 ).split()
 RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-LONGEST = max(map(len, WORDS))
+LONGEST = 16
 _LEET = str.maketrans("@4301!57$", "aaeoiists")
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _KEYS = {c: (x + r * 0.5, r) for r, row in enumerate(_ROWS) for x, c in enumerate(row)}
@@ -73,11 +80,35 @@ def _char_bits(c: str) -> float:
     return math.log2(33)
 
 
-def guess_bits(value: str) -> float:
+def fit_words(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
+    """Ranks of WORDS and, after them, of the DICTIONARY most frequent words of all texts that come COMMON times or more.
+
+    Tasks count the words of all their texts and hand on each count once; the driver gets the top of the sums only.  Null
+    and empty texts have no words; ties go by the word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if text:
+                    seen.update(_PLAIN.findall(text))
+            if len(seen) > 500_000:
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+                seen.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+
+    counts = map_arrow(docs.select(F.col(text_col).cast("string").alias("text")), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    ranks = dict(RANK)
+    for r in counts.orderBy(F.desc("n"), "word").limit(DICTIONARY).collect():
+        ranks.setdefault(r.word, len(ranks) + 1)
+    return ranks
+
+
+def guess_bits(value: str, ranks: dict[str, int] = RANK) -> float:
     """Bits of the cheapest segmentation of the value; 0 for an empty one.
 
     Segments: brute force, the bits of each character (and one for each letter of a value in mixed case); a word of
-    WORDS, the bits of its rank (one more if not in lower case, two more with digits or signs for letters); a date or
+    `ranks`, the bits of its rank (one more if not in lower case, two more with digits or signs for letters); a date or
     year; three keys or more of which each is beside the one before; a group of at most PERIODS characters that comes
     twice or more (a single one three times), in full or cut short at the end.  The best cost of every prefix is the least
     over all segments that may end it; walks and repeats carry the best place to begin from character to character."""
@@ -123,9 +154,9 @@ def guess_bits(value: str) -> float:
                 low = min(low, repeated[p])
         for j in range(max(0, i - LONGEST), i - 1):
             cased = value[j:i] != lower[j:i]
-            if (r := RANK.get(lower[j:i])) is not None:
+            if (r := ranks.get(lower[j:i])) is not None:
                 low = min(low, best[j] + _SEGMENT + math.log2(r) + cased)
-            if (r := RANK.get(plain[j:i])) is not None and plain[j:i] != lower[j:i]:
+            if (r := ranks.get(plain[j:i])) is not None and plain[j:i] != lower[j:i]:
                 low = min(low, best[j] + _SEGMENT + math.log2(r) + 2 + cased)
         best[i] = low
     return best[n] - _SEGMENT
@@ -135,7 +166,7 @@ def _classes(value: str) -> int:
     return any(c.isdigit() for c in value) + any("a" <= c <= "z" for c in value) + any("A" <= c <= "Z" for c in value) + any(not c.isalnum() for c in value)
 
 
-def spans(text: str | None) -> list[tuple[str, int, int, int, int, float | None]]:
+def spans(text: str | None, ranks: dict[str, int] = RANK) -> list[tuple[str, int, int, int, int, float | None]]:
     """(kind, start, end, value's start, value's end, bits of the value) by start, then kind; no spans for a null text.
 
     Base kinds as they match; kind "guess" for a value in a credential context that costs MIN_BITS and that no base value
@@ -149,7 +180,7 @@ def spans(text: str | None) -> list[tuple[str, int, int, int, int, float | None]
     if "password" in lower or "passwd" in lower or "secret" in lower or "token" in lower or "api" in lower:
         for m in ASSIGN.finditer(text):
             if len(m[2]) >= 6:
-                found.append(("assign", m.start(), m.end(), m.start(2), m.end(2), guess_bits(m[2])))
+                found.append(("assign", m.start(), m.end(), m.start(2), m.end(2), guess_bits(m[2], ranks)))
     if "AKIA" in text:
         found += [("access", m.start(), m.end(), m.start(), m.end(), None) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [("hex", m.start(), m.end(), m.start(), m.end(), None) for m in HEX.finditer(text)]
@@ -172,7 +203,7 @@ def spans(text: str | None) -> list[tuple[str, int, int, int, int, float | None]
                 k += 1
             if b <= end or (k < len(base) and base[k][0] <= a and b <= base[k][1]):
                 continue
-            if (bits := guess_bits(text[a:b])) >= MIN_BITS:
+            if (bits := guess_bits(text[a:b], ranks)) >= MIN_BITS:
                 found.append(("guess", a, b, a, b, bits))
                 end = b
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
@@ -188,18 +219,19 @@ def _struct(s: tuple) -> dict:
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id and its secrets (see spans()), positions in code points; one row for every row, null and repeated ids included."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit_words(docs, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[_struct(s) for s in spans(t)] for t in batch.column(1).to_pylist()]
+            found = [[_struct(s) for s in spans(t, shared.value)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _SPAN_TYPE)], names=["doc_id", "secrets"])
 
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, f"doc_id long, secrets {_SPAN}")
 
 
-def redacted(text: str | None, marks: dict[str, str] | None = None) -> str | None:
+def redacted(text: str | None, marks: dict[str, str] | None = None, ranks: dict[str, int] = RANK) -> str | None:
     """The text with each secret value (overlapping ones as one) replaced by a mark of its first kind."""
-    if not text or not (found := spans(text)):
+    if not text or not (found := spans(text, ranks)):
         return text
     out, at, last = [], 0, -1
     for kind, _, _, a, b, _ in sorted(found, key=lambda s: (s[3], KINDS.index(s[0]))):
@@ -213,13 +245,13 @@ def redacted(text: str | None, marks: dict[str, str] | None = None) -> str | Non
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """All rows and columns of `docs`, with the secrets in the text replaced; with `length_col`, its code points counted anew where they were given."""
-
+    shared = docs.sparkSession.sparkContext.broadcast(fit_words(docs, text_col))
     place = docs.columns.index(text_col)
     counted = docs.columns.index(length_col) if length_col and length_col in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [redacted(t) for t in batch.column(place).to_pylist()]
+            texts = [redacted(t, ranks=shared.value) for t in batch.column(place).to_pylist()]
             columns = list(batch.columns)
             columns[place] = pa.array(texts, pa.string())
             if counted is not None:

@@ -481,6 +481,13 @@ def test_guess_cost_is_the_least(spark):
         assert secrets.guess_bits(value) == pytest.approx(brute_bits(value)), value
 
 
+def test_words_of_the_texts_are_guessed_early(spark):
+    texts = ["the quillon banter rides"] * 60 + ["secret = quillonbanterrides xqzvkw", "quillon", None, ""]
+    ranks = secrets.fit_words(frame(spark, texts))
+    assert {"quillon", "banter", "rides"} <= set(ranks) and "xqzvkw" not in ranks and list(ranks)[: len(secrets.RANK)] == list(secrets.RANK)
+    assert ranks["quillon"] < ranks["banter"] and secrets.guess_bits("quillonbanterrides", ranks) < 30 < secrets.guess_bits("quillonbanterrides")
+
+
 def test_empty_tables(spark):
     docs = frame(spark, ["x"]).limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
