@@ -3,8 +3,9 @@
 A text of a sentencepiece BPE vocabulary in which the space mark only leads a piece falls into pre-tokens that are
 encoded independently: a run of spaces with the word after it, and a line feed (a character outside the vocabulary,
 hence a byte token of its own) with the word after it.  Tier one is a broadcast table of frequent pre-tokens and their
-lengths; what misses it is encoded once per worker and kept in a bounded cache there.  The table is filled from
-TABLE_ROWS documents; it is a cache only, so the counts don't depend on it: every pre-token of every text is counted.
+lengths; what misses it is encoded once per worker and kept in a bounded cache there.  Frequencies are those of all
+texts: each task keeps a bounded summary of counts, and summaries are merged MERGED at a time in rounds over neighbouring
+partitions, so no pre-token is shuffled and the driver gets MERGED summaries at most.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.frames import map_arrow
+from ridgeline.llm.frames import map_arrow, saved
 
-#: Documents that fill the frequent table (and of each row of counts), and its entries, at most.
-TABLE_ROWS = 2_000
-TABLE_CHUNK = 500
+#: Entries of the frequent table, of the summary that a task hands on, and of the counts that it holds, at most.
 TABLE_ENTRIES = 1 << 16
+SUMMARY_ENTRIES = 1 << 14
+HELD_ENTRIES = 1 << 18
+#: Summaries that one task (at the end: the driver) merges.
+MERGED = 64
 #: Entries of a worker's cache, at most; longer pre-tokens aren't kept.
 CACHE_ENTRIES = 1 << 18
 CACHED_CHARS = 200
@@ -90,34 +93,50 @@ def splits_at_spaces(model: bytes) -> bool:
     return not any(SPACE_MARK in p.id_to_piece(i).lstrip(SPACE_MARK) for i in range(p.get_piece_size()))
 
 
-def frequent_lengths(texts: DataFrame, model: bytes) -> dict[str, int]:
-    """The most frequent pre-tokens of at most TABLE_ROWS texts, with their lengths.
+def _thinned(seen: Counter, most: int) -> Counter:
+    return seen if len(seen) <= most else Counter(dict(seen.most_common(most)))
 
-    Workers turn TABLE_CHUNK texts at a time into one row of counts; take() reads no more partitions than it needs."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PieceCounter(model, {})
+def _summary(seen: Counter) -> pa.RecordBatch:
+    top = seen.most_common(SUMMARY_ENTRIES)
+    return pa.RecordBatch.from_arrays([pa.array([[w for w, _ in top]], pa.list_(pa.string())), pa.array([[n for _, n in top]], pa.list_(pa.int64()))], names=["words", "counts"])
+
 
-        def row(seen: Counter) -> pa.RecordBatch:
-            top = seen.most_common(TABLE_ENTRIES)
-            return pa.RecordBatch.from_arrays([pa.array([[w for w, _ in top]], pa.list_(pa.string())), pa.array([[n for _, n in top]], pa.list_(pa.int64())), pa.array([[counter[w] for w, _ in top]], pa.list_(pa.int32()))], names=["words", "counts", "lengths"])
+def frequent_lengths(texts: DataFrame, model: bytes) -> dict[str, int]:
+    """The most frequent pre-tokens of all texts, with their lengths.
+
+    A task drops its rarest pre-tokens where it holds more than HELD_ENTRIES, so a count may be too low; no document and
+    no partition is left out."""
+    shape = "words array<string>, counts array<long>"
 
-        seen, held = Counter(), 0
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter, seen = PieceCounter(model, {}), Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen.update(w for w in counter.split(text or "") if 0 < len(w) <= CACHED_CHARS)
-                held += 1
-                if held == TABLE_CHUNK:
-                    yield row(seen)
-                    seen, held = Counter(), 0
-        if held:
-            yield row(seen)
-
-    every, lengths = Counter(), {}
-    for r in map_arrow(texts, run, "words array<string>, counts array<long>, lengths array<int>").take(TABLE_ROWS // TABLE_CHUNK):
+                if text:
+                    seen.update(w for w in counter.split(text) if 0 < len(w) <= CACHED_CHARS)
+                if len(seen) > HELD_ENTRIES:
+                    seen = _thinned(seen, HELD_ENTRIES // 2)
+        if seen:
+            yield _summary(seen)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Counter()
+        for batch in batches:
+            for words, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen.update(dict(zip(words, counts, strict=True)))
+                seen = _thinned(seen, HELD_ENTRIES)
+        if seen:
+            yield _summary(seen)
+
+    summaries = saved(map_arrow(texts, count, shape))
+    while (n := summaries.rdd.getNumPartitions()) > MERGED:
+        summaries = saved(map_arrow(summaries.coalesce(-(-n // MERGED)), merge, shape))
+    every = Counter()
+    for r in summaries.collect():
         every.update(dict(zip(r.words, r.counts, strict=True)))
-        lengths.update(zip(r.words, r.lengths, strict=True))
-    return {w: lengths[w] for w, _ in every.most_common(TABLE_ENTRIES)}
+    counter = PieceCounter(model, {})
+    return {w: counter[w] for w, _ in every.most_common(TABLE_ENTRIES)}
 
 
 def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
