@@ -140,7 +140,7 @@ def test_token_counts(spark, odd, monkeypatch):
     expected = sorted((i, len((t or "").encode()), len(sp.encode(t or "")), len(sp.encode(t or "")) > 4096) for i, t in enumerate(texts))
     assert sorted(tuple(x) for x in tokens.op2_token_counts(frame(spark, texts)).collect()) == expected
     monkeypatch.setattr(tokens, "CACHE_ENTRIES", 4)
-    monkeypatch.setattr(tokens, "TABLE_ROWS", 1)
+    monkeypatch.setattr(tokens, "MERGED", 2)
     assert sorted(tuple(x) for x in tokens.op2_token_counts(frame(spark, texts)).collect()) == expected
 
 
@@ -224,6 +224,38 @@ def test_chat(spark):
     assert rows[4, "bob", 0].mask == "" and rows[4, "bob", 1].mask == "14:22" and len(rows) == 10
 
 
+def test_frequent_table_is_of_all_texts(spark, monkeypatch):
+    import public_tokenizers
+
+    texts = [f"early{i % 7} word" for i in range(200)] + ["late words late"] * 300
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(9)
+    monkeypatch.setattr(tokens, "MERGED", 2)
+    every = tokens.frequent_lengths(df, model)
+    assert set(every) == {w for t in texts for w in t.split(" ")}
+    monkeypatch.setattr(tokens, "TABLE_ENTRIES", 2)
+    assert list(tokens.frequent_lengths(df, model))[0] == "late" and len(tokens.frequent_lengths(df, model)) == 2
+
+
+def test_chat_cuts_large_parts(spark, monkeypatch):
+    """Many rows of one turn number, of none and of no conversation: bounded pieces, in order, that hold every turn."""
+    import duckdb
+
+    r = random.Random(3)
+    turns = [(1, None, r.choice("ab"), f"t{r.randrange(40)}") for _ in range(300)] + [(1, 3, "a", "same")] * 200 + [(None, i, "c", f"n{i}") for i in range(90)] + [(2, i, "a", "x") for i in range(70)] + [(None, None, None, None)] * 3
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(5)
+    monkeypatch.setattr(frames, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(frames, "HOT_ROWS", 20)
+    got = chat.perspectives(df, piece=32).collect()
+    conversations = df.toPandas()  # noqa: F841  read by name below
+    sql = chat.OP5_SQL.replace("4096", "32")
+    want = duckdb.sql(f"SELECT conv_id, speaker, part, piece, n_turns, text, mask FROM ({sql})").fetchall()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert max(x.n_turns for x in got) <= 96 and len({(x.conv_id, x.part, x.piece) for x in got if x.conv_id == 1}) > 10
+    assert sum(x.n_turns for x in got if x.speaker == "a" and x.conv_id == 1) == 500 and sum(x.n_turns for x in got if x.conv_id is None and x.speaker == "c") == 93
+
+
 def labelled_docs(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     extra = spark.createDataFrame([(-1, None, None, None, None), (-2, "", "en", "a", 0), (None, "x", None, None, 1)], "doc_id long, text string, lang string, source string, n_chars long")
