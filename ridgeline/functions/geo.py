@@ -99,3 +99,20 @@ def padded_box(minx: Column, miny: Column, maxx: Column, maxy: Column, pad_m: fl
     lat = pad_m / M_PER_DEG_LAT
     lon = pad_m / (M_PER_DEG_LAT * F.cos(F.radians((miny + maxy) / 2)))
     return minx - lon, miny - lat, maxx + lon, maxy + lat
+
+
+def inside_box(lon: Column, lat: Column, minx: Column, miny: Column, maxx: Column, maxy: Column, margin_m: float) -> Column:
+    """Whether a point lies `margin_m` or more inside the box; never in a box that is smaller than its margins."""
+    west, south, east, north = padded_box(minx, miny, maxx, maxy, -margin_m)
+    return lon.between(west, east) & lat.between(south, north)
+
+
+def padded_view(west: Column, south: Column, east: Column, north: Column, share: float = 0.2) -> tuple[Column, Column, Column, Column]:
+    """(min lon, min lat, max lon, max lat) of a viewport, its corners in either order, with a share of its size on every side."""
+    lon, lat = F.abs(east - west) * share, F.abs(north - south) * share
+    return F.least(east, west) - lon, F.least(north, south) - lat, F.greatest(east, west) + lon, F.greatest(north, south) + lat
+
+
+def covers(outer: tuple[Column, Column, Column, Column], inner: tuple[Column, Column, Column, Column]) -> Column:
+    """Whether the first box (as of padded_view()) holds the second, so that a fetched answer still serves."""
+    return (outer[0] <= inner[0]) & (outer[1] <= inner[1]) & (outer[2] >= inner[2]) & (outer[3] >= inner[3])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.operators.model import LINE
+from ridgeline.operators.relational import fixes_within
 
 NEXT_DOOR = 0.5
 
@@ -28,11 +29,12 @@ def loss_cause(opposite_drawn: Column, fixes: Column, drawn_elsewhere: Column, u
     return F.when(opposite_drawn, "wrong-dir").when(share >= NEXT_DOOR, "next-door").when(unavailable > fixes / 2, "dropped").when(runs_here > 0, "gate").otherwise("no-run")
 
 
-def lost_passes(passes: DataFrame, runs: DataFrame, fixes: DataFrame, ways: DataFrame) -> DataFrame:
+def lost_passes(passes: DataFrame, runs: DataFrame, fixes: DataFrame, ways: DataFrame, slot_s: float = 600.0) -> DataFrame:
     """Passes (session_id, segment_id, direction, started, ended) without a qualified run of their direction over the same time, with their cause.
 
     runs: session_id, segment_id, direction, started, ended, qualified.  fixes: session_id, at_s, available, and where
-    each landed (landed_segment, landed_direction, landed_drawn).  ways: segment_id, osm_way_id."""
+    each landed (landed_segment, landed_direction, landed_drawn).  ways: segment_id, osm_way_id.  Passes meet fixes by
+    slots of slot_s seconds."""
     key = ["session_id", "segment_id", "started", "ended"]
     p = passes.select(*key, F.col("direction").alias("p_direction"))
     r = runs.select("session_id", "segment_id", F.col("direction").alias("r_direction"), F.col("started").alias("a"), F.col("ended").alias("b"), "qualified")
@@ -42,7 +44,7 @@ def lost_passes(passes: DataFrame, runs: DataFrame, fixes: DataFrame, ways: Data
     rows = p.join(met, [*key, "p_direction"], "left").fillna(False, ["found", "opposite_drawn"]).fillna(0, ["runs_here"]).where("NOT found")
     way = ways.select("segment_id", F.col("osm_way_id").alias("own_way"))
     landed = ways.select(F.col("segment_id").alias("landed_segment"), F.col("osm_way_id").alias("landed_way"))
-    inside = rows.join(fixes, "session_id").where("at_s >= started AND at_s <= ended").join(way, "segment_id", "left").join(landed, "landed_segment", "left")
+    inside = fixes_within(rows, fixes, "session_id", slot_s).join(way, "segment_id", "left").join(landed, "landed_segment", "left")
     away = F.coalesce((F.col("landed_segment") != F.col("segment_id")) & F.col("landed_drawn"), F.lit(False))
     counts = inside.groupBy(*key, "p_direction").agg(F.count("*").alias("fixes"), F.count_if(~F.col("available")).alias("unavailable"), F.count_if(away).alias("elsewhere"), F.count_if(away & (F.col("own_way") == F.col("landed_way"))).alias("same_way"))
     rows = rows.join(counts, [*key, "p_direction"], "left").fillna(0, ["fixes", "unavailable", "elsewhere", "same_way"])

@@ -299,3 +299,22 @@ def ring(readings: DataFrame, capacity: int, key: str = "device_id", arrived: st
     """The last `capacity` readings of each device by arrival, as a ring that overwrites its oldest would hold."""
     w = Window.partitionBy(key).orderBy(F.desc(arrived))
     return readings.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= capacity).drop("_r")
+
+
+def live_positions(columns: DataFrame) -> DataFrame:
+    """Place of each column that isn't dropped among those of its table (table_name, position, dropped)."""
+    w = Window.partitionBy("table_name").orderBy("position")
+    return columns.where("NOT dropped").select("table_name", "position", F.row_number().over(w).alias("place"))
+
+
+def largest(rows: DataFrame, by: str, ties: list[str], n: int) -> DataFrame:
+    """A report of the n rows with the most of `by`; ties by the columns named."""
+    return rows.where(F.col(by).isNotNull()).orderBy(F.desc(by), *ties).limit(n)
+
+
+def changed_answers(recorded: DataFrame, replayed: DataFrame, key: str = "request", answer: str = "answer") -> DataFrame:
+    """missing, new or changed for each request whose recorded answer (once a request) isn't the replayed one."""
+    a = recorded.select(key, F.struct(answer).alias("a"))
+    rows = a.join(replayed.select(key, F.struct(answer).alias("b")), key, "full_outer")
+    change = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "new").when(~F.col(f"a.{answer}").eqNullSafe(F.col(f"b.{answer}")), "changed")
+    return rows.select(key, change.alias("change")).where("change IS NOT NULL")

@@ -113,3 +113,39 @@ def responses(pieces: DataFrame, spans: DataFrame, stops: DataFrame) -> DataFram
     rows = stops.join(p, "path_id", "left").join(s, "path_id", "left")
     length = F.coalesce("length_m", F.lit(0.0))
     return rows.select("path_id", "pieces", "spans", length.alias("length_m"), F.struct("reason", length.alias("at_m"), "ahead_m", "branches").alias("stop"), bands.alias("bands"))
+
+
+def previews(lines: DataFrame, stops: DataFrame, least_m: float = 1.0) -> DataFrame:
+    """Spans of the stand-in selection from where each line is pressed to its drawn end, as the map colours it.
+
+    lines: path_id, direction, geometry_m, pressed_m (both along the geometry, which runs forward); stops: path_id, i,
+    fraction, color, each up to the next one, the last up to 1.  A line without stops or with less than `least_m` ahead
+    has no preview; one whose stops leave nothing ahead is one span without data."""
+    w = Window.partitionBy("path_id").orderBy("i")
+    runs = stops.select("path_id", "color", F.col("fraction").alias("a"), F.lead("fraction", 1, 1.0).over(w).alias("b")).where("b > a")
+    start = F.when(F.col("direction") == "forward", F.col("pressed_m") / F.col("geometry_m")).otherwise(1 - F.col("pressed_m") / F.col("geometry_m"))
+    held = lines.where("geometry_m > 0").withColumn("start", start).withColumn("ahead_m", (1 - F.col("start")) * F.col("geometry_m")).where(F.col("ahead_m") >= least_m)
+    held = held.join(stops.select("path_id").distinct(), "path_id", "left_semi")
+    forward = F.col("direction") == "forward"
+    drawn = held.join(runs, "path_id").select("path_id", "geometry_m", "start", "color", F.when(forward, F.col("a")).otherwise(1 - F.col("b")).alias("a"), F.when(forward, F.col("b")).otherwise(1 - F.col("a")).alias("b")).where("b > start")
+    begin = F.greatest("a", "start")
+    drawn = drawn.select("path_id", ((begin - F.col("start")) * F.col("geometry_m")).alias("at_m"), ((F.col("b") - begin) * F.col("geometry_m")).alias("length_m"), "color", F.lit("line").alias("source"))
+    rows = held.select("path_id", "ahead_m").join(drawn, "path_id", "left")
+    return rows.select("path_id", F.coalesce("at_m", F.lit(0.0)).alias("at_m"), F.coalesce("length_m", "ahead_m").alias("length_m"), F.coalesce("color", F.lit(NO_DATA_COLOR)).alias("color"), F.coalesce("source", F.lit("none")).alias("source"))
+
+
+def problems(pieces: DataFrame, spans: DataFrame, near_m: float = 0.01) -> DataFrame:
+    """(path_id, problem, n): where selections break what holds for every sound one.
+
+    tiles: a piece that doesn't begin where the pieces before it end; spans: a piece that its spans don't fill; heights: a
+    span that doesn't end at the next one's height; card: a path whose climb less descent isn't its rise from end to end."""
+    w = Window.partitionBy("path_id").orderBy("i")
+    before = F.coalesce(F.sum("length_m").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    tiles = pieces.withColumn("off", F.abs(F.col("at_m") - before)).where(F.col("off") > near_m).select("path_id", F.lit("tiles").alias("problem"))
+    filled = spans.groupBy("path_id", "piece").agg(F.sum("length_m").alias("filled_m"))
+    empty = pieces.select("path_id", F.col("i").alias("piece"), "length_m").join(filled, ["path_id", "piece"], "left").where(F.abs(F.col("length_m") - F.coalesce("filled_m", F.lit(0.0))) > near_m)
+    steps = spans.withColumn("step", F.lead("height_m").over(w) - F.col("height_m") - F.col("rise_m")).where(F.abs("step") > near_m)
+    rise = spans.groupBy("path_id").agg(F.sum("rise_m").alias("net_m"), F.min_by("height_m", "i").alias("a"), F.max_by(F.col("height_m") + F.col("rise_m"), F.col("i")).alias("b"))
+    out = tiles.unionByName(empty.select("path_id", F.lit("spans").alias("problem"))).unionByName(steps.select("path_id", F.lit("heights").alias("problem")))
+    out = out.unionByName(rise.where(F.abs(F.col("b") - F.col("a") - F.col("net_m")) > near_m).select("path_id", F.lit("card").alias("problem")))
+    return out.groupBy("path_id", "problem").agg(F.count("*").alias("n"))

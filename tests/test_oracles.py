@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from ridgeline.plans import queries as Q
-from ridgeline.plans import queries_more  # noqa: F401
+from ridgeline.plans import queries_more, queries_view  # noqa: F401
 from ridgeline.sources.surrogate import TABLES
 
 

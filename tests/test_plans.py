@@ -5,7 +5,7 @@ import re
 import pytest
 
 from ridgeline.plans import queries as Q
-from ridgeline.plans import queries_more  # noqa: F401
+from ridgeline.plans import queries_more, queries_view  # noqa: F401
 from ridgeline.sources.surrogate import model_table
 
 #: Their surrogate terrain, or a summary of one row, is crossed with a few literals.
