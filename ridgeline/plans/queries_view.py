@@ -12,7 +12,7 @@ from ridgeline.operators import model as M
 from ridgeline.operators import relational as R
 from ridgeline.operators import selection as L
 from ridgeline.operators import windows as W
-from ridgeline.plans.queries import HOLES, _holes, color_sql, query, rounded
+from ridgeline.plans.queries import HOLES, STOPS, _holes, color_sql, query, rounded
 from ridgeline.plans.queries_more import SP, _spans
 
 # --- boxes
@@ -38,6 +38,12 @@ def _(segments):
     return rounded(rows, "min_lon", "max_lat", places=9)
 
 
+@query("viewport_stops", "buckets coverage lines pass_buckets", f"WITH {STOPS} SELECT segment_id, direction, round(from_m, 6) AS from_m, round(to_m, 6) AS to_m, round(fraction, 6) + 0e0 AS fraction, round(slope_pct, 5) + 0e0 AS slope_pct FROM st")
+def _(buckets, coverage, lines, passes):
+    nested = M.viewport(lines, buckets, coverage, passes).select("segment_id", F.explode("lines").alias("l")).select("segment_id", "l.direction", "l.from_m", "l.to_m", F.explode("l.stops").alias("s"))
+    return rounded(rounded(nested.select("segment_id", "direction", "from_m", "to_m", "s.fraction", "s.slope_pct"), "from_m", "to_m", "fraction"), "slope_pct", places=5)
+
+
 # --- selections
 
 _PIECES = "pc AS (SELECT path_id, piece AS i, sum(length_m) AS length_m FROM spans GROUP BY 1, 2), pi AS (SELECT *, coalesce(sum(length_m) OVER (PARTITION BY path_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_m FROM pc)"

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ridgeline.config import DEFAULT
+from ridgeline.config import DEFAULT, NO_DATA_COLOR
 from ridgeline.functions import geo as G
 from ridgeline.functions import scalar as S
 from ridgeline.operators import clean as C
@@ -23,7 +23,7 @@ from ridgeline.operators import relational as R
 from ridgeline.operators import selection as E
 from ridgeline.operators import windows as W
 from ridgeline.plans import queries as plans
-from ridgeline.plans import queries_more  # noqa: F401  registers more queries
+from ridgeline.plans import queries_more, queries_view
 from ridgeline.plans import requests as Q
 from ridgeline.plans.engine import Engine
 from ridgeline.sources import accesslog, dem, network_files, snapshot
@@ -595,3 +595,22 @@ def test_engine(spark):
     grown = engine.paths(asked, out["model"], out["coverage"], runs).orderBy("i").collect()
     assert [r.segment_id for r in grown][:1] == [1] and 2 in [r.segment_id for r in grown]
     assert engine.ingest(samples, samples).count() == samples.count()
+
+
+def test_previews(spark):
+    lines = spark.createDataFrame([(1, "forward", 100.0, 20.0), (2, "backward", 100.0, 20.0), (3, "forward", 100.0, 99.5), (4, "forward", 0.0, 0.0), (5, "forward", 100.0, 50.0), (6, "forward", 100.0, 10.0)], "path_id long, direction string, geometry_m double, pressed_m double")
+    stops = spark.createDataFrame([(k, i, f, c) for k in (1, 2, 3, 4) for i, f, c in ((0, 0.0, "a"), (1, 0.5, "b"), (2, 0.5, "c"))] + [(6, 0, 1.0, "z")], "path_id long, i int, fraction double, color string")
+    got = sorted((r.path_id, round(r.at_m, 6), round(r.length_m, 6), r.color, r.source) for r in E.previews(lines, stops).collect())
+    assert got == [(1, 0.0, 30.0, "a", "line"), (1, 30.0, 50.0, "c", "line"), (2, 0.0, 20.0, "a", "line"), (6, 0.0, 90.0, NO_DATA_COLOR, "none")]
+
+
+def test_sound_selections_have_no_problems(spark, sf):
+    spans = queries_more._spans(model_table(spark, sf, "spans"))
+    assert E.problems(queries_view._pieces(spans), spans).count() == 0
+    assert {r.problem for r in E.problems(queries_view._pieces(spans), spans.where("i <> 2")).select("problem").distinct().collect()} >= {"spans", "heights", "card"}
+
+
+def test_changed_answers(spark):
+    a = spark.createDataFrame([(1, "x"), (2, None), (3, "y"), (4, None), (5, "z")], "request long, answer string")
+    b = spark.createDataFrame([(1, "x"), (2, None), (3, None), (4, "w"), (6, None)], "request long, answer string")
+    assert sorted((r.request, r.change) for r in R.changed_answers(a, b).collect()) == [(3, "changed"), (4, "changed"), (5, "missing"), (6, "new")]
