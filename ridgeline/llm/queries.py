@@ -17,6 +17,7 @@ from ridgeline.llm.quality import op6_quality_classifier
 from ridgeline.llm.secrets import op3_secret_scan
 from ridgeline.llm.tokens import op2_token_counts
 from ridgeline.llm.toxicity import op7_toxicity
+from ridgeline.llm.whitening import op12_embedding_whitening
 
 
 def _on(f: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -35,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_document_fingerprints": _on(op8_document_fingerprints, "documents"),
         "op9_benchmark_decontamination": _on(op9_benchmark_decontamination, "documents", "benchmark"),
         "op10_source_mixing": _on(op10_source_mixing, "documents"),
+        "op12_embedding_whitening": _on(op12_embedding_whitening, "embeddings"),
     }
 
 
