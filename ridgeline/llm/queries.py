@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ridgeline.llm.chat import OP5_SQL, op5_chat_formatting
 from ridgeline.llm.decontam import OP9_SQL, op9_benchmark_decontamination, op9_benchmark_proximity
+from ridgeline.llm.divergence import OP11_SQL, op11_source_divergence
 from ridgeline.llm.frames import table
 from ridgeline.llm.iblt import op8_document_fingerprints
 from ridgeline.llm.jaccard import OP1_SQL, op1_ngram_jaccard_join
@@ -36,6 +37,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_document_fingerprints": _on(op8_document_fingerprints, "documents"),
         "op9_benchmark_decontamination": _on(op9_benchmark_decontamination, "documents", "benchmark"),
         "op10_source_mixing": _on(op10_source_mixing, "documents"),
+        "op11_source_divergence": _on(op11_source_divergence, "documents"),
         "op12_embedding_whitening": _on(op12_embedding_whitening, "embeddings"),
     }
 
@@ -46,4 +48,4 @@ def more_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1_SQL, "op5_chat_formatting": OP5_SQL, "op9_benchmark_decontamination": OP9_SQL, "op10_source_mixing": OP10_SQL}
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op5_chat_formatting": OP5_SQL, "op9_benchmark_decontamination": OP9_SQL, "op10_source_mixing": OP10_SQL, "op11_source_divergence": OP11_SQL}
