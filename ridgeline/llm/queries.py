@@ -13,6 +13,7 @@ from ridgeline.llm.frames import table
 from ridgeline.llm.iblt import op8_document_fingerprints
 from ridgeline.llm.jaccard import OP1_SQL, op1_ngram_jaccard_join
 from ridgeline.llm.langid import op4_language_id
+from ridgeline.llm.mincut import op13_html_extraction
 from ridgeline.llm.mixing import OP10_SQL, op10_source_mixing
 from ridgeline.llm.quality import op6_quality_classifier
 from ridgeline.llm.secrets import op3_secret_scan
@@ -39,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_source_mixing": _on(op10_source_mixing, "documents"),
         "op11_source_divergence": _on(op11_source_divergence, "documents"),
         "op12_embedding_whitening": _on(op12_embedding_whitening, "embeddings"),
+        "op13_html_extraction": _on(op13_html_extraction, "pages"),
     }
 
 
