@@ -19,4 +19,4 @@ def test_same_rows(spark, sf, name):
 
 
 def test_every_operator_is_registered():
-    assert [int(n[2:].split("_")[0]) for n in queries()] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries()] == list(range(1, 14))
