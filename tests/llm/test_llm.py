@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -505,12 +506,42 @@ def brute_bits(value):
     return best(len(value)) - secrets._SEGMENT
 
 
-def test_guess_cost_is_the_least(spark):
+@pytest.mark.parametrize("short", [64, 0])
+def test_guess_cost_is_the_least(monkeypatch, short):
+    """Of every value and, from the same run, of what it ends in."""
+    monkeypatch.setattr(secrets, "SHORT", short)
     r = random.Random(4)
     bits = ["dragon", "bvcxz", "xyz", "xyz", "for", "shadow", "asdf", "2019-05-04", "04051999", "1987", "aaaa", "abab", "P@ssw0rd", "Qwerty", "k", "7", "!", "zz", "Xq9"]
     for _ in range(3000):
         value = "".join(r.choice(bits) if r.random() < 0.8 else r.choice("aB3$xyz12") for _ in range(r.randrange(1, 6)))
-        assert secrets.guess_bits(value) == pytest.approx(brute_bits(value)), value
+        run = secrets.GUESSER.run(value)
+        for i in sorted({0, r.randrange(len(value)), r.randrange(len(value))}):
+            assert run.cost(i) == pytest.approx(brute_bits(value[i:])), value[i:]
+            assert run.cost(i) <= run.at_most(i) + 1e-9
+
+
+LONG = "".join(random.Random(2).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=5_000_000))
+
+
+@pytest.mark.parametrize("text, found", [
+    ("token:" * 200_000, 0), ("token=" + LONG, 1), ("password " + LONG, 1), ("://bob:" + LONG + "@h", 1), ("token='" + LONG.replace("A", " ") + "'", 2), ("token:" * 1000 + "." * 3_000_000, 0), ("token" + " " * 3_000_000, 0), ("token:\"'" * 100_000, 0),
+    ('token:"\\' * 100_000, 0), ("pwd=@" + "passwordmonkey" * 100_000, 1), ("auth: " * 200_000, 0), ("a=://x:yQ7$kLm2vRt@" * 50_000, 50_000), ("token:\n" * 200_000, 0),
+], ids=range(13))
+def test_long_texts_take_time_in_proportion(text, found):
+    began = time.time()
+    assert len(secrets.spans(text)) == found
+    assert time.time() - began < 60
+
+
+def test_sentences_in_quotes_stay():
+    text = 'token: "This is a sentence that someone wrote down, with several plain words." and token: "xQ7 kLm2 vRt9 Zp4w"'
+    assert [text[a:b] for _, _, _, a, b, _ in secrets.spans(text)] == ["xQ7 kLm2 vRt9 Zp4w"]
+
+
+def test_dictionary_is_the_same_in_a_larger_table(spark):
+    texts = ["the quillon banter rides"] * 6 + ["secret = quillonbanterrides xqzvkw", "quillon", None, "", "once only"]
+    small, large = (secrets.fit_words(frame(spark, texts * k)) for k in (1, 9))
+    assert set(small) == set(large) - {"xqzvkw", "once", "only"} and "quillon" in small
 
 
 def test_words_of_the_texts_are_guessed_early(spark):
