@@ -49,9 +49,9 @@ _HINTS = ("pass", "pwd", "secret", "credential", "auth", "bearer", "token", "key
 
 #: Words of the texts that follow WORDS in rank: those that make one in DICTIONARY of all words at least, and stand in more than one text.
 DICTIONARY = 20_000
-#: A quoted value that reads as a sentence (most of three parts or more are plain words) costs so many bits a character at least.
-SENTENCE_BITS = 4.0
-_PART = re.compile(r"[^\W\d_]+[.,;:!?]*")
+#: A quoted value that reads as a sentence (of five parts or more, most are words with a vowel) costs so many bits a character at least.
+SENTENCE_BITS, SENTENCE_PARTS = 6.0, 5
+_PART = re.compile(r"(?=[^aeiouyAEIOUY]*[aeiouyAEIOUY\u00C0-\uFFFF])[^\W\d_]+[.,;:!?]*")
 #: A word of running text: lower case as a whole, between white space and marks.
 _PLAIN = re.compile(r"(?<![^\s\"'(])[a-z]{3,16}(?![^\s.,;:!?)\"'])", re.ASCII)
 
@@ -322,7 +322,7 @@ def _classes(value: str) -> int:
 
 def _reads_as_sentence(value: str) -> bool:
     parts = value.split()
-    return len(parts) >= 3 and 2 * sum(_PART.fullmatch(p) is not None for p in parts) > len(parts)
+    return len(parts) >= SENTENCE_PARTS and 2 * sum(_PART.fullmatch(p) is not None for p in parts) > len(parts)
 
 
 def _values(text: str) -> list[tuple[int, int, bool]]:

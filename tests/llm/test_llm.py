@@ -222,7 +222,48 @@ def test_chat(spark):
     assert ann.text == "<|system|>\nBe<|end|>\n<|assistant|>\nHi<|end|>\n<|user:bob|>\nYo é<|end|>\n<|assistant|>\n<|end|>\n<|assistant|>\n<|end|>\n" and ann.n_turns == 5
     assert [ann.text[int(a) : int(b)] for a, b in (s.split(":") for s in ann.mask.split(","))] == ["Hi<|end|>", "<|end|>", "<|end|>"]
     assert (1, "system", 0) not in rows and (2, "unknown", 0) in rows and (3, "system", 0) in rows and (None, "ann", 0) in rows
-    assert rows[4, "bob", 0].mask == "" and rows[4, "bob", 1].mask == "14:22" and len(rows) == 10
+    assert rows[4, "bob", 0].n_turns == 2 and len(rows) == 8
+
+
+def brute_chat(turns):
+    """Whole dialogues and masks by conversation and speaker."""
+    convs = defaultdict(list)
+    for c, t, r, said in turns:
+        convs[c].append((t is not None, t or 0, r or "unknown", said or ""))
+    out = {}
+    for c, rows in convs.items():
+        roles = {r[2] for r in rows}
+        for s in roles - {"system"} or roles:
+            text, mask = "", []
+            for _, _, role, said in sorted(rows):
+                text += "<|assistant|>\n" if role == s else "<|system|>\n" if role == "system" else f"<|user:{role}|>\n"
+                if role == s:
+                    mask.append((len(text), len(text) + len(said) + 7))
+                text += said + "<|end|>\n"
+            out[c, s] = (text, mask)
+    return out
+
+
+def test_chat_parts_make_whole_dialogues(spark, monkeypatch):
+    """Many turns of one number, of none and of no conversation: parts are bounded, and one after another they are the dialogue."""
+    import duckdb
+
+    r = random.Random(3)
+    turns = [(1, None, r.choice("ab"), f"t{r.randrange(40)}") for _ in range(300)] + [(1, 3, "a", "same")] * 200 + [(None, i, "c", f"n{i}") for i in range(90)] + [(2, i, r.choice(["a", "system"]), "x") for i in range(70)] + [(None, None, None, None)] * 3
+    turns += [(6, 1, "a", "long " + "é" * 5_000_000), (6, 2, "b", "y")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(5)
+    monkeypatch.setattr(frames, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(frames, "HOT_ROWS", 3)
+    got = chat.perspectives(df, size=32).collect()
+    want = brute_chat(turns)
+    for (c, s), (text, mask) in want.items():
+        own = sorted((x for x in got if x.conv_id == c and x.speaker == s), key=lambda x: x.part)
+        assert "".join(x.text for x in own) == text and [x.part for x in own] == list(range(len(own))) and all(x.n_turns == 32 for x in own[:-1])
+        assert ",".join(x.mask for x in own if x.mask) == ",".join(f"{a}:{b}" for a, b in mask)
+    assert {(x.conv_id, x.speaker) for x in got} == set(want)
+    conversations = df.where("conv_id <> 6 OR conv_id IS NULL").toPandas()  # noqa: F841  read by name below
+    rows = duckdb.sql(f"SELECT conv_id, speaker, part, n_turns, text, mask FROM ({chat._SQL.format(part=32)})").fetchall()
+    assert sorted(str(tuple(x)) for x in got if x.conv_id != 6) == sorted(map(str, rows))
 
 
 def test_frequent_table_is_of_all_texts(spark, monkeypatch):
@@ -239,24 +280,6 @@ def test_frequent_table_is_of_all_texts(spark, monkeypatch):
     assert list(tokens.frequent_lengths(df, model))[0] == "late" and len(tokens.frequent_lengths(df, model)) == 2
 
 
-def test_chat_cuts_large_parts(spark, monkeypatch):
-    """Many rows of one turn number, of none and of no conversation: bounded pieces, in order, that hold every turn."""
-    import duckdb
-
-    r = random.Random(3)
-    turns = [(1, None, r.choice("ab"), f"t{r.randrange(40)}") for _ in range(300)] + [(1, 3, "a", "same")] * 200 + [(None, i, "c", f"n{i}") for i in range(90)] + [(2, i, "a", "x") for i in range(70)] + [(None, None, None, None)] * 3
-    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(5)
-    monkeypatch.setattr(frames, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(frames, "HOT_ROWS", 20)
-    got = chat.perspectives(df, piece=32).collect()
-    conversations = df.toPandas()  # noqa: F841  read by name below
-    sql = chat.OP5_SQL.replace("4096", "32")
-    want = duckdb.sql(f"SELECT conv_id, speaker, part, piece, n_turns, text, mask FROM ({sql})").fetchall()
-    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
-    assert max(x.n_turns for x in got) <= 96 and len({(x.conv_id, x.part, x.piece) for x in got if x.conv_id == 1}) > 10
-    assert sum(x.n_turns for x in got if x.speaker == "a" and x.conv_id == 1) == 500 and sum(x.n_turns for x in got if x.conv_id is None and x.speaker == "c") == 93
-
-
 def labelled_docs(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     extra = spark.createDataFrame([(-1, None, None, None, None), (-2, "", "en", "a", 0), (None, "x", None, None, 1)], "doc_id long, text string, lang string, source string, n_chars long")
