@@ -2,8 +2,9 @@
 
 Bytes are embedded; learned filters of WIDTH bytes run over overlapping chunks of CHUNK bytes that cover the whole
 document; each filter's response is rectified and max-pooled over its chunk.  The mean and the maximum over the chunks
-go through one logistic unit.  The network is trained on the driver, by Adam, from all chunks of TRAIN_ROWS documents of
-each label at most, of those with TRAIN_BYTES bytes at most; scoring always covers every byte.
+go through one logistic unit.  The network is trained on the driver, by Adam, from TRAIN_ROWS documents of each label at
+most: from all chunks of each, or of a very long one from TRAIN_CHUNKS chunks at even distances over the whole text.
+Scoring always covers every byte.
 """
 
 from __future__ import annotations
@@ -15,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.frames import map_arrow
+from ridgeline.llm.frames import map_arrow, to_binary
 from ridgeline.llm.labelled import held_out, sample
 from ridgeline.llm.wordhash import chunks, utf8_parts
 
 CHUNK, OVERLAP = 512, 64
 EMBED, WIDTH, STRIDE, FILTERS = 6, 8, 2, 16
-#: The sample that the network learns from: documents of each label, at most, and the bytes of the longest of them.
-TRAIN_ROWS, TRAIN_BYTES, EPOCHS = 600, 1 << 16, 12
+#: The sample that the network learns from: documents of each label, and chunks of each of these, at most.
+TRAIN_ROWS, TRAIN_CHUNKS, EPOCHS = 600, 147, 12
 
 
 def chunk_starts(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,22 +114,32 @@ class ByteNet:
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> ByteNet | None:
     """A network learnt from rows that aren't held out; none where a label is missing altogether.
 
-    Documents of more than TRAIN_BYTES bytes aren't learnt from; of rows that repeat an id, the least text is."""
+    Of rows that repeat an id, the least text is learnt from.  Texts are cut into chunks in the tasks."""
     ids = {i: y for y in (0, 1) for i in sample(labels, label_col, y, rows, id_col)}
     if len(set(ids.values())) < 2:
         return None
     spark = docs.sparkSession
     wanted = spark.createDataFrame(sorted(ids.items()), "doc_id long, y int")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8_parts(batch.column(2))
+            doc, start = chunk_starts(offsets)
+            n = np.bincount(doc, minlength=batch.num_rows)
+            of = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+            kept = np.minimum(n, TRAIN_CHUNKS)[doc]  # chunk i of n is taken where i * kept / n passes a whole number
+            picked = np.flatnonzero((of * kept) // n[doc] != ((of - 1) * kept) // n[doc])
+            rows = chunk_bytes(data, offsets, doc[picked], start[picked])
+            ends = np.concatenate(([0], np.cumsum(np.bincount(doc[picked], minlength=batch.num_rows)))) * CHUNK
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), to_binary(rows.reshape(-1), ends)], names=["doc_id", "y", "chunks"])
+
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    few = own.where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-    got = sorted((r.doc_id, r.y, r.text) for r in few.collect())
+    few = own.join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    got = sorted((r.doc_id, r.y, bytes(r.chunks)) for r in map_arrow(few, run, "doc_id long, y int, chunks binary").collect())
     if len({y for _, y, _ in got}) < 2:
         return None
-    data, offsets = utf8_parts(pa.array([t for _, _, t in got], pa.large_string()))
-    doc, start = chunk_starts(offsets)
-    rows = chunk_bytes(data, offsets, doc, start)
-    return ByteNet().fit(np.split(rows, np.flatnonzero(doc[1:] != doc[:-1]) + 1), np.array([y for _, y, _ in got], dtype=np.float32))
+    rows = [np.frombuffer(c, dtype=np.uint8).reshape(-1, CHUNK) for _, _, c in got]
+    return ByteNet().fit(rows, np.array([y for _, y, _ in got], dtype=np.float32))
 
 
 def quality_scores(docs: DataFrame, model: ByteNet | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
