@@ -20,8 +20,8 @@ from ridgeline.llm.frames import binary, map_arrow, to_binary
 from ridgeline.llm.labelled import held_out, lowest, sample, share
 from ridgeline.llm.wordhash import chunks, folded_sums, mix, utf8_parts, word_hashes
 
-#: The sample that the classifier learns from: rows of each kind, at most, and the bytes of the longest of their texts.
-POSITIVES, UNLABELLED, TRAIN_BYTES = 1_500, 4_000, 1 << 14
+#: The sample that the classifier learns from: rows of each kind, and different features of each, at most.
+POSITIVES, UNLABELLED, TRAIN_FEATURES = 1_500, 4_000, 1 << 14
 VOCABULARY = 512
 STEMS = (4, 5, 6, 7)
 #: The last bits of a feature: 0 for a word, else 8 less the bytes of the stem.
@@ -80,7 +80,7 @@ class WordModel:
 
 
 def choose_words(positive: list[np.ndarray], other: list[np.ndarray], size: int, prior: float) -> np.ndarray:
-    """Features of three positive texts or more of which, by the prior, half the texts that have them are toxic; the largest G statistics first."""
+    """Features of three texts or more that tell toxic texts from the others, for or against; the largest G statistics first."""
     p, pn = np.unique(np.concatenate(positive), return_counts=True)
     u, un = np.unique(np.concatenate(other), return_counts=True) if other else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     both = np.union1d(p, u)
@@ -94,7 +94,7 @@ def choose_words(positive: list[np.ndarray], other: list[np.ndarray], size: int,
         return np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(rows * r, 1e-9)), 0)
 
     g = 2 * (part(a, n, rate) + part(n - a, n, 1 - rate) + part(b, m, rate) + part(m - b, m, 1 - rate))
-    usable = (a >= 3) & (prior * a / n >= 0.5 * (b + 1) / m) & (g > 2 * np.log(max(len(both), 2)))
+    usable = (a + b >= 3) & (g > 2 * np.log(max(len(both), 2)))
     pick = np.flatnonzero(usable)[np.argsort(-g[usable], kind="stable")]
     # of features that the same positives have, the one that is rarest elsewhere, or else the longest
     same = np.zeros(len(pick), dtype=np.uint64)
@@ -150,7 +150,7 @@ def nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, rounds: int = 600, penalt
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", prior: float | None = None) -> WordModel | None:
     """A model learnt from confirmed toxic rows and unlabelled ones, none of them held out; none without a toxic row.
 
-    Texts of more than TRAIN_BYTES bytes aren't learnt from; of rows that repeat an id, the least text is.
+    Of rows that repeat an id, the least text is learnt from.
     The prior is that of the labels which aren't held out (kept within 0.01 and 0.5), PRIOR where they hold only toxic rows."""
     toxic = sample(labels, label_col, 1, POSITIVES, id_col)
     if not toxic:
@@ -165,10 +165,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, words, bounds in feature_sets(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), to_binary(words, bounds)], names=["y", "words"])
+                few = np.minimum(np.diff(bounds), TRAIN_FEATURES)
+                words = words[np.arange(len(words)) - np.repeat(bounds[:-1], np.diff(bounds)) < TRAIN_FEATURES]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), to_binary(words, np.concatenate(([0], np.cumsum(few))))], names=["y", "words"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    few = own.where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("y", "text")
+    few = own.join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("y", "text")
     rows = sorted(((r.y, bytes(r.words)) for r in map_arrow(few, run, "y int, words binary").collect()))
     sets = {y: without_copies([np.frombuffer(w, dtype=np.uint64) for k, w in rows if k == y]) for y in (0, 1)}
     if not sets[1] or not sets[0]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm import chat, decontam, frames, iblt, jaccard, langid, mixing, quality, secrets, tokens, toxicity
 from ridgeline.llm.labelled import held_out
-from ridgeline.llm.wordhash import shingle_sets
+from ridgeline.llm.wordhash import shingle_sets, utf8_parts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -295,9 +295,48 @@ def test_classifiers(spark, op, label, floor):
     tested = [x for x in rows if x.held_out and x.doc_id in truth]
     assert all(zlib.crc32(str(x.doc_id).encode()) % 5 == 0 for x in tested)
     assert np.mean([x.predicted == truth[x.doc_id] for x in tested]) > floor
+    if label == "toxic":
+        assert np.mean([x.predicted for x in tested if truth[x.doc_id] == 1]) >= 0.9
     assert {x.predicted for x in op(docs.limit(20), labels.limit(0)).collect()} <= {0, 1}
 
 
+def test_toxicity_of_few_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.op7_toxicity(docs, labels).where("held_out").join(labels.where("toxic IS NOT NULL").select("doc_id", "toxic"), "doc_id").collect()
+    assert np.mean([x.predicted for x in rows if x.toxic == 1]) >= 0.6 and sum(x.predicted for x in rows if x.toxic == 0) <= 1
+
+
+def test_scores_follow_from_the_weights():
+    """Every byte and word of a text counts once: scores against loops over chunks, places and words."""
+    texts = ["", "short", "bad words " * 300, "é" * 700, "x" * 512, "abc def. " * 57]
+    data, offsets = utf8_parts(pa.array(texts, pa.large_string()))
+    net = quality.ByteNet()
+    got = net.score(data, offsets)
+    for t, score in zip(texts, got, strict=True):
+        raw, at, pooled = t.encode(), 0, []
+        while not pooled or at + quality.OVERLAP < len(raw):
+            chunk = raw[at : at + quality.CHUNK].ljust(quality.CHUNK, b"\0")
+            places = range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE)
+            pooled.append(np.maximum(np.max([np.concatenate([net.p["embed"][b] for b in chunk[i : i + quality.WIDTH]]) @ net.p["w"] for i in places], axis=0) + net.p["b"], 0))
+            at += quality.CHUNK - quality.OVERLAP
+        z = np.concatenate((np.mean(pooled, axis=0), np.max(pooled, axis=0))) @ net.p["out"] + net.p["bias"][0]
+        assert score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5)
+    own, _ = toxicity.features(*utf8_parts(pa.array(["bad words"], pa.large_string())))
+    model = toxicity.WordModel(np.sort(own), np.linspace(-1, 1, len(own)), 0.3)
+    for t, score in zip(texts, model.score(data, offsets), strict=True):
+        mine, _ = toxicity.features(*utf8_parts(pa.array([t], pa.large_string())))
+        z = 0.3 + sum(w for x, w in zip(model.words, model.weights, strict=True) if x in set(mine.tolist()))
+        assert score == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_long_texts_take_part_in_training(spark):
+    docs = frame(spark, ["fine text of good words " * 400_000, "junk 000 $$$ " * 400_000, "fine text of good words", "junk 000 $$$"] * 4, ids=[i for i in range(40) if zlib.crc32(str(i).encode()) % 5][:16])
+    labels = docs.select("doc_id", F.col("text").startswith("fine").cast("int").alias("quality"), F.col("text").startswith("junk").cast("int").alias("toxic"))
+    long = {x.doc_id for x in docs.where(F.length("text") > 1000).collect()}
+    net = quality.fit(docs.where(F.length("text") > 1000), labels)
+    assert net is not None and len(long) == 8 and toxicity.fit(docs.where(F.length("text") > 1000), labels) is not None
+
+
 def test_held_out_labels_are_not_learnt(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
     from ridgeline.llm.labelled import sample
