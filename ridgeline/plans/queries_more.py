@@ -9,6 +9,7 @@ from ridgeline.functions import geo as G
 from ridgeline.functions import scalar as S
 from ridgeline.operators import clean as C
 from ridgeline.operators import diagnose as D
+from ridgeline.operators import growth as Y
 from ridgeline.operators import match as X
 from ridgeline.operators import model as M
 from ridgeline.operators import network as N
@@ -468,22 +469,69 @@ def _from_all(ways):
     return ways.select("area", F.col("id").alias("path_id"), F.col("id").alias("segment_id"), F.lit("forward").alias("direction"), F.lit(0.0).alias("at_m"))
 
 
-@query("graph_grow", "segments buckets coverage lines runs")
+def _bearing_sql(x1: str, y1: str, x2: str, y2: str) -> str:
+    return f"degrees(atan2(sin(radians({x2} - {x1})) * cos(radians({y2})), cos(radians({y1})) * sin(radians({y2})) - sin(radians({y1})) * cos(radians({y2})) * cos(radians({x2} - {x1}))))"
+
+
+#: The paths again, one line at a time: wk is the chain of each path, pc its stretches with their running sums, gr the answer.
+GROWN = f"""RECURSIVE {TRANS}, {EXTENTS}, sg AS (SELECT * FROM segments WHERE canonical_segment_id IS NULL), {ENDS.replace("FROM segments", "FROM sg")},
+    nx AS (SELECT * FROM ad UNION SELECT a.id, a.which, b.id FROM en a JOIN en b ON a.id <> b.id AND abs(a.y - b.y) < 0.0001e0 AND abs(a.x - b.x) < 0.0001e0 WHERE {hav('a.x', 'a.y', 'b.x', 'b.y')} <= 5),
+    wl AS (SELECT *, least(1e0, 15 / nullif({hav('lon0', 'lat0', 'lon1', 'lat1')}, 0)) AS sh FROM sg),
+    md AS (SELECT *, lon0 + (lon1 - lon0) * sh AS ax, lat0 + (lat1 - lat0) * sh AS ay, lon0 + (lon1 - lon0) * (1 - sh) AS bx, lat0 + (lat1 - lat0) * (1 - sh) AS bq FROM wl),
+    ln AS (SELECT id, 0 AS d, length_m, lower(trim(coalesce(street_name, ''))) AS nm, lon1 AS tx, lat1 AS ty, {_bearing_sql('lon0', 'lat0', 'ax', 'ay')} AS inw, {_bearing_sql('bx', 'bq', 'lon1', 'lat1')} AS outw FROM md
+      UNION ALL SELECT id, 1, length_m, lower(trim(coalesce(street_name, ''))), lon0, lat0, {_bearing_sql('lon1', 'lat1', 'bx', 'bq')}, {_bearing_sql('ax', 'ay', 'lon0', 'lat0')} FROM md),
+    a1 AS (SELECT DISTINCT l.id, l.d, o.id AS t, CASE WHEN {hav('l.tx', 'l.ty', 'o.lon1', 'o.lat1')} < {hav('l.tx', 'l.ty', 'o.lon0', 'o.lat0')} THEN 1 ELSE 0 END AS td, l.outw, l.nm FROM nx JOIN ln l ON l.id = nx.segment_id AND l.d = CASE WHEN nx.which = 'end' THEN 0 ELSE 1 END JOIN sg o ON o.id = nx.other),
+    rd AS (SELECT segment_id AS id, CASE WHEN direction = 'forward' THEN 0 ELSE 1 END AS d, next_segment_id AS t, CASE WHEN next_direction = 'forward' THEN 0 ELSE 1 END AS td, count(DISTINCT session_id) AS rides FROM tr GROUP BY ALL),
+    dw AS (SELECT DISTINCT segment_id AS id, CASE WHEN direction = 'forward' THEN 0 ELSE 1 END AS d, from_m AS p, to_m AS q FROM ext),
+    ar AS (SELECT a1.id, a1.d, a1.t, a1.td, abs(((m.inw - a1.outw) % 360 + 540) % 360 - 180) AS turn, CASE WHEN w.id IS NOT NULL THEN 0 WHEN v.id IS NOT NULL THEN 1 ELSE 2 END AS src, coalesce(rd.rides, 0) AS rides, a1.nm <> '' AND a1.nm = m.nm AS same
+      FROM a1 JOIN ln m ON m.id = a1.t AND m.d = a1.td LEFT JOIN dw w ON w.id = a1.t AND w.d = a1.td LEFT JOIN dw v ON v.id = a1.t AND v.d = 1 - a1.td LEFT JOIN rd ON rd.id = a1.id AND rd.d = a1.d AND rd.t = a1.t AND rd.td = a1.td),
+    st AS (SELECT DISTINCT id AS bf, t AS id, td AS d FROM ar UNION ALL SELECT DISTINCT -1, id, d FROM ar),
+    cd AS (SELECT st.bf, ar.*, max(CASE WHEN src = 0 THEN rides ELSE 0 END) OVER (PARTITION BY st.bf, ar.id, ar.d) AS top FROM st JOIN ar ON ar.id = st.id AND ar.d = st.d AND ar.t <> st.bf),
+    rk AS (SELECT *, src = 0 AND rides = top AS led, row_number() OVER (PARTITION BY bf, id, d ORDER BY CASE WHEN same THEN 0 ELSE 1 END, turn, src, t, td) AS by_name, row_number() OVER (PARTITION BY bf, id, d ORDER BY CASE WHEN turn <= 60 THEN 0 ELSE 1 END, src, turn, t, td) AS by_turn FROM cd),
+    c1 AS (SELECT bf, id, d, count(*) AS arms, max(top) AS top, count(*) FILTER (led) AS leaders, max(t * 2 + td) FILTER (led) AS h, max(t * 2 + td) FILTER (by_name = 1 AND same) AS n, max(t * 2 + td) FILTER (by_turn = 1 AND turn <= 60) AS u, max(t * 2 + td) AS o FROM rk GROUP BY bf, id, d),
+    ch AS (SELECT bf, id, d, arms, CASE WHEN top > 0 AND leaders = 1 THEN h WHEN n IS NOT NULL THEN n WHEN u IS NOT NULL THEN u WHEN arms = 1 THEN o END AS nx, CASE WHEN top > 0 AND leaders = 1 THEN 'history' WHEN n IS NOT NULL THEN 'name' WHEN u IS NOT NULL THEN 'turn' WHEN arms = 1 THEN 'only' END AS rule FROM c1),
+    wk AS (SELECT id AS path_id, 0 AS leg, CAST(-1 AS BIGINT) AS bf, id, 0 AS d, length_m, length_m AS reach, [id] AS passed, 'start' AS rule FROM sg
+      UNION ALL SELECT wk.path_id, wk.leg + 1, wk.id, l.id, l.d, l.length_m, wk.reach + l.length_m, list_append(wk.passed, l.id), ch.rule FROM wk JOIN ch ON ch.bf = wk.bf AND ch.id = wk.id AND ch.d = wk.d JOIN ln l ON l.id = ch.nx // 2 AND l.d = ch.nx % 2 WHERE wk.reach <= 5000 AND NOT list_contains(wk.passed, l.id)),
+    la AS (SELECT wk.path_id, CASE WHEN wk.reach > 5000 THEN 'limit' WHEN ch.rule IS NOT NULL THEN 'loop' WHEN ch.arms > 0 THEN 'fork' ELSE 'end' END AS reason, coalesce(ch.arms, 0) AS arms FROM wk LEFT JOIN ch ON ch.bf = wk.bf AND ch.id = wk.id AND ch.d = wk.d QUALIFY row_number() OVER (PARTITION BY wk.path_id ORDER BY wk.leg DESC) = 1),
+    kn AS (SELECT l.id, l.d, l.length_m, w.p, w.q, l.length_m - v.q AS r, l.length_m - v.p AS s FROM ln l LEFT JOIN dw w ON w.id = l.id AND w.d = l.d LEFT JOIN dw v ON v.id = l.id AND v.d = 1 - l.d),
+    k1 AS (SELECT DISTINCT id, d, p, q, r, s, greatest(0e0, least(length_m, x)) AS x FROM (SELECT *, unnest([0e0, p, q, r, s, length_m]) AS x FROM kn) WHERE x IS NOT NULL),
+    k2 AS (SELECT *, lead(x) OVER (PARTITION BY id, d ORDER BY x) AS y FROM k1),
+    k3 AS (SELECT id, d, x, y, CASE WHEN (x + y) / 2 BETWEEN p AND q THEN 0 WHEN (x + y) / 2 BETWEEN r AND s THEN 1 ELSE 2 END AS src FROM k2 WHERE y > x),
+    k4 AS (SELECT *, row_number() OVER (PARTITION BY id, d ORDER BY x) - row_number() OVER (PARTITION BY id, d, src ORDER BY x) AS isle FROM k3),
+    sr AS (SELECT id, d, src, min(x) AS x, max(y) AS y FROM k4 GROUP BY id, d, src, isle),
+    p1 AS (SELECT wk.path_id, wk.leg, wk.id, wk.d, sr.x, sr.y, sr.src, wk.rule, row_number() OVER o - 1 AS i, wk.leg <> coalesce(lag(wk.leg) OVER o, -1) AS head, sum(y - x) OVER o AS fin, sum(CASE WHEN src = 2 THEN y - x ELSE 0 END) OVER o AS bares FROM wk JOIN sr ON sr.id = wk.id AND sr.d = wk.d WINDOW o AS (PARTITION BY wk.path_id ORDER BY wk.leg, sr.x)),
+    p2 AS (SELECT *, fin - (y - x) AS beg, bares - max(CASE WHEN src = 2 THEN 0 ELSE bares END) OVER (PARTITION BY path_id ORDER BY i) AS bare FROM p1),
+    p3 AS (SELECT path_id, count(*) AS n, coalesce(min(i) FILTER (bare > 150), count(*)) AS gap, coalesce(min(i) FILTER (beg >= 5000), count(*)) AS ful, coalesce(min(i) FILTER (fin > 5000), count(*)) AS ovr FROM p2 GROUP BY path_id),
+    p4 AS (SELECT *, gap < n AND gap <= least(ful, ovr) AS gapped FROM p3),
+    p5 AS (SELECT p4.*, CASE WHEN gapped THEN gap WHEN ful < n OR ovr < n THEN least(ful, ovr + 1) ELSE n END AS stop, CASE WHEN gapped THEN 'gap' WHEN ful < n OR ovr < n THEN 'limit' ELSE la.reason END AS reason, la.arms FROM p4 JOIN la ON la.path_id = p4.path_id),
+    pc AS (SELECT p2.*, p5.reason, p5.arms, CASE WHEN ovr < ful AND ovr + 1 = stop AND p5.reason = 'limit' AND i = ovr THEN x + 5000 - beg ELSE y END AS z, coalesce(max(CASE WHEN src <> 2 THEN i + 1 END) OVER (PARTITION BY p2.path_id), 0) AS kept FROM p2 JOIN p5 ON p5.path_id = p2.path_id WHERE i < stop),
+    ps AS (SELECT *, sum(CASE WHEN i >= kept THEN z - x ELSE 0 END) OVER (PARTITION BY path_id) AS ahead FROM pc),
+    gr AS (SELECT path_id, CAST(i AS INT) AS i, id AS segment_id, CASE WHEN d = 0 THEN 'forward' ELSE 'backward' END AS direction, x AS from_m, z AS to_m, beg AS at_m, CASE src WHEN 0 THEN 'line' WHEN 1 THEN 'twin' ELSE 'none' END AS source, CASE WHEN head THEN rule END AS rule, reason, ahead AS ahead_m, CAST(CASE WHEN reason IN ('fork', 'end') THEN arms ELSE 0 END AS INT) AS branches FROM ps WHERE i < kept
+      UNION ALL SELECT p5.path_id, NULL, p5.path_id, 'forward', NULL, NULL, NULL, NULL, NULL, p5.reason, coalesce(m.ahead, 0), CAST(CASE WHEN p5.reason IN ('fork', 'end') THEN p5.arms ELSE 0 END AS INT) FROM p5 LEFT JOIN (SELECT path_id, max(ahead) AS ahead FROM ps GROUP BY path_id) m ON m.path_id = p5.path_id WHERE p5.path_id NOT IN (SELECT path_id FROM ps WHERE i < kept))"""
+
+
+def _grown(segments, buckets, coverage, lines, runs):
+    """The path of every line: forward from its start."""
+    ways = saved(_lines(segments))
+    extents = saved(M.extents(buckets, coverage, lines).select("segment_id", "direction", "from_m", "to_m"))
+    asked = ways.select(F.col("id").alias("path_id"), F.col("id").alias("segment_id"), F.lit("forward").alias("direction"), F.lit(0.0).alias("at_m"))
+    return Y.grow_paths(asked, ways.select("id", "line", "length_m", "street_name"), X.end_neighbours(ways, 5.0), extents, W.transitions(runs))
+
+
+@query("graph_grow", "segments buckets coverage lines runs", f"WITH {GROWN} SELECT path_id, i, segment_id, direction, round(from_m, 6) AS from_m, round(to_m, 6) AS to_m, round(at_m, 6) AS at_m, source, rule, reason, round(ahead_m, 6) AS ahead_m, branches FROM gr")
 def _(segments, buckets, coverage, lines, runs):
-    graph = _graph(segments, buckets, coverage, lines, runs)
-    return P.grow_all(_from_all(graph[0]), *graph)
+    return rounded(_grown(segments, buckets, coverage, lines, runs), "from_m", "to_m", "at_m", "ahead_m")
 
 
-@query("graph_growth_census", "segments buckets coverage lines runs")
+@query("graph_growth_census", "segments buckets coverage lines runs", f"""WITH {GROWN}, x AS (SELECT path_id, max(reason) AS reason, coalesce(sum(to_m - from_m), 0) AS metres, coalesce(sum(CASE WHEN source = 'twin' THEN to_m - from_m END), 0) AS twin_m, coalesce(sum(CASE WHEN source = 'none' THEN to_m - from_m END), 0) AS none_m FROM gr GROUP BY path_id)
+    SELECT reason, count(*) AS paths, round(sum(metres), 3) AS metres, round(sum(twin_m), 3) AS twin_m, round(sum(none_m), 3) AS none_m, round(quantile_cont(metres, 0.25), 3) AS metres_p25, round(quantile_cont(metres, 0.5), 3) AS metres_p50, round(quantile_cont(metres, 0.75), 3) AS metres_p75 FROM x GROUP BY reason""")
 def _(segments, buckets, coverage, lines, runs):
-    graph = _graph(segments, buckets, coverage, lines, runs)
-    return P.growth_census(P.grow_all(_from_all(graph[0]), *graph))
+    return rounded(P.growth_census(_grown(segments, buckets, coverage, lines, runs)), "metres", "twin_m", "none_m", "metres_p25", "metres_p50", "metres_p75", places=3)
 
 
-@query("graph_rule_census", "segments buckets coverage lines runs")
+@query("graph_rule_census", "segments buckets coverage lines runs", f"WITH {GROWN} SELECT rule, count(*) AS choices, count(DISTINCT path_id) AS paths FROM gr WHERE rule IS NOT NULL GROUP BY rule")
 def _(segments, buckets, coverage, lines, runs):
-    graph = _graph(segments, buckets, coverage, lines, runs)
-    return P.rule_census(P.grow_all(_from_all(graph[0]), *graph))
+    return P.rule_census(_grown(segments, buckets, coverage, lines, runs))
 
 
 @query("graph_score_rules", "segments buckets coverage lines runs")
@@ -494,18 +542,13 @@ def _(segments, buckets, coverage, lines, runs):
 
 @query("graph_connect", "segments buckets coverage lines runs")
 def _(segments, buckets, coverage, lines, runs):
-    """From every line to the one whose id is 488 further, counted round after the last id; a target that is folded into another line has no way."""
+    """From every line to the one whose id is 40 further, counted round after the last id; a target that is folded into another line has no way."""
     graph = _graph(segments, buckets, coverage, lines, runs)
-    ids = F.broadcast(segments.agg((F.max("id") + 1).alias("ids")))
-    asked = _from_all(graph[0]).crossJoin(ids).withColumn("to_segment_id", (F.col("segment_id") + 8 * 61) % F.col("ids")).drop("ids")
+    ids = (segments.agg(F.max("id")).first()[0] or 0) + 1
+    asked = _from_all(graph[0]).withColumn("to_segment_id", (F.col("segment_id") + 40) % ids)
     return P.connect_all(asked.withColumns({"to_direction": F.lit("forward"), "to_m": F.lit(5.0)}), *graph)
 
 
-def _(runs):
-    """Every session's moves, against the history of all the others."""
-    return P.leave_one_out(W.transitions(runs))
-
-
 @query("path_steepest", "spans")
 def _(spans):
     return rounded(P.steepest(_spans(spans)), "grade_pct", "at_m", places=5)
