@@ -17,7 +17,7 @@ from ridgeline.operators import paths as P
 from ridgeline.operators import relational as R
 from ridgeline.operators import selection as E
 from ridgeline.operators import windows as W
-from ridgeline.plans.queries import BUCKET, EXTENTS, QUERIES, SPIKES, TRANS, color_sql, hav, query, rounded
+from ridgeline.plans.queries import BUCKET, EXTENTS, QUERIES, RANGES, SPIKES, TRANS, color_sql, hav, query, rounded
 from ridgeline.plans.storage import saved
 from ridgeline.sources import accesslog as L
 
@@ -534,6 +534,25 @@ def _(segments, buckets, coverage, lines, runs):
     return P.rule_census(_grown(segments, buckets, coverage, lines, runs))
 
 
+@query("path_drawn_spans", "segments buckets coverage lines runs pass_buckets", f"""WITH {RANGES}, gw AS (WITH {GROWN} SELECT * FROM gr WHERE i IS NOT NULL),
+    dr AS (SELECT segment_id, direction, 'line' AS source, a, b, slope_pct FROM rg UNION ALL SELECT segment_id, CASE WHEN direction = 'forward' THEN 'backward' ELSE 'forward' END, 'twin', length_m - b, length_m - a, -slope_pct FROM rg),
+    px AS (SELECT gw.*, l.length_m, k.source IS NOT NULL AS known FROM gw JOIN lines l ON l.segment_id = gw.segment_id LEFT JOIN (SELECT DISTINCT segment_id, direction, source FROM dr) k ON k.segment_id = gw.segment_id AND k.direction = gw.direction AND k.source = gw.source),
+    ms AS (SELECT path_id, i, at_m + greatest(from_m, a) - from_m AS at_m, least(to_m, b) - greatest(from_m, a) AS length_m, slope_pct, px.source FROM px JOIN dr ON dr.segment_id = px.segment_id AND dr.direction = px.direction AND dr.source = px.source WHERE least(to_m, b) > greatest(from_m, a)),
+    hp AS (SELECT path_id, i, k, segment_id, CASE WHEN (source = 'line') = (direction = 'forward') THEN 'forward' ELSE 'backward' END AS direction, CASE WHEN source = 'line' THEN m ELSE length_m - m END AS m FROM (SELECT *, 0 AS k, from_m AS m FROM px UNION ALL SELECT *, 1, to_m FROM px) WHERE known),
+    hn AS (SELECT path_id, i, k, m, max(distance_m) FILTER (distance_m < m) AS d0, min(distance_m) FILTER (distance_m >= m) AS d1, arg_max(elevation_m, distance_m) FILTER (distance_m < m) AS e0, arg_min(elevation_m, distance_m) FILTER (distance_m >= m) AS e1 FROM hp JOIN buckets b ON b.segment_id = hp.segment_id AND b.direction = hp.direction GROUP BY path_id, i, k, m),
+    hh AS (SELECT path_id, i, k, CASE WHEN d0 IS NULL THEN e1 WHEN d1 IS NULL THEN e0 ELSE e0 + (m - d0) / (d1 - d0) * (e1 - e0) END AS h FROM hn),
+    pb AS (SELECT px.path_id, px.i, px.at_m, NOT known AS bare, to_m - from_m AS m, f.h AS fh, t.h AS th FROM px LEFT JOIN hh f ON f.path_id = px.path_id AND f.i = px.i AND f.k = 0 LEFT JOIN hh t ON t.path_id = px.path_id AND t.i = px.i AND t.k = 1),
+    pz AS (SELECT *, CASE WHEN bare AND lag(bare) OVER w THEN 0 ELSE 1 END AS fresh, lag(th) OVER w AS bf, lead(fh) OVER w AS af FROM pb WINDOW w AS (PARTITION BY path_id ORDER BY i)), py AS (SELECT *, sum(fresh) OVER (PARTITION BY path_id ORDER BY i) AS isl FROM pz),
+    pr AS (SELECT path_id, isl, sum(m) AS m, arg_min(row(bf), i)[1] AS bf, arg_max(row(af), i)[1] AS af FROM py WHERE bare GROUP BY 1, 2)
+    SELECT path_id, i, round(at_m, 6) AS at_m, round(length_m, 6) AS length_m, round(slope_pct, 5) + 0e0 AS slope_pct, source FROM (SELECT * FROM ms
+      UNION ALL SELECT py.path_id, py.i, py.at_m, py.m, CASE WHEN pr.bf IS NULL OR pr.af IS NULL OR pr.m <= 0 THEN 0 ELSE greatest(-25, least(25, (pr.af - pr.bf) / pr.m * 100)) END, 'none' FROM py JOIN pr ON pr.path_id = py.path_id AND pr.isl = py.isl WHERE py.bare)""")
+def _(segments, buckets, coverage, lines, runs, passes):
+    """What is drawn along every grown path."""
+    pieces = _grown(segments, buckets, coverage, lines, runs).where("i IS NOT NULL")
+    ranges = saved(M.drawn_ranges(M.drawn_stops(buckets, coverage, lines, passes)))
+    return rounded(rounded(Y.path_spans(pieces, ranges, buckets, lines), "at_m", "length_m"), "slope_pct", places=5)
+
+
 @query("graph_score_rules", "segments buckets coverage lines runs")
 def _(segments, buckets, coverage, lines, runs):
     """Every session's moves at forks, judged by all rules in order against the rides of the others."""

@@ -3,6 +3,7 @@
 import json
 import math
 from collections import Counter, defaultdict
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -15,6 +16,7 @@ from ridgeline.functions import geo as G
 from ridgeline.functions import scalar as S
 from ridgeline.operators import clean as C
 from ridgeline.operators import diagnose as D
+from ridgeline.operators import growth as Y
 from ridgeline.operators import match as X
 from ridgeline.operators import model as M
 from ridgeline.operators import network as N
@@ -375,13 +377,47 @@ def test_connecting():
     assert reason == "end" and [p[3] for p in pieces] == [0, 60, 90]
 
 
-def test_path_spans():
-    g = grid({(1, "forward"): (0.0, 120.0), (2, "backward"): (0.0, 120.0)})
-    pieces = [((1, "forward"), 0.0, 60.0, 0.0, "line", "start"), ((3, "forward"), 0.0, 20.0, 60.0, "none", None), ((2, "forward"), 0.0, 40.0, 80.0, "twin", None)]
-    ranges = {(1, "forward"): [(0.0, 50.0, 2.0), (50.0, 120.0, 4.0)], (2, "backward"): [(0.0, 120.0, 3.0)]}
-    heights = {(1, "forward"): (np.array([0.0, 120.0]), np.array([100.0, 112.0])), (2, "backward"): (np.array([0.0, 120.0]), np.array([120.0, 108.0]))}
-    spans = P.drive_spans(g, pieces, ranges, heights)
-    assert [(s[0], s[1], round(s[2], 6), s[3]) for s in spans] == [(0, 50, 2, "line"), (50, 10, 4, "line"), (60, 20, 10, "none"), (80, 40, -3, "twin")]
+def test_path_spans(spark):
+    """Ranges clipped to the pieces, the other direction's turned round, one slope between the heights beside a stretch without data."""
+    pieces = spark.createDataFrame([(7, 0, 1, "forward", 0.0, 60.0, 0.0, "line"), (7, 1, 3, "forward", 0.0, 20.0, 60.0, "none"), (7, 2, 2, "forward", 0.0, 40.0, 80.0, "twin"), (8, 0, 3, "forward", 0.0, 20.0, 0.0, "none")], "path_id long, i int, segment_id long, direction string, from_m double, to_m double, at_m double, source string")
+    ranges = spark.createDataFrame([(1, "forward", 0.0, 50.0, 2.0), (1, "forward", 50.0, 120.0, 4.0), (2, "backward", 0.0, 120.0, 3.0)], "segment_id long, direction string, range_from_m double, range_to_m double, slope_pct double")
+    buckets = spark.createDataFrame([(1, "forward", 0, 100.0), (1, "forward", 120, 112.0), (2, "backward", 0, 120.0), (2, "backward", 120, 108.0)], "segment_id long, direction string, distance_m int, elevation_m double")
+    lines = spark.createDataFrame([(1, 120.0), (2, 120.0), (3, 150.0)], "segment_id long, length_m double")
+    got = sorted((r.path_id, r.at_m, r.length_m, round(r.slope_pct, 6), r.source) for r in Y.path_spans(pieces, ranges, buckets, lines).collect())
+    assert got == [(7, 0, 50, 2, "line"), (7, 50, 10, 4, "line"), (7, 60, 20, 10, "none"), (7, 80, 40, -3, "twin"), (8, 0, 20, 0, "none")]
+
+
+def test_growing_by_joins(spark):
+    """The same paths as one graph's, over networks with forks, loops, stretches without data, lines of several legs and requests off the network."""
+    r = np.random.default_rng(5)
+    nodes = {i: tuple(map(float, at(*r.uniform(0, 900, 2)))) for i in range(26)}
+    segments, ends = [], []
+    for i in range(60):
+        a, b = r.choice(26, 2, replace=False).tolist()
+        bend = [nodes[a][k] + (nodes[b][k] - nodes[a][k]) * 0.4 + 1e-5 for k in (0, 1)]
+        line = [list(nodes[a]), *([bend] if i % 3 else []), list(nodes[b])]
+        segments.append((i, line, float(N.line_metres(np.array(line))[-1]), [None, "A", "b  Street", "B street"][i % 4], a, b))
+    for s in segments:
+        for t in segments:
+            ends += [(s[0], which, t[0]) for which, node in (("start", s[4]), ("end", s[5])) if s[0] != t[0] and node in t[4:6]]
+    extents = [(i, d, 0.1 * segments[i][2], float(r.uniform(0.3, 1.0)) * segments[i][2]) for i in range(60) for d in ("forward", "backward") if r.random() < 0.45]
+    moves = [(int(r.integers(9)), s, d, t, e) for s, which, t in ends for d in [{"end": "forward", "start": "backward"}[which]] for e in ("forward", "backward") if r.random() < 0.3]
+    asked = [(i, i % 63, "forward" if i % 2 else "backward", float(r.uniform(-10, 200))) for i in range(126)]
+    frames = [pd.DataFrame(x, columns=c) for x, c in ((segments, ["id", "line", "length_m", "street_name", "a", "b"]), (ends, ["segment_id", "which", "other"]), (extents, ["segment_id", "direction", "from_m", "to_m"]), (moves, ["session_id", "segment_id", "direction", "next_segment_id", "next_direction"]))]
+    schemas = ["id long, line array<array<double>>, length_m double, street_name string", "segment_id long, which string, other long", "segment_id long, direction string, from_m double, to_m double", "session_id long, segment_id long, direction string, next_segment_id long, next_direction string"]
+    tables = [spark.createDataFrame([tuple(x[:4]) for x in rows] if k == 0 else rows, s) for k, (rows, s) in enumerate(zip((segments, ends, extents, moves), schemas, strict=True))]
+    requests = spark.createDataFrame(asked, "path_id long, segment_id long, direction string, at_m double")
+    seen = set()
+    for config in (replace(DEFAULT, max_no_data_m=1000.0), replace(DEFAULT, max_path_m=700.0, max_no_data_m=400.0)):
+        graph, want = P.build_graph(*frames, config=config), []
+        for p, s, d, m in asked:
+            pieces, reason, branches, ahead = graph.grow((s, d), m)
+            base = (reason, round(float(ahead), 6), len(branches))
+            want += [(p, k, *x[0], *(round(v, 6) for v in x[1:4]), x[4], x[5], *base) for k, x in enumerate(pieces)] or [(p, None, s, d, None, None, None, None, None, *base)]
+        got = [tuple(round(v, 6) if isinstance(v, float) else v for v in x) for x in Y.grow_paths(requests, *tables, config).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, want))
+        seen |= {x[9] for x in got}
+    assert len(seen) >= 4
 
 
 def test_steepest_window_is_the_best_of_all():
