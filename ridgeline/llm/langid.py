@@ -22,6 +22,8 @@ from ridgeline.llm.wordhash import chunks, utf8_parts
 DIMS = 2048
 #: Texts of a language that the machines learn from, at most.
 TRAIN_PER_LANG = 600
+#: Languages that are learnt, at most.
+LANGUAGES = 48
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32
 
@@ -128,11 +130,15 @@ class Hierarchy:
 
 
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = TRAIN_PER_LANG) -> Hierarchy | None:
-    """A hierarchy learnt from rows with `learn`, a language and a letter: per_lang of each language at most, chosen by a hash of the text; equal texts count once."""
+    """A hierarchy learnt from rows with `learn`, a language and a letter: per_lang of each language at most, chosen by a hash of the text; equal texts and repeated rows count once.
+
+    At most LANGUAGES languages are learnt, those of the most rows: so rows, machines and the driver's memory are bounded
+    whatever stands in the column."""
     pool = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r.lang: r.n for r in pool.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: r.n for r in pool.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return None
+    pool = pool.where(F.col(lang_col).isin(*counts))
     # a first draw near the bound for each language; what is over is dropped on the driver
     odds = F.create_map(*[x for s, n in sorted(counts.items()) for x in (F.lit(s), F.lit(min(1.0, 1.2 * per_lang / n + 20 / n)))])
     own = pool.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
