@@ -227,6 +227,22 @@ def grow_paths(requests: DataFrame, ways: DataFrame, ends: DataFrame, extents: D
     return pieces.unionByName(empty)
 
 
+def score_rules(ways: DataFrame, ends: DataFrame, extents: DataFrame, moves: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
+    """(rule, verdict, moves): every session's moves at forks (two candidates or more) judged by all rules in order, the session's own rides left out of the history.
+
+    Verdict: right or wrong by what the rule chose, stopped (with rule null) where none decides.  Lines that aren't on the
+    network have no candidates."""
+    back = lambda c: (F.col(c) == "backward").cast("int").alias("back")
+    made = moves.select("session_id", *LINE, F.struct(F.col("next_segment_id").alias("seg"), back("next_direction")).alias("made")).distinct()
+    took = made.groupBy("session_id", *LINE).agg(F.collect_set("made").alias("took"))  # a session's own moves from one line: a junction's arms at most
+    out = _listed(arcs(ways, ends, extents, moves, config), *LINE).where(F.size("c") > 1)
+    own = lambda x: F.array_contains("took", F.struct(x["seg"].alias("seg"), x["back"].alias("back"))).cast("int")
+    others = F.transform("c", lambda x: F.struct(x["turn"].alias("turn"), x["source"].alias("source"), (x["rides"] - own(x)).alias("rides"), x["same"].alias("same"), x["seg"].alias("seg"), x["back"].alias("back")))
+    rows = took.join(out, LINE).withColumn("others", others).withColumn("n", chosen(F.col("others"), config)).select("n", F.explode("took").alias("made"))
+    verdict = F.when(F.col("n").isNull(), "stopped").when((F.col("n.seg") == F.col("made.seg")) & (F.col("n.back") == F.col("made.back")), "right").otherwise("wrong")
+    return rows.groupBy(F.col("n.rule").alias("rule"), verdict.alias("verdict")).agg(F.count("*").alias("moves"))
+
+
 def path_spans(pieces: DataFrame, ranges: DataFrame, buckets: DataFrame, lines: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     """(path_id, i, at_m, length_m, slope_pct, source): the drawn ranges within the pieces of each path, and one slope over each run of pieces without any.
 

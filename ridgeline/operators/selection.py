@@ -33,21 +33,32 @@ def prepended(selection: DataFrame, response: DataFrame) -> DataFrame:
     return joined(response, selection)
 
 
+def _merged(rows: DataFrame, points: DataFrame, at: Column, what: Column, *, ahead: bool) -> DataFrame:
+    """points (path_id, m, x) with the row of its path (as the struct `what`) that is nearest in place behind x, or ahead of it, in one ordered pass; x itself counts.
+
+    Rows of one place go by i: the last of them is behind, the first ahead."""
+    own = rows.select("path_id", at.alias("x"), F.col("i").cast("long").alias("i"), F.lit(None).cast("double").alias("m"), what.alias("s"))
+    asked = points.select("path_id", "x", F.lit(-1 if ahead else 2**62).cast("long").alias("i"), F.col("m").cast("double").alias("m"))
+    every = own.unionByName(asked, allowMissingColumns=True)
+    w = Window.partitionBy("path_id").orderBy("x", "i")
+    near = F.first("s", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)) if ahead else F.last("s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return every.withColumn("near", near).where("m IS NOT NULL AND near IS NOT NULL").select("path_id", "m", "x", F.col("near").alias("s"))
+
+
 def pieces_at(pieces: DataFrame, points: DataFrame) -> DataFrame:
     """The piece under each metre (path_id, m): the first that ends at or after it, else the last; with the metre of travel on its line."""
-    last = pieces.groupBy("path_id").agg(F.max("i").alias("last_i"))
-    rows = points.join(pieces, "path_id").join(last, "path_id").where((F.col("m") <= F.col("at_m") + F.col("length_m")) | (F.col("i") == F.col("last_i")))
-    best = rows.groupBy("path_id", "m").agg(F.min(F.struct("i", "segment_id", "direction", "from_m", "at_m", "length_m")).alias("p"))
-    into = S.clamp(F.col("m") - F.col("p.at_m"), 0, float("inf"))
-    return best.select("path_id", "m", "p.i", "p.segment_id", "p.direction", (F.col("p.from_m") + F.least(into, F.col("p.length_m"))).alias("on_line_m"))
+    last = F.max("i").over(Window.partitionBy("path_id"))
+    rows = pieces.withColumn("x", F.when(F.col("i") == last, F.lit(float("inf"))).otherwise(F.col("at_m") + F.col("length_m")))
+    best = _merged(rows, points.select("path_id", "m", F.col("m").cast("double").alias("x")).distinct(), F.col("x"), F.struct("i", "segment_id", "direction", "from_m", "at_m", "length_m"), ahead=True)
+    into = S.clamp(F.col("m") - F.col("s.at_m"), 0, float("inf"))
+    return best.select("path_id", "m", "s.i", "s.segment_id", "s.direction", (F.col("s.from_m") + F.least(into, F.col("s.length_m"))).alias("on_line_m"))
 
 
 def profile_at(spans: DataFrame, points: DataFrame) -> DataFrame:
     """Height and grade under each metre (path_id, m): in the last span that starts at or before it."""
     whole = spans.groupBy("path_id").agg(F.max(F.col("at_m") + F.col("length_m")).alias("whole_m"))
-    rows = points.where(is_finite(F.col("m").cast("double"))).join(whole, "path_id").withColumn("x", F.greatest(F.lit(0.0), F.least("whole_m", "m")))
-    best = rows.join(spans.drop("path_whole"), "path_id").where((F.col("at_m") <= F.col("x")) | (F.col("i") == 0))
-    best = best.groupBy("path_id", "m", "x").agg(F.max(F.struct("i", "at_m", "length_m", "height_m", "rise_m", "slope_pct", "source")).alias("s"))
+    rows = points.where(is_finite(F.col("m").cast("double"))).join(whole, "path_id").select("path_id", "m", F.greatest(F.lit(0.0), F.least("whole_m", "m")).alias("x")).distinct()
+    best = _merged(spans, rows, F.when(F.col("i") == 0, F.lit(float("-inf"))).otherwise(F.col("at_m")), F.struct("at_m", "length_m", "height_m", "rise_m", "slope_pct", "source"), ahead=False)
     into = F.greatest(F.lit(0.0), F.least(F.col("s.length_m"), F.col("x") - F.col("s.at_m")))
     height = F.col("s.height_m") + F.when(F.col("s.length_m") > 0, F.col("s.rise_m") * into / F.col("s.length_m")).otherwise(0.0)
     return best.select("path_id", "m", F.col("x").alias("at_m"), height.alias("height_m"), F.when(F.col("s.source") != "none", F.col("s.slope_pct")).alias("grade_pct"))

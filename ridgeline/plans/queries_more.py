@@ -553,10 +553,17 @@ def _(segments, buckets, coverage, lines, runs, passes):
     return rounded(rounded(Y.path_spans(pieces, ranges, buckets, lines), "at_m", "length_m"), "slope_pct", places=5)
 
 
-@query("graph_score_rules", "segments buckets coverage lines runs")
+@query("graph_score_rules", "segments buckets coverage lines runs", f"""WITH {GROWN}, mv AS (SELECT DISTINCT session_id, segment_id AS id, CASE WHEN direction = 'forward' THEN 0 ELSE 1 END AS d, next_segment_id AS t, CASE WHEN next_direction = 'forward' THEN 0 ELSE 1 END AS td FROM tr),
+    ms AS (SELECT DISTINCT session_id, id, d FROM mv), s1 AS (SELECT ms.session_id, ar.* REPLACE (ar.rides - CASE WHEN mv.t IS NULL THEN 0 ELSE 1 END AS rides) FROM ms JOIN ar ON ar.id = ms.id AND ar.d = ms.d LEFT JOIN mv ON mv.session_id = ms.session_id AND mv.id = ar.id AND mv.d = ar.d AND mv.t = ar.t AND mv.td = ar.td),
+    s2 AS (SELECT *, max(CASE WHEN src = 0 THEN rides ELSE 0 END) OVER g AS top, row_number() OVER (g ORDER BY CASE WHEN same THEN 0 ELSE 1 END, turn, src, t, td) AS by_name, row_number() OVER (g ORDER BY CASE WHEN turn <= 60 THEN 0 ELSE 1 END, src, turn, t, td) AS by_turn FROM s1 WINDOW g AS (PARTITION BY session_id, id, d)),
+    s3 AS (SELECT session_id, id, d, max(top) AS top, count(*) FILTER (src = 0 AND rides = top) AS leaders, max(t * 2 + td) FILTER (src = 0 AND rides = top) AS h, max(t * 2 + td) FILTER (by_name = 1 AND same) AS n, max(t * 2 + td) FILTER (by_turn = 1 AND turn <= 60) AS u FROM s2 GROUP BY session_id, id, d HAVING count(*) > 1),
+    s4 AS (SELECT *, CASE WHEN top > 0 AND leaders = 1 THEN 'history' WHEN n IS NOT NULL THEN 'name' WHEN u IS NOT NULL THEN 'turn' END AS rule, CASE WHEN top > 0 AND leaders = 1 THEN h WHEN n IS NOT NULL THEN n ELSE u END AS nx FROM s3)
+    SELECT rule, CASE WHEN rule IS NULL THEN 'stopped' WHEN nx = t * 2 + td THEN 'right' ELSE 'wrong' END AS verdict, count(*) AS moves FROM s4 JOIN mv ON mv.session_id = s4.session_id AND mv.id = s4.id AND mv.d = s4.d GROUP BY 1, 2""")
 def _(segments, buckets, coverage, lines, runs):
     """Every session's moves at forks, judged by all rules in order against the rides of the others."""
-    return P.score_rules(*_graph(segments, buckets, coverage, lines, runs))
+    ways = saved(_lines(segments))
+    extents = M.extents(buckets, coverage, lines).select("segment_id", "direction", "from_m", "to_m")
+    return Y.score_rules(ways.select("id", "line", "length_m", "street_name"), X.end_neighbours(ways, 5.0), extents, W.transitions(runs))
 
 
 @query("graph_connect", "segments buckets coverage lines runs")
@@ -689,6 +696,3 @@ def _(spans):
 
 
 # the same queries under the names that their forms over whole tables had while SQL fixed slices
-for _name in """graph_leave_one_out model_changed_lines model_witness_disagreement join_interval_overlap join_fixes_in_interval barometer_windowed_altitude
-                diagnose_line_verdicts diagnose_sensitivity diagnose_run_fates diagnose_judged_admissions""".split():
-    QUERIES[f"{_name}_all"] = QUERIES[_name]

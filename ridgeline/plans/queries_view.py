@@ -73,8 +73,8 @@ def _(spans):
     return L.problems(pieces, bad.withColumn("height_m", F.when((F.col("path_id") % 7 == 0) & (F.col("i") == 3), F.col("height_m") + 1).otherwise(F.col("height_m"))))
 
 
-@query("selection_profile_at", "spans", f"""WITH {SP}, t AS (SELECT path_id, sum(length_m) AS g FROM spans GROUP BY 1), q AS (SELECT path_id, g, k * g / 8 AS m FROM t, (SELECT unnest([-1, 0, 3, 5, 9]) AS k)), j AS (SELECT q.path_id, m, greatest(0e0, least(g, m)) AS x, max(i) AS i FROM q JOIN sp ON sp.path_id = q.path_id AND at_m <= greatest(0e0, least(g, m)) GROUP BY 1, 2, 3)
-    SELECT j.path_id, round(m, 6) + 0e0 AS m, round(x, 6) + 0e0 AS at_m, round(height_m + rise_m * greatest(0e0, least(length_m, x - at_m)) / length_m, 8) + 0e0 AS height_m, CASE WHEN source <> 'none' THEN slope_pct END AS grade_pct FROM j JOIN sp ON sp.path_id = j.path_id AND sp.i = j.i""")
+@query("selection_profile_at", "spans", f"""WITH {SP}, t AS (SELECT path_id, sum(length_m) AS g FROM spans GROUP BY 1), q AS (SELECT path_id, k * g / 8 AS m, greatest(0e0, least(g, k * g / 8)) AS x FROM t, (SELECT unnest([-1, 0, 3, 5, 9]) AS k))
+    SELECT q.path_id, round(m, 6) + 0e0 AS m, round(x, 6) + 0e0 AS at_m, round(height_m + rise_m * greatest(0e0, least(length_m, x - at_m)) / length_m, 8) + 0e0 AS height_m, CASE WHEN source <> 'none' THEN slope_pct END AS grade_pct FROM q ASOF JOIN sp ON sp.path_id = q.path_id AND q.x >= sp.at_m""")
 def _(spans):
     points = spans.groupBy("path_id").agg(F.sum("length_m").alias("g")).select("path_id", F.explode(F.array(*[F.col("g") * k / 8 for k in (-1, 0, 3, 5, 9)])).alias("m"))
     return rounded(rounded(L.profile_at(_spans(spans), points), "m", "at_m"), "height_m", places=8)

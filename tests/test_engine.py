@@ -248,7 +248,7 @@ def test_leave_one_out_of_all_sessions(spark, sf):
         top = max(counts.values())
         leaders = [n for n, k in counts.items() if k == top]
         want["stopped" if top == 0 or len(leaders) > 1 else "right" if leaders[0] == tuple(following) else "wrong"] += 1
-    assert {r.verdict: r.moves for r in plans.QUERIES["graph_leave_one_out_all"](spark, sf).collect()} == want
+    assert {r.verdict: r.moves for r in plans.QUERIES["graph_leave_one_out"](spark, sf).collect()} == want
     assert sum(want.values()) == len(made)
 
 
@@ -262,22 +262,22 @@ def test_whole_tables_in_two_halves(spark, sf):
     ridden = [Counter(map(line, half)) for half in (even, odd)]
     a, b = ({x for x, k in c.items() if k >= sum(c.values()) / len(c)} for c in ridden)
     change = {(*x, "lost") for x in a - b} | {(*x, "gained") for x in b - a}
-    assert set(rows("model_changed_lines_all")) == change
+    assert set(rows("model_changed_lines")) == change
     shared = {x[0] for x in a} & {x[0] for x in b}
-    assert set(rows("model_witness_disagreement_all")) == {x for x in change if x[0] in shared}
+    assert set(rows("model_witness_disagreement")) == {x for x in change if x[0] in shared}
     on = defaultdict(list)
     for r in odd:
         on[line(r)].append(r)
     late = timedelta(days=3)
     want = sorted((p.match_id, r.match_id) for p in even for r in on[line(p)] if p.started_at <= r.ended_at + late and r.started_at <= p.ended_at + late)
-    assert sorted(rows("join_interval_overlap_all")) == want and len(want) > 100
+    assert sorted(rows("join_interval_overlap")) == want and len(want) > 100
     shares = defaultdict(list)
     for r in runs:
         shares[line(r)].append(r.match_id % 10 / 10)
     worst = {x: min(s) for x, s in shares.items()}
-    assert {x[:2]: x[3] for x in rows("diagnose_line_verdicts_all")} == {x: "next-door" if m >= 0.5 else "real-loss" for x, m in worst.items()}
-    assert {x[:2]: x[2] for x in rows("diagnose_run_fates_all")} == {x: "drawn-elsewhere" if m >= 0.5 else "drawn-nowhere" for x, m in worst.items()}
-    got = Counter({(r.share, r.verdict): r.lines for r in plans.QUERIES["diagnose_sensitivity_all"](spark, sf).collect()})
+    assert {x[:2]: x[3] for x in rows("diagnose_line_verdicts")} == {x: "next-door" if m >= 0.5 else "real-loss" for x, m in worst.items()}
+    assert {x[:2]: x[2] for x in rows("diagnose_run_fates")} == {x: "drawn-elsewhere" if m >= 0.5 else "drawn-nowhere" for x, m in worst.items()}
+    got = Counter({(r.share, r.verdict): r.lines for r in plans.QUERIES["diagnose_sensitivity"](spark, sf).collect()})
     assert got == Counter((s, "next-door" if m >= s else "real-loss") for s in (0.3, 0.7) for m in worst.values())
     passes = defaultdict(list)
     for r in runs:
@@ -288,15 +288,15 @@ def test_whole_tables_in_two_halves(spark, sf):
         if not r.session_id // 40 % 2:
             met = [p.direction for p in passes[r.session_id % 40, r.segment_id] if r.started_at <= p.ended_at + slack and p.started_at <= r.ended_at + slack]
             judged[r.match_id] = "witnessed" if r.direction in met else "denied" if met else "unjudgeable"
-    assert dict(rows("diagnose_judged_admissions_all")) == judged and len(set(judged.values())) == 3
+    assert dict(rows("diagnose_judged_admissions")) == judged and len(set(judged.values())) == 3
     fixes = defaultdict(list)
     for r in model_table(spark, sf, "samples").collect():
         fixes[r.session_id].append((r.id, us(r.recorded_at)))
     want = sorted((i, j) for own in fixes.values() for i, t in own for j, u in own if t <= u <= t + 90000)
-    assert sorted(rows("join_fixes_in_interval_all")) == want
+    assert sorted(rows("join_fixes_in_interval")) == want
     readings = model_table(spark, sf, "readings").collect()
     near = {r.event_id: sum(q.phone == r.phone and abs(q.at_ms - r.at_ms - 100) <= 500 and 300 <= q.hpa <= 1100 for q in readings) for r in readings}
-    assert {r.fix_id: r.readings for r in plans.QUERIES["barometer_windowed_altitude_all"](spark, sf).collect()} == {i: n for i, n in near.items() if n}
+    assert {r.fix_id: r.readings for r in plans.QUERIES["barometer_windowed_altitude"](spark, sf).collect()} == {i: n for i, n in near.items() if n}
 
 
 @pytest.mark.parametrize("most", [P.REQUESTS, 20])

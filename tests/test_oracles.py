@@ -38,7 +38,7 @@ def test_same_rows(spark, sf, con, name):
     assert plain(map(tuple, got.select(*columns).collect())) == plain(picked)
 
 
-@pytest.mark.parametrize("name", sorted(q for q in set(Q.QUERIES) - set(Q.ORACLES) if not q.endswith("_all")))
+@pytest.mark.parametrize("name", sorted(q for q in set(Q.QUERIES) - set(Q.ORACLES)))
 def test_rows_do_not_depend_on_the_deal(spark, sf, name):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     rows = []
