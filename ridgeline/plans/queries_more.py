@@ -575,7 +575,15 @@ def _(segments, buckets, coverage, lines, runs):
     return P.connect_all(asked.withColumns({"to_direction": F.lit("forward"), "to_m": F.lit(5.0)}), *graph)
 
 
-@query("path_steepest", "spans")
+@query("path_steepest", "spans", f"""WITH {SP}, nx AS (SELECT *, row_number() OVER w AS k, lead(at_m) OVER w AS at1, lead(height_m) OVER w AS h1, sum(CASE WHEN source = 'none' THEN length_m ELSE 0 END) OVER w AS g1 FROM sp WINDOW w AS (PARTITION BY path_id ORDER BY i)),
+    sg AS (SELECT path_id, at_m AS x0, coalesce(at1, at_m + length_m) AS x1, height_m AS h0, coalesce(h1, height_m + rise_m) AS h1, g1 - CASE WHEN source = 'none' THEN length_m ELSE 0 END AS g0, g1 FROM nx), wh AS (SELECT path_id, max(x1) AS m FROM sg GROUP BY path_id),
+    ed AS (SELECT path_id, x0 AS x FROM sg UNION SELECT path_id, x1 FROM sg), c0 AS (SELECT DISTINCT e.path_id, greatest(0e0, least(e.x - d, m - 100)) AS x FROM ed e JOIN wh ON wh.path_id = e.path_id, (SELECT unnest([0e0, 100e0]) AS d) WHERE m >= 100),
+    c1 AS (SELECT c.path_id, c.x, h0 + (h1 - h0) * (c.x - x0) / (x1 - x0) AS ha, g0 + (g1 - g0) * (c.x - x0) / (x1 - x0) AS ga FROM c0 c ASOF JOIN sg ON sg.path_id = c.path_id AND c.x >= sg.x0),
+    c2 AS (SELECT *, x + 100 AS y FROM c1), c3 AS (SELECT c.path_id, c.x, 25 - (g0 + (g1 - g0) * least(1, (y - x0) / (x1 - x0)) - ga) AS spare, h0 + (h1 - h0) * least(1, (y - x0) / (x1 - x0)) - ha AS up FROM c2 c ASOF JOIN sg ON sg.path_id = c.path_id AND c.y >= sg.x0),
+    c4 AS (SELECT *, lead(x) OVER w AS xn, lead(spare) OVER w AS sn, lead(up) OVER w AS un FROM c3 WINDOW w AS (PARTITION BY path_id ORDER BY x)),
+    c5 AS (SELECT path_id, x, up FROM c3 WHERE spare >= -0.0001e0 UNION ALL SELECT path_id, x + spare / (spare - sn) * (xn - x), up + spare / (spare - sn) * (un - up) FROM c4 WHERE spare * sn < 0),
+    c6 AS (SELECT *, row_number() OVER (PARTITION BY path_id ORDER BY round(abs(up), 9) DESC, x) AS r FROM c5)
+    SELECT wh.path_id, round(up, 5) + 0e0 AS grade_pct, round(x, 5) + 0e0 AS at_m FROM wh LEFT JOIN c6 ON c6.path_id = wh.path_id AND r = 1""")
 def _(spans):
     return rounded(P.steepest(_spans(spans)), "grade_pct", "at_m", places=5)
 
