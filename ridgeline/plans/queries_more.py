@@ -423,24 +423,52 @@ def _rows(samples):
     return samples.select("session_id", "id", F.timestamp_seconds(F.col("id") * 1.0).alias("recorded_at"), "lon", "lat", "elevation_m")
 
 
-@query("ride_reject_speeds", "samples")
+#: Each ride's fixes by number, and walks over them one fix at a time: `last` is the number of the last fix kept.
+RIDE = "fx AS (SELECT session_id, id, CAST(id AS DOUBLE) AS t, lon, lat, elevation_m AS h, row_number() OVER (PARTITION BY session_id ORDER BY id) AS k FROM samples)"
+
+
+def _half_up(c):
+    """Averages of decimals are often exact halves at the last place: these go up, whatever the order of the additions."""
+    return (F.col(c) + 3.14159265e-8).alias(c)
+
+
+def _sift_sql(wrong: str) -> str:
+    return f"""WITH RECURSIVE {RIDE}, wk AS (SELECT session_id, id, k, k AS last, true AS kept FROM fx WHERE k = 1
+    UNION ALL SELECT x.session_id, x.id, x.k, CASE WHEN x.bad THEN x.last ELSE x.k END, NOT x.bad FROM (SELECT c.session_id, c.id, c.k, wk.last, n.k IS NOT NULL AND {wrong} AS bad FROM wk JOIN fx c ON c.session_id = wk.session_id AND c.k = wk.k + 1 JOIN fx l ON l.session_id = wk.session_id AND l.k = wk.last LEFT JOIN fx n ON n.session_id = wk.session_id AND n.k = wk.k + 2) x)
+    SELECT session_id, id FROM wk WHERE kept"""
+
+
+def _fast_sql(a: str, b: str) -> str:
+    return f"{b}.t > {a}.t AND sqrt(pow(({b}.lon - {a}.lon) * 111320 * cos(radians({a}.lat)), 2) + pow(({b}.lat - {a}.lat) * 111320, 2)) / ({b}.t - {a}.t) > 20"
+
+
+_INTO, _OUT = hav("l.lon", "l.lat", "c.lon", "c.lat"), hav("c.lon", "c.lat", "n.lon", "n.lat")
+
+
+@query("ride_reject_speeds", "samples", _sift_sql(f"{_fast_sql('l', 'c')} AND {_fast_sql('c', 'n')}"))
 def _(samples):
     return C.reject_speeds(_rows(samples)).select("session_id", "id")
 
 
-@query("ride_reject_heights", "samples")
+@query("ride_reject_heights", "samples", _sift_sql(f"{_INTO} + {_OUT} >= 1 AND abs(c.h - (l.h * {_OUT} + n.h * {_INTO}) / ({_INTO} + {_OUT})) * 100 > 100 * greatest(least({_INTO}, {_OUT}), 1)"))
 def _(samples):
     return C.reject_heights(_rows(samples)).select("session_id", "id")
 
 
-@query("ride_smoothed", "samples")
+@query("ride_smoothed", "samples", f"""WITH RECURSIVE {RIDE}, sz AS (SELECT session_id, count(*) AS n, least(count(*) - 1, 24) AS p, arg_min(h, k) AS h0, arg_max(h, k) AS h1 FROM fx GROUP BY session_id),
+    ex AS (SELECT fx.session_id, id, p + k AS i, h FROM fx JOIN sz ON sz.session_id = fx.session_id UNION ALL SELECT fx.session_id, NULL, p + 2 - k, 2 * h0 - h FROM fx JOIN sz ON sz.session_id = fx.session_id WHERE k BETWEEN 2 AND p + 1
+      UNION ALL SELECT fx.session_id, NULL, p + 2 * n - k, 2 * h1 - h FROM fx JOIN sz ON sz.session_id = fx.session_id WHERE k BETWEEN n - p AND n - 1),
+    fw AS (SELECT session_id, id, i, h AS y FROM ex WHERE i = 1 UNION ALL SELECT ex.session_id, ex.id, ex.i, 0.485e0 * ex.h + 0.515e0 * fw.y FROM fw JOIN ex ON ex.session_id = fw.session_id AND ex.i = fw.i + 1),
+    bw AS (SELECT fw.session_id, fw.id, fw.i, fw.y FROM fw JOIN sz ON sz.session_id = fw.session_id AND fw.i = sz.n + 2 * sz.p UNION ALL SELECT fw.session_id, fw.id, fw.i, 0.485e0 * fw.y + 0.515e0 * bw.y FROM bw JOIN fw ON fw.session_id = bw.session_id AND fw.i = bw.i - 1)
+    SELECT session_id, id, round(y + 3.14159265e-8, 6) + 0e0 AS elevation_m FROM bw WHERE id IS NOT NULL""")
 def _(samples):
-    return rounded(C.smooth(_rows(samples)).select("session_id", "id", "elevation_m"), "elevation_m")
+    return rounded(C.smooth(_rows(samples)).select("session_id", "id", _half_up("elevation_m")), "elevation_m")
 
 
-@query("ride_smoothed_causal", "samples")
+@query("ride_smoothed_causal", "samples", f"""WITH RECURSIVE {RIDE}, wk AS (SELECT session_id, id, k, h AS y FROM fx WHERE k = 1 UNION ALL SELECT fx.session_id, fx.id, fx.k, 0.3e0 * fx.h + 0.7e0 * wk.y FROM wk JOIN fx ON fx.session_id = wk.session_id AND fx.k = wk.k + 1)
+    SELECT session_id, id, round(y + 3.14159265e-8, 6) + 0e0 AS elevation_m FROM wk""")
 def _(samples):
-    return rounded(C.smooth_causal(_rows(samples)).select("session_id", "id", "elevation_m"), "elevation_m")
+    return rounded(C.smooth_causal(_rows(samples)).select("session_id", "id", _half_up("elevation_m")), "elevation_m")
 
 
 @query("ride_passes", "run_fixes")
