@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ridgeline.functions import scalar as S
 from ridgeline.plans.storage import saved
 
+#: The form of a request in the log, and the stages that a traced one names.
 LINE = r"^(GET|POST|PUT|DELETE) (\S+) (\d{3})( ABORTED-BY-CLIENT)? (\d+)ms"
 STAGES = ("network", "rideOrder", "extents", "growth", "lines", "respond", "deliver", "toClose")
 
