@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.config import DEFAULT, EngineConfig
 from ridgeline.functions import geo as G
 from ridgeline.functions import scalar as S
 from ridgeline.operators import network as N
+from ridgeline.operators.growth import legs
 from ridgeline.operators.windows import derived_headings, spike_measures
 from ridgeline.plans.storage import saved
 
@@ -199,18 +200,24 @@ def stitch(matched: DataFrame, window_s: float = DEFAULT.stitch_window_s) -> Dat
     return matched.join(names, [*key, "run"]).drop("run").withColumnRenamed("stitched", "run")
 
 
-def located(fixes: DataFrame, lines: DataFrame) -> DataFrame:
-    """Fixes (segment_id, lon, lat) with along_m in geometry order and offset_m, by lines (segment_id, line)."""
-    rows = fixes.join(lines.select("segment_id", "line"), "segment_id")
-    kept = [f for f in rows.schema.fields if f.name != "line"]
-    from pyspark.sql import types as T
+def located(fixes: DataFrame, lines: DataFrame, least_leg_m: float = 0.0) -> DataFrame:
+    """Fixes (segment_id, lon, lat, ...) with along_m in geometry order and offset_m: the nearest point of their line, the first of equally near ones.
 
-    def run(batches):
-        for pdf in batches:
-            at = [N.locate(np.array([list(p) for p in r.line], dtype=float), r.lon, r.lat) for r in pdf.itertuples(index=False)]
-            yield pdf.drop(columns="line").assign(along_m=[a for a, _ in at], offset_m=[b for _, b in at])
+    Lines (segment_id, line) are tables of legs with running metres; a leg of less than least_leg_m is passed over.  Each
+    leg is flat about the fix.  Fixes of a line without legs have no row."""
+    leg = F.struct("leg", "lon0", "lat0", "lon1", "lat1", "start_m", "end_m")
+    by_line = legs(lines.select(F.col("segment_id").alias("id"), "line")).where(F.col("end_m") - F.col("start_m") >= least_leg_m).groupBy("segment_id").agg(F.collect_list(leg).alias("legs_"))
+
+    def nearest(x: Column) -> Column:
+        ax, ay = G.offset_m(F.col("lon"), F.col("lat"), x["lon0"], x["lat0"])
+        bx, by = G.offset_m(F.col("lon"), F.col("lat"), x["lon1"], x["lat1"])
+        dx, dy = bx - ax, by - ay
+        square = dx * dx + dy * dy
+        t = F.when(square > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / square))).otherwise(0.0)
+        return F.struct(F.sqrt(F.pow(ax + t * dx, 2) + F.pow(ay + t * dy, 2)).alias("off"), x["leg"].alias("leg"), (x["start_m"] + t * (x["end_m"] - x["start_m"])).alias("along"))
 
-    return rows.mapInPandas(run, T.StructType([*kept, T.StructField("along_m", T.DoubleType()), T.StructField("offset_m", T.DoubleType())]))
+    rows = fixes.join(by_line, "segment_id").withColumn("place_", F.array_min(F.transform("legs_", nearest)))
+    return rows.select(*fixes.columns, F.col("place_.along").alias("along_m"), F.col("place_.off").alias("offset_m"))
 
 
 def process_sessions(samples: DataFrame, segments: DataFrame, dem: DataFrame | None = None, config: EngineConfig = DEFAULT) -> dict[str, DataFrame]:

@@ -616,6 +616,20 @@ def _(spans):
     return rounded(P.steepest(_spans(spans)), "grade_pct", "at_m", places=5)
 
 
+@query("match_place_on_line", "samples segments", f"""WITH fx AS (SELECT a.id, g.id AS segment_id, a.lon, a.lat FROM samples a JOIN segments g ON g.id = a.id % 500),
+    pt AS (SELECT id AS segment_id, unnest([0, 1, 2, 3]) AS k, unnest([lon0, lon0, (lon0 + lon1) / 2 + 3e-4, lon1]) AS x, unnest([lat0, lat0, (lat0 + lat1) / 2, lat1]) AS y FROM segments),
+    lg AS (SELECT segment_id, k, x, y, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM pt WINDOW w AS (PARTITION BY segment_id ORDER BY k)), lm AS (SELECT *, {hav('x', 'y', 'x1', 'y1')} AS m, sum({hav('x', 'y', 'x1', 'y1')}) OVER (PARTITION BY segment_id ORDER BY k) AS fin FROM lg WHERE x1 IS NOT NULL),
+    fl AS (SELECT fx.id, fx.segment_id, lm.k, lm.m, lm.fin, (lm.x - fx.lon) * 111320 * cos(radians(fx.lat)) AS ax, (lm.y - fx.lat) * 111320 AS ay, (lm.x1 - lm.x) * 111320 * cos(radians(fx.lat)) AS dx, (lm.y1 - lm.y) * 111320 AS dy FROM fx JOIN lm ON lm.segment_id = fx.segment_id WHERE lm.m >= 0.01e0),
+    ft AS (SELECT *, greatest(0e0, least(1e0, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) AS t FROM fl), fo AS (SELECT *, sqrt(pow(ax + t * dx, 2) + pow(ay + t * dy, 2)) AS off FROM ft)
+    SELECT id, segment_id, round(fin - m + t * m, 5) + 0e0 AS along_m, round(off, 5) + 0e0 AS offset_m FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY off, k) AS r FROM fo) WHERE r = 1""")
+def _(samples, segments):
+    """Every fix on a line of several legs, one of them of no length."""
+    bend = F.array((F.col("lon0") + F.col("lon1")) / 2 + 3e-4, (F.col("lat0") + F.col("lat1")) / 2)
+    lines = segments.select(F.col("id").alias("segment_id"), F.array(F.array("lon0", "lat0"), F.array("lon0", "lat0"), bend, F.array("lon1", "lat1")).alias("line"))
+    fixes = samples.select("id", (F.col("id") % 500).alias("segment_id"), "lon", "lat")
+    return rounded(X.located(fixes, lines, 0.01).select("id", "segment_id", "along_m", "offset_m"), "along_m", "offset_m", places=5)
+
+
 @query("match_sessions", "samples segments")
 def _(samples, segments):
     """Whole-session processing; the rides of the surrogate jump about, so that few runs qualify."""
