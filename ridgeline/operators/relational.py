@@ -68,6 +68,53 @@ def updated(stored: DataFrame, new: DataFrame, key: str, column: str) -> DataFra
     return rows.withColumn(column, F.when(F.col("_hit"), F.col("_new")).otherwise(F.col(column))).drop("_new", "_hit").select(stored.columns)
 
 
+def change_set(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, change, old, new): what turns `before` into `after`, a row for each key that is inserted, deleted or updated, with the whole row before and after.
+
+    Both tables have the same columns and each key once; a null key is a key.  Nulls are values: a null that stays is no
+    change."""
+    columns = [c for c in before.columns if c not in keys]
+    side = lambda t, name: t.select(*[F.col(k).alias(f"_{name}_{k}") for k in keys], F.struct(*columns).alias(name), F.lit(True).alias(f"_in_{name}"))
+    same = [F.col(f"_old_{k}").eqNullSafe(F.col(f"_new_{k}")) for k in keys]
+    met = side(before, "old").join(side(after, "new"), same, "full_outer")
+    change = F.when(F.col("_in_old").isNull(), "insert").when(F.col("_in_new").isNull(), "delete").when(~F.col("old").eqNullSafe(F.col("new")), "update")
+    key = [F.when(F.col("_in_old"), F.col(f"_old_{k}")).otherwise(F.col(f"_new_{k}")).alias(k) for k in keys]
+    return met.select(*key, change.alias("change"), "old", "new").where("change IS NOT NULL")
+
+
+def inverse(changes: DataFrame) -> DataFrame:
+    """The change set that takes the changes back."""
+    keys = [c for c in changes.columns if c not in ("change", "old", "new")]
+    return changes.select(*keys, F.when(F.col("change") == "insert", "delete").when(F.col("change") == "delete", "insert").otherwise("update").alias("change"), F.col("new").alias("old"), F.col("old").alias("new"))
+
+
+def applied(table: DataFrame, changes: DataFrame) -> DataFrame:
+    """The table with a change set applied.  A change whose row isn't as it was when the set was made isn't applied; misfits() lists these."""
+    keys = [c for c in changes.columns if c not in ("change", "old", "new")]
+    met = _met(table, changes, keys)
+    new = lambda c: F.when(F.col("_fits") & F.col("_change").isNotNull(), F.col("_new")[c]).otherwise(F.col(c)).alias(c)
+    gone = F.coalesce(F.col("_fits") & (F.col("_change") == "delete"), F.lit(False))
+    kept = met.where(F.col("_in")).where(~gone).select(*[F.col(c) if c in keys else new(c) for c in table.columns])
+    added = met.where(F.col("_in").isNull() & (F.col("_change") == "insert")).select(*[F.col(f"_key_{c}").alias(c) if c in keys else F.col("_new")[c].alias(c) for c in table.columns])
+    return kept.unionByName(added)
+
+
+def misfits(table: DataFrame, changes: DataFrame) -> DataFrame:
+    """(*keys, change) of the changes that don't fit the table: the row to change or delete is gone or another one, or the row to insert is there."""
+    keys = [c for c in changes.columns if c not in ("change", "old", "new")]
+    met = _met(table, changes, keys).where(F.col("_change").isNotNull())
+    fits = F.when(F.col("_in").isNull(), F.col("_change") == "insert").otherwise(F.col("_fits"))
+    return met.where(~fits).select(*[F.col(f"_key_{k}").alias(k) for k in keys], F.col("_change").alias("change"))
+
+
+def _met(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    own = table.withColumn("_in", F.lit(True))
+    given = changes.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("change").alias("_change"), F.col("old").alias("_old"), F.col("new").alias("_new"))
+    met = own.join(given, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys], "full_outer")
+    now = F.struct(*[c for c in table.columns if c not in keys])
+    return met.withColumn("_fits", F.coalesce((F.col("_change") != "insert") & F.col("_old").eqNullSafe(now), F.lit(False)))
+
+
 def model_diff(before: DataFrame, after: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """added, removed or shared for every bucket of two models, with the heights and how far they moved."""
     keys = keys or [*LINE, "distance_m"]

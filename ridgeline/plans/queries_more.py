@@ -218,6 +218,35 @@ def _(passes, runs):
     return R.deleted(passes, runs.where("session_id % 7 = 0").select("match_id").distinct(), "match_id", "match_id").select("match_id", "distance_m")
 
 
+#: Links of the network before and after a run: some change, some go, some come.
+LINKS = """bf AS (SELECT id, canonical_segment_id AS parent, street_name, length_m FROM segments WHERE id % 11 <> 0), af AS (SELECT id, CASE WHEN id % 5 = 0 THEN NULL WHEN id % 5 = 1 THEN id + 1 ELSE canonical_segment_id END AS parent, street_name, length_m FROM segments WHERE id % 7 <> 0)"""
+
+
+def _links(segments):
+    keep = segments.select("id", F.col("canonical_segment_id").alias("parent"), "street_name", "length_m")
+    after = keep.withColumn("parent", F.when(F.col("id") % 5 == 0, F.lit(None)).when(F.col("id") % 5 == 1, F.col("id") + 1).otherwise(F.col("parent")))
+    return keep.where("id % 11 <> 0"), after.where("id % 7 <> 0")
+
+
+@query("link_changes", "segments", f"""WITH {LINKS} SELECT coalesce(bf.id, af.id) AS id, CASE WHEN bf.id IS NULL THEN 'insert' WHEN af.id IS NULL THEN 'delete' ELSE 'update' END AS change, bf.parent AS old_parent, af.parent AS new_parent FROM bf FULL JOIN af ON bf.id = af.id WHERE bf.id IS NULL OR af.id IS NULL OR bf.parent IS DISTINCT FROM af.parent""")
+def _(segments):
+    return R.change_set(*_links(segments), ["id"]).select("id", "change", F.col("old.parent").alias("old_parent"), F.col("new.parent").alias("new_parent"))
+
+
+@query("link_changes_applied", "segments", f"WITH {LINKS} SELECT * FROM af")
+def _(segments):
+    before, after = _links(segments)
+    return R.applied(before, R.change_set(before, after, ["id"]))
+
+
+@query("link_changes_reversed", "segments", f"WITH {LINKS} SELECT * FROM bf")
+def _(segments):
+    """Applied and taken back."""
+    before, after = _links(segments)
+    changes = saved(R.change_set(before, after, ["id"]))
+    return R.applied(R.applied(before, changes), R.inverse(changes))
+
+
 @query("delete_set_null", "segments", "SELECT id, CASE WHEN canonical_segment_id % 4 = 0 THEN NULL ELSE canonical_segment_id END AS canonical_segment_id FROM segments")
 def _(segments):
     return R.set_null(segments, segments.where("id % 4 = 0").select("id"), "canonical_segment_id", "id").select("id", "canonical_segment_id")

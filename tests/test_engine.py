@@ -650,3 +650,40 @@ def test_changed_answers(spark):
     a = spark.createDataFrame([(1, "x"), (2, None), (3, "y"), (4, None), (5, "z")], "request long, answer string")
     b = spark.createDataFrame([(1, "x"), (2, None), (3, None), (4, "w"), (6, None)], "request long, answer string")
     assert sorted((r.request, r.change) for r in R.changed_answers(a, b).collect()) == [(3, "changed"), (4, "changed"), (5, "missing"), (6, "new")]
+
+
+def test_change_sets_are_reversible(spark):
+    """Applied and reversed, a table has its fingerprint again; changes that don't fit any more are listed and left alone."""
+    schema = "id long, parent long, name string"
+    before = spark.createDataFrame([(1, 5, "a"), (2, None, "b"), (3, 7, None), (None, 1, "null key"), (4, 4, "stays")], schema)
+    after = spark.createDataFrame([(1, 6, "a"), (2, None, None), (None, 2, "null key"), (4, 4, "stays"), (9, None, "new")], schema)
+    changes = R.change_set(before, after, ["id"]).cache()
+    assert sorted(((r.id or 0), r.change) for r in changes.collect()) == [(0, "update"), (1, "update"), (2, "update"), (3, "delete"), (9, "insert")]
+    print_of = lambda t: tuple(R.fingerprint(t.select("id", "parent", "name")).first())
+    there = R.applied(before, changes)
+    assert print_of(there) == print_of(after) and print_of(R.applied(there, R.inverse(changes))) == print_of(before)
+    assert R.misfits(before, changes).count() == 0 and R.change_set(before, before, ["id"]).count() == 0
+    moved = spark.createDataFrame([(1, 99, "a"), (2, None, "b"), (9, 1, "taken")], schema)
+    assert sorted((r.id or 0) for r in R.misfits(moved, changes).collect()) == [0, 1, 3, 9]
+    assert sorted(map(tuple, R.applied(moved, changes).collect()), key=str) == [(1, 99, "a"), (2, None, None), (9, 1, "taken")]
+    none = before.limit(0)
+    assert R.applied(none, R.change_set(none, after, ["id"])).count() == 5 and R.applied(before, R.change_set(before, none, ["id"])).count() == 0
+
+
+def test_unintended_folds_stop_a_run(spark):
+    rows = spark.createDataFrame([(1, "fold", "Main Street"), (2, "fold", "Main Sidewalk"), (3, "release", "Oak")], "id long, action string, street_name string")
+    assert N.checked_writes(rows.where("id > 1")).count() == 2
+    with pytest.raises(ValueError, match="Main Street"):
+        N.checked_writes(rows)
+
+
+def test_places_on_lines_of_several_legs(spark):
+    """The same as by arrays, for each fix and line."""
+    r = np.random.default_rng(3)
+    lines = [(i, [list(map(float, p)) for p in np.array([LON0, LAT0]) + np.cumsum(r.normal(0, 4e-4, (r.integers(2, 6), 2)), axis=0)]) for i in range(12)]
+    fixes = [(k, k % 12, float(LON0 + r.normal(0, 8e-4)), float(LAT0 + r.normal(0, 8e-4))) for k in range(200)]
+    got = X.located(spark.createDataFrame(fixes, "id long, segment_id long, lon double, lat double"), spark.createDataFrame(lines, "segment_id long, line array<array<double>>")).collect()
+    assert len(got) == 200
+    for g in got:
+        along, off = N.locate(np.array(lines[g.segment_id][1]), g.lon, g.lat)
+        assert g.along_m == pytest.approx(along, abs=1e-6) and g.offset_m == pytest.approx(off, abs=1e-6)
