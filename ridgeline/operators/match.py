@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -53,8 +55,8 @@ def admissible(samples: DataFrame, heading: str, config: EngineConfig = DEFAULT)
     return samples.where(F.col(heading).isNotNull() & (F.col(heading) >= 0) & (F.col("accuracy_m").isNull() | (F.col("accuracy_m") <= config.max_accuracy_m)))
 
 
-def candidates(fixes: DataFrame, edges: DataFrame, heading: str = "heading_deg", config: EngineConfig = DEFAULT) -> DataFrame:
-    """Each fix with every segment whose nearest aligned edge is within reach: distance and direction.
+def _near(fixes: DataFrame, edges: DataFrame, heading: str, config: EngineConfig) -> DataFrame:
+    """Each fix with every edge within reach, whichever way it runs: session_id, fix_id, recorded_at, heading, the edge and distance_m.
 
     Fixes meet edges in the grid cells that an edge, widened by the reach, covers; so no fix meets every edge."""
     reach = config.max_match_distance_m / 111_320.0
@@ -64,12 +66,35 @@ def candidates(fixes: DataFrame, edges: DataFrame, heading: str = "heading_deg",
     e = edges.withColumn("cx", span(F.col("ax"), F.col("bx"), lon_pad(F.col("ay"), F.col("by")))).withColumn("cy", span(F.col("ay"), F.col("by"), F.lit(lat_pad)))
     f = fixes.select("session_id", F.col("id").alias("fix_id"), "recorded_at", "lon", "lat", F.col(heading).alias("heading"), G.cell(F.col("lon"), CELL_DEG).alias("cx"), G.cell(F.col("lat"), CELL_DEG).alias("cy"))
     near = f.join(e, ["cx", "cy"])
-    near = near.withColumn("distance_m", G.point_to_edge_m(F.col("lon"), F.col("lat"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))).where(F.col("distance_m") <= config.max_match_distance_m)
+    return near.withColumn("distance_m", G.point_to_edge_m(F.col("lon"), F.col("lat"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))).where(F.col("distance_m") <= config.max_match_distance_m)
+
+
+def candidates(fixes: DataFrame, edges: DataFrame, heading: str = "heading_deg", config: EngineConfig = DEFAULT) -> DataFrame:
+    """Each fix with every segment whose nearest aligned edge is within reach: distance and direction."""
+    near = _near(fixes, edges, heading, config)
     near = near.withColumn("direction", G.direction_for_bearing(F.col("heading"), F.col("tangent_deg"), config.max_bearing_delta_deg)).where("direction IS NOT NULL")
     best = near.groupBy("session_id", "fix_id", "recorded_at", "segment_id").agg(F.min(F.struct("distance_m", "edge", "direction")).alias("m"))
     return best.select("session_id", "fix_id", "recorded_at", "segment_id", F.col("m.direction").alias("direction"), F.col("m.distance_m").alias("distance_m"))
 
 
+def candidate_arms(fixes: DataFrame, edges: DataFrame, arms: dict[str, tuple[float, float]], heading: str = "heading_deg", config: EngineConfig = DEFAULT) -> DataFrame:
+    """candidates() under each arm of a sweep (name: reach in metres, most degrees off), with the arm: one join at the widest setting serves all.
+
+    What an arm takes of a fix's edges is decided before the arms part, so no row is copied to an arm that it isn't in."""
+    widest = replace(config, max_match_distance_m=max(r for r, _ in arms.values()))
+    near = _near(fixes, edges, heading, widest)
+    taken = [F.struct(F.lit(name).alias("arm"), F.when(F.col("distance_m") <= reach, G.direction_for_bearing(F.col("heading"), F.col("tangent_deg"), most)).alias("direction")) for name, (reach, most) in arms.items()]
+    near = near.withColumn("x", F.explode(F.filter(F.array(*taken), lambda x: x["direction"].isNotNull())))
+    best = near.groupBy("session_id", "fix_id", "recorded_at", "segment_id", F.col("x.arm").alias("arm")).agg(F.min(F.struct("distance_m", "edge", F.col("x.direction").alias("direction"))).alias("m"))
+    return best.select("arm", "session_id", "fix_id", "recorded_at", "segment_id", F.col("m.direction").alias("direction"), F.col("m.distance_m").alias("distance_m"))
+
+
+def sweep_report(found: DataFrame) -> DataFrame:
+    """Per arm: fixes with a candidate, candidates, the lines that are nearest to any fix, and the mean distance of the nearest."""
+    per_fix = found.groupBy("arm", "session_id", "fix_id").agg(F.min(F.struct("distance_m", "segment_id", "direction")).alias("m"), F.count("*").alias("n"))
+    return per_fix.groupBy("arm").agg(F.count("*").alias("fixes"), F.sum("n").alias("candidates"), F.countDistinct("m.segment_id", "m.direction").alias("lines"), F.avg("m.distance_m").alias("mean_m"))
+
+
 def nearest(found: DataFrame) -> DataFrame:
     """The nearest candidate of each fix; ties go to the lower segment id."""
     best = found.groupBy("session_id", "fix_id").agg(F.min(F.struct("distance_m", "segment_id", "direction")).alias("m"))

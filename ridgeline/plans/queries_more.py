@@ -157,6 +157,20 @@ def _(samples, segments):
     return rounded(found.select("fix_id", "segment_id", "direction", "distance_m"), "distance_m", places=5)
 
 
+#: Settings of matching that are compared: reach in metres, most degrees between heading and edge.
+ARMS = {"narrow": (10.0, 20.0), "usual": (25.0, 45.0), "wide": (40.0, 80.0)}
+ARM_ROWS = ", ".join(f"('{k}', {r}e0, {d}e0)" for k, (r, d) in ARMS.items())
+
+
+@query("match_sweep", "samples segments", f"""WITH {EDGE_DISTANCE}, am(arm, reach, most) AS (VALUES {ARM_ROWS}), ac AS (SELECT arm, fix_id, segment_id, distance_m, CASE WHEN least(d1, 360 - d1) <= most THEN 'forward' WHEN least(d2, 360 - d2) <= most THEN 'backward' END AS direction FROM dd JOIN am ON distance_m <= reach),
+    an AS (SELECT *, count(*) OVER (PARTITION BY arm, fix_id) AS n, row_number() OVER (PARTITION BY arm, fix_id ORDER BY distance_m, segment_id) AS r FROM ac WHERE direction IS NOT NULL)
+    SELECT arm, count(*) AS fixes, CAST(sum(n) AS BIGINT) AS candidates, count(DISTINCT (segment_id, direction)) AS lines, round(avg(distance_m), 5) AS mean_m FROM an WHERE r = 1 GROUP BY arm""")
+def _(samples, segments):
+    """All arms from one candidate join."""
+    found = X.candidate_arms(X.admissible(samples, "heading_deg"), X.straight_edges(segments), ARMS)
+    return rounded(X.sweep_report(found), "mean_m", places=5)
+
+
 LINE_TIMES = "t1 AS (SELECT match_id, segment_id, direction, epoch_us(started_at) / 1e6 AS started, epoch_us(ended_at) / 1e6 + 86400 * 3 AS ended FROM runs WHERE session_id % 2 = 0), t2 AS (SELECT match_id, segment_id, direction, epoch_us(started_at) / 1e6 AS started, epoch_us(ended_at) / 1e6 + 86400 * 3 AS ended FROM runs WHERE session_id % 2 = 1)"
 
 

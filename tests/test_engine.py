@@ -687,3 +687,11 @@ def test_places_on_lines_of_several_legs(spark):
     for g in got:
         along, off = N.locate(np.array(lines[g.segment_id][1]), g.lon, g.lat)
         assert g.along_m == pytest.approx(along, abs=1e-6) and g.offset_m == pytest.approx(off, abs=1e-6)
+
+
+def test_arms_of_a_sweep_are_runs_of_their_own(spark, sf):
+    fixes, edges = X.admissible(model_table(spark, sf, "samples"), "heading_deg"), X.straight_edges(model_table(spark, sf, "segments"))
+    got = X.candidate_arms(fixes, edges, queries_more.ARMS).cache()
+    for arm, (reach, most) in queries_more.ARMS.items():
+        own = X.candidates(fixes, edges, config=replace(DEFAULT, max_match_distance_m=reach, max_bearing_delta_deg=most))
+        assert sorted(map(str, map(tuple, got.where(F.col("arm") == arm).drop("arm").collect()))) == sorted(map(str, map(tuple, own.collect())))
