@@ -11,7 +11,9 @@
    what follows it can be shared too, so members without a partner of fitting size and place leave their list.
    A first round verifies stars: every member with the centre of its list and size band, and of a member's centres only
    the one that it shares the most lists with; it joins most of what belongs together.
-4. A list whose members are then still of different components is cut into tiles by size band and block.  In a tile,
+   Lists of two have no tile: the rest of their pairs, as far as their ends are then of different components, goes
+   through the bit bound and the exact intersection like the pairs of tiles.
+4. A list of three or more whose members are then still of different components is cut into tiles by size band and block.  In a tile,
    every pair of different components has its overlap bounded from above by the bit counts of the signatures; pairs
    that pass are intersected exactly.  A pair that meets in several lists is left to the first of them, as far as the
    few list names that travel with each member tell.  So no pair that reaches the threshold is lost, and pairs that are connected
@@ -226,7 +228,7 @@ def _partnered(n: np.ndarray, up: np.ndarray, of: np.ndarray, start: np.ndarray)
 
 
 def _lists(num: int, den: int, hot_b):
-    """Of a bucket: kind 0, pairs (owner, other) to verify first; kind 1, members of lists of three or more; kind 2, the first member of a size band of a salted list.  n is the number of lists, else the band."""
+    """Of a bucket: kind 0, pairs (owner, other) to verify first, kind 3 those of lists of two, n being the number of lists; kind 1, members of lists of three or more; kind 2, the first member of a size band of a salted list, n being the band."""
 
     def run(group: pa.Table) -> pa.Table:
         hot, spread = hot_b.value
@@ -235,7 +237,7 @@ def _lists(num: int, den: int, hot_b):
         blocks = [_unpacked(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         token, key, code, place = (np.concatenate([x[c] for x in blocks]) for c in range(4))
         del blocks, data
-        order = np.lexsort((key, code, token))
+        order = np.lexsort((place, key, code, token))
         token, key, code, place = token[order], key[order], code[order].astype(np.int64), place[order]
         fresh = np.ones(len(token), dtype=bool)
         fresh[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
@@ -272,7 +274,9 @@ def _lists(num: int, den: int, hot_b):
         y = y[1:][of[y[1:]] == of[y[:-1]]] if len(y) else y
         a, b = turn[np.concatenate((centre[x], centre[y - 1]))], turn[np.concatenate((x, y))]
         near = (n[a] <= up[b]) & (n[b] <= up[a])
-        pair, shared = np.unique(np.stack((key[a[near]], key[b[near]])), axis=1, return_counts=True) if near.any() else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
+        a, b = a[near], b[near]
+        two = (size == 2) & ~salted
+        pair, shared = np.unique(np.stack((np.where(two[of[a]], 3, 0), key[a], key[b])), axis=1, return_counts=True) if len(a) else (np.zeros((3, 0), np.int64), np.zeros(0, np.int64))
         # lists of three or more, by their members or, where salted, by their shingle
         digest = np.add.reduceat(mix(key.view(np.uint64) + np.uint64(1)), starts) if len(size) else np.zeros(0, np.uint64)
         name = np.where(salted, token[starts] if len(size) else digest, mix(digest + size.astype(np.uint64))).view(np.int64)
@@ -282,7 +286,7 @@ def _lists(num: int, den: int, hot_b):
         wide = (((size >= 3) & only) | salted)[of]
         first = turn[np.flatnonzero(lead & salted[of])]
         banded = mix(name[of][first].view(np.uint64) + band[first].astype(np.uint64)).view(np.int64)
-        out = [(np.zeros(pair.shape[1], np.int8), pair[0], pair[1], shared.astype(np.int32))]
+        out = [(pair[0].astype(np.int8), pair[1], pair[2], shared.astype(np.int32))]
         out.append((np.ones(int(wide.sum()), np.int8), name[of][wide], key[wide], band[wide].astype(np.int32)))
         out.append((np.full(len(first), 2, np.int8), banded, key[first], band[first].astype(np.int32)))
         found = pa.table([np.concatenate([x[c] for x in out]) for c in range(4)], names=["kind", "a", "b", "n"])
@@ -450,16 +454,19 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     heads = found.where("kind = 2").select("a", "b", "n")
     chief = heads.groupBy("a").agg(F.min("b").alias("chief"))
     stars = joined(heads, chief, "a").where("b <> chief").select(F.col("chief").alias("a"), "b")
-    shared = found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    first = shared.groupBy("b").agg(F.max(F.struct("n", "a")).alias("most")).select(F.col("most.a").alias("a"), "b").union(stars).distinct()
+    shared = saved(found.where("kind IN (0, 3)").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("kind").alias("kind")))
+    first = saved(shared.groupBy("b").agg(F.max(F.struct("n", "a")).alias("most")).select(F.col("most.a").alias("a"), "b").union(stars).distinct())
     links = verified(map_arrow(signed(first), _bounded(num, den), "a long, b long"))
 
     members = found.where("kind = 1").select(F.col("a").alias("list"), F.col("b").alias("key"), F.col("n").alias("home")).dropDuplicates(["list", "key"])
+    twos = shared.where("kind = 3").select("a", "b").join(first, ["a", "b"], "left_anti")
     if complete:
         labels = None
         members = members.withColumn("comp", F.col("key"))
     else:
         labels = connected(links)
+        twos = joined(saved(twos), labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
+        twos = joined(saved(twos), labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
         members = joined(saved(members), labels.select(F.col("node").alias("key"), "label"), "key", "left").select("list", "key", "home", F.coalesce("label", "key").alias("comp"))
     members = saved(members)
     mixed = members.groupBy("list").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("list")
@@ -475,7 +482,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
     tiles = tiles.select("list", "band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "key", "n", "comp", "block", "guest", "bits", "few")
     tiles = tiles.repartition(part, "list", "band", "lo", "hi").sortWithinPartitions("list", "band", "lo", "hi")
-    more = verified(map_arrow(tiles, _tiles(num, den), "a long, b long").distinct())
+    more = map_arrow(tiles, _tiles(num, den), "a long, b long").union(map_arrow(signed(twos), _bounded(num, den), "a long, b long").select(F.least("a", "b"), F.greatest("a", "b")))
+    more = verified(more.distinct())
 
     links = links.union(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     if complete:

@@ -111,6 +111,19 @@ def test_jaccard_small_limits_and_all_links(spark, odd, monkeypatch):
     assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in jaccard.op1_ngram_jaccard_join(docs).collect()) == expected
 
 
+def test_jaccard_pairs_of_lists_of_two(spark):
+    """A text between two that aren't alike shares a shingle with either in a list of two only: both links count, not only that of the better centre."""
+    texts = []
+    for k in range(40):
+        w = [f"w{k}x{j}" for j in range(8)]
+        texts += [" ".join(w), " ".join(w[:7]), " ".join(w[1:])]
+    docs = frame(spark, texts)
+    expected, _ = brute_components(texts, list(range(len(texts))))
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in jaccard.op1_ngram_jaccard_join(docs).collect()) == expected
+    links = jaccard.jaccard_join(docs, complete=True)[1]
+    assert sorted((x.a, x.b) for x in links.collect()) == sorted((i, j) for i in range(0, len(texts), 3) for j in (i + 1, i + 2))
+
+
 def test_signature_bound_never_excludes_a_link():
     r = np.random.default_rng(3)
     for n in (3, 40, 300, 2000):
