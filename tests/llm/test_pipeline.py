@@ -48,6 +48,16 @@ def test_stages_against_brute_force(spark, sf, tmp_path):
     assert abs(taken - 1.5 * every) < 0.05 * every
 
 
+def test_copies_of_lists_of_two_go(spark, sf):
+    """A text between two that aren't alike takes both with it; each shares a shingle with it in a list of two only."""
+    texts = []
+    for k in range(40):
+        w = [f"w{k}x{j}" for j in range(8)]
+        texts += [" ".join(w), " ".join(w[:7]), " ".join(w[1:])]
+    kept = corpus_pipeline.deduplicate(spark, frame(spark, texts), sf)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, len(texts), 3))
+
+
 def test_empty(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
