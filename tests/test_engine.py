@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from dataclasses import replace
 from datetime import datetime, timedelta
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -299,6 +300,27 @@ def test_whole_tables_in_two_halves(spark, sf):
     assert {r.fix_id: r.readings for r in plans.QUERIES["barometer_windowed_altitude"](spark, sf).collect()} == {i: n for i, n in near.items() if n}
 
 
+@pytest.mark.parametrize(("name", "rows"), [("graph_end_neighbours", 256_140)])
+def test_neighbours_of_all_ends_at_61_nodes(spark, name, rows):
+    """Segments meet at 61 nodes, however many they are, so that neighbours grow with the square of the table."""
+    assert plans.QUERIES[name](spark, "/root/testdata/sf0.01").count() == rows
+
+
+@pytest.mark.parametrize("snap", [0, 40])
+def test_neighbours_once_where_nodes_are_crowded_and_ids_repeat(spark, monkeypatch, snap):
+    """The ends of a node are dealt over salts; pairs that meet at several nodes, at a cut or nearby too, come once."""
+    monkeypatch.setattr(X, "CROWD", 3)
+    r = np.random.default_rng(4)
+    segments = pd.DataFrame({"id": r.integers(0, 90, 140), "osm_way_id": r.integers(0, 4, 140), "start_node_id": r.integers(0, 5, 140), "end_node_id": r.integers(0, 5, 140), "piece_index": r.integers(0, 3, 140), **{c: b + r.integers(0, 20, 140) * 1e-4 for c, b in (("lon0", LON0), ("lat0", LAT0), ("lon1", LON0), ("lat1", LAT0))}})
+    con = duckdb.connect()
+    con.register("segments", segments)
+    near = f"UNION SELECT a.id, a.which, b.id FROM en a JOIN en b ON a.id <> b.id AND {plans.hav('a.x', 'a.y', 'b.x', 'b.y')} <= {snap}" if snap else ""
+    want = con.sql(f"WITH {queries_more.ENDS} SELECT segment_id, which, other FROM ad {near}").fetchall()
+    table = spark.createDataFrame(segments)
+    assert sorted(map(tuple, X.end_neighbours(table, snap).select("segment_id", "which", "other").collect())) == sorted(want)
+    assert sorted(map(tuple, X.adjacent(table, snap).collect())) == sorted({(i, j) for i, _, j in want})
+
+
 @pytest.mark.parametrize("most", [P.REQUESTS, 20])
 def test_paths_of_all_lines_over_the_whole_network(spark, sf, monkeypatch, most):
     """Every line is asked for, and each answer is that of one graph of all lines and all neighbours."""
