@@ -300,7 +300,7 @@ def test_whole_tables_in_two_halves(spark, sf):
     assert {r.fix_id: r.readings for r in plans.QUERIES["barometer_windowed_altitude"](spark, sf).collect()} == {i: n for i, n in near.items() if n}
 
 
-@pytest.mark.parametrize(("name", "rows"), [("graph_end_neighbours", 256_140), ("graph_snapped_neighbours", 258_596)])
+@pytest.mark.parametrize(("name", "rows"), [("graph_end_neighbours", 256_140), ("graph_snapped_neighbours", 258_596), ("graph_adjacency", 192_556)])
 def test_neighbours_of_all_ends_at_61_nodes(spark, name, rows):
     """Segments meet at 61 nodes, however many they are, so that neighbours grow with the square of the table."""
     assert plans.QUERIES[name](spark, "/root/testdata/sf0.01").count() == rows
