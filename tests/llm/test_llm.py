@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ridgeline.llm import chat, decontam, frames, iblt, jaccard, langid, mixing, quality, secrets, tokens, toxicity
+from ridgeline.llm import chat, components, decontam, frames, iblt, jaccard, langid, mixing, quality, secrets, tokens, toxicity
 from ridgeline.llm.labelled import held_out
 from ridgeline.llm.wordhash import shingle_sets, utf8_parts
 
@@ -124,6 +124,16 @@ def test_jaccard_pairs_of_lists_of_two(spark):
     assert sorted((x.a, x.b) for x in links.collect()) == sorted((i, j) for i in range(0, len(texts), 3) for j in (i + 1, i + 2))
 
 
+def test_components_of_long_paths(spark, capfd):
+    """The rounds grow with the logarithm of a path's length, and the estimated size of their plans doesn't grow at all."""
+    r = random.Random(1)
+    paths = [[r.randrange(-(2**62), 2**62) for _ in range(60)] for _ in range(20)]
+    got = components.connected(spark.createDataFrame([x for p in paths for x in zip(p[:-1], p[1:], strict=True)], "a long, b long"))
+    got.explain(mode="cost")
+    assert not re.search(r"sizeInBytes=[^,)]*E\+", capfd.readouterr().out)
+    assert {x.node: x.label for x in got.collect()} == {n: min(p) for p in paths for n in p}
+
+
 def test_signature_bound_never_excludes_a_link():
     r = np.random.default_rng(3)
     for n in (3, 40, 300, 2000):

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +60,16 @@ def test_copies_of_lists_of_two_go(spark, sf):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(0, len(texts), 3))
 
 
+def test_chains_leave_one_text(spark, sf):
+    """Texts that are alike only from one to the next: the first id of each chain stays, however long the chain."""
+    w = [f"w{j}" for j in range(200)]
+    order = list(range(60))
+    random.Random(4).shuffle(order)
+    texts = [" ".join(w[2 * k : 2 * k + 40]) for k in order] + ["a text that is like no other one here"]
+    kept = corpus_pipeline.deduplicate(spark, frame(spark, texts), sf)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 60]
+
+
 def test_empty(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
