@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -280,13 +282,24 @@ def twin_lines(pieces: DataFrame) -> DataFrame:
 
 
 def length_chunks(lines: DataFrame, most_m: float = DEFAULT.flip_chunk_m) -> DataFrame:
-    """Greedy chunks of consecutive lines (path_id, run, length_m) up to most_m each; a longer line stands alone."""
-    items = lines.groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct("run", F.col("length_m").cast("double").alias("m")))).alias("xs"))
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0.0).alias("sum"), F.array().cast("array<struct<run:bigint,chunk:int>>").alias("out"))
-
-    def step(acc, x):
-        new = (F.size(acc["out"]) > 0) & (acc["sum"] + x["m"] > most_m)
-        chunk = acc["chunk"] + F.when(new, 1).otherwise(0)
-        return F.struct(chunk.alias("chunk"), (F.when(new, 0.0).otherwise(acc["sum"]) + x["m"]).alias("sum"), F.concat(acc["out"], F.array(F.struct(x["run"].cast("bigint").alias("run"), chunk.alias("chunk")))).alias("out"))
-
-    return items.select("path_id", F.inline(F.aggregate("xs", start, step)["out"]))
+    """Greedy chunks of consecutive lines (path_id, run, length_m) up to most_m each; a longer line stands alone.
+
+    Where a chunk begins depends on all chunks before it, so each path is walked in order, by batches: a task holds the
+    sum of one chunk only."""
+
+    def walk(batches):
+        path, chunk, total = object(), 0, 0.0
+        for pdf in batches:
+            out = []
+            for p, m in zip(pdf.path_id.tolist(), pdf.m.tolist(), strict=True):
+                if p != path:
+                    path, chunk, total = p, 0, m
+                elif total + m > most_m:
+                    chunk, total = chunk + 1, m
+                else:
+                    total += m
+                out.append(chunk)
+            yield pd.DataFrame({"path_id": pdf.path_id, "run": pdf.run, "chunk": np.array(out, dtype=np.int32)})
+
+    rows = lines.select("path_id", F.col("run").cast("long").alias("run"), F.col("length_m").cast("double").alias("m"))
+    return rows.repartition("path_id").sortWithinPartitions("path_id", "run").mapInPandas(walk, f"path_id {lines.schema['path_id'].dataType.simpleString()}, run long, chunk int")
