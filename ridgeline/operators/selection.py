@@ -40,8 +40,9 @@ def _merged(rows: DataFrame, points: DataFrame, at: Column, what: Column, *, ahe
     own = rows.select("path_id", at.alias("x"), F.col("i").cast("long").alias("i"), F.lit(None).cast("double").alias("m"), what.alias("s"))
     asked = points.select("path_id", "x", F.lit(-1 if ahead else 2**62).cast("long").alias("i"), F.col("m").cast("double").alias("m"))
     every = own.unionByName(asked, allowMissingColumns=True)
-    w = Window.partitionBy("path_id").orderBy("x", "i")
-    near = F.first("s", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)) if ahead else F.last("s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    # from the far end where x looks ahead, since a frame that ends with the partition is computed anew for each row
+    order = [F.desc("x"), F.desc("i")] if ahead else ["x", "i"]
+    near = F.last("s", ignorenulls=True).over(Window.partitionBy("path_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return every.withColumn("near", near).where("m IS NOT NULL AND near IS NOT NULL").select("path_id", "m", "x", F.col("near").alias("s"))
 
 

@@ -31,3 +31,16 @@ def test_chunks_of_long_paths_are_walked_not_gathered(spark):
                 chunk, total = chunk + 1, 0.0
             total += m
             assert got[p, k] == chunk
+
+
+def test_pieces_at_has_no_frame_to_the_end(spark):
+    rng = random.Random(4)
+    lengths = [rng.choice([0.0, 1.5, 20.0]) for _ in range(400)]
+    starts = [sum(lengths[:k], 0.0) for k in range(400)]
+    pieces = spark.createDataFrame([(1, k, k % 7, "forward", 2.0, a, m) for k, (a, m) in enumerate(zip(starts, lengths, strict=True))], "path_id long, i long, segment_id long, direction string, from_m double, at_m double, length_m double")
+    points = [-1.0, 0.0, 1e9, *rng.sample(starts, 40), *[rng.uniform(0, sum(lengths)) for _ in range(40)]]
+    df = E.pieces_at(pieces, spark.createDataFrame([(1, m) for m in points], "path_id long, m double"))
+    assert "currentrow$(), unboundedfollowing" not in plan(df).lower()
+    for r in df.collect():
+        i = next((k for k in range(400) if starts[k] + lengths[k] >= r.m), 399)
+        assert r.i == i and r.on_line_m == 2 + min(max(r.m - starts[i], 0), lengths[i])
