@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.operators.model import LINE
 from ridgeline.operators.relational import fixes_within
 
 NEXT_DOOR = 0.5
+WAYS = ("forward", "backward")
 
 
 def hole_causes(holes: DataFrame, straddles: DataFrame, losses: DataFrame, size: float = 15.0) -> DataFrame:
@@ -75,12 +79,21 @@ def sensitivity(lines: DataFrame, fates: DataFrame, shares: list[float]) -> Data
 
 
 def judged_admissions(admitted: DataFrame, passes: DataFrame, key: tuple[str, ...] = ("session_id", "segment_id")) -> DataFrame:
-    """witnessed, denied or unjudgeable for each admitted run: a pass over the same ground and time in its direction, in the other, or none."""
-    p = passes.select(*key, F.col("direction").alias("p_direction"), F.col("started").alias("a"), F.col("ended").alias("b"))
+    """witnessed, denied or unjudgeable for each admitted run: a pass over the same ground and time in its direction, in the other, or none.
+
+    Of the passes that have started when a run ends, the one that ends last tells whether any meets the run, so runs and
+    passes go together in order of time and no pairs are made."""
     own = [c for c in admitted.columns]
-    met = admitted.join(p, list(key), "left").withColumn("hit", F.coalesce((F.col("started") <= F.col("b")) & (F.col("a") <= F.col("ended")), F.lit(False)))
-    rows = met.groupBy(*own).agg(F.max(F.col("hit") & (F.col("direction") == F.col("p_direction"))).alias("same"), F.max("hit").alias("any_hit"))
-    return rows.withColumn("judged", F.when(F.coalesce("same", F.lit(False)), "witnessed").when(F.col("any_hit"), "denied").otherwise("unjudgeable")).drop("same", "any_hit")
+    p = passes.select(*key, F.col("started").alias("x"), F.lit(0).alias("kind"), F.col("direction").alias("p_direction"), F.col("ended").alias("b"))
+    a = admitted.select(*key, F.col("ended").alias("x"), F.lit(1).alias("kind"), F.struct(*own).alias("a"))
+    both = p.unionByName(a, allowMissingColumns=True)
+    until = Window.partitionBy(*key).orderBy(F.col("x").asc_nulls_last(), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda way: F.max(F.when(F.col("p_direction") == way, F.col("b"))).over(until).alias(f"last_{way}")
+    rows = both.select("a", *key, "x", F.max("b").over(until).alias("last_any"), *map(last, WAYS)).where("a IS NOT NULL")
+    same = F.when(F.col("a.direction") == WAYS[0], F.col(f"last_{WAYS[0]}")).when(F.col("a.direction") == WAYS[1], F.col(f"last_{WAYS[1]}"))
+    real = reduce(and_, [F.col(k).isNotNull() for k in (*key, "x")])
+    hit = lambda c: real & F.coalesce(F.col("a.started") <= c, F.lit(False))
+    return rows.select("a.*", F.when(hit(same), "witnessed").when(hit(F.col("last_any")), "denied").otherwise("unjudgeable").alias("judged"))
 
 
 def faithful_buckets(stored: DataFrame, replayed: DataFrame, near_m: float = 0.05) -> DataFrame:

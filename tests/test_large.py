@@ -44,3 +44,24 @@ def test_pieces_at_has_no_frame_to_the_end(spark):
     for r in df.collect():
         i = next((k for k in range(400) if starts[k] + lengths[k] >= r.m), 399)
         assert r.i == i and r.on_line_m == 2 + min(max(r.m - starts[i], 0), lengths[i])
+
+
+def test_admissions_are_judged_without_pairs(spark):
+    rng = random.Random(12)
+
+    def runs(n, first):
+        out = []
+        for k in range(n):
+            a = rng.choice([None, *range(0, 60, 2)]) if k % 9 == 0 else rng.randrange(60)
+            out.append((first + k, rng.choice([1, 2, None]), rng.randrange(3), rng.choice(["forward", "backward"]), None if a is None else float(a), None if a is None or k % 11 == 0 else float(a + rng.randrange(4))))
+        return out
+
+    kind = "match_id long, session_id long, segment_id long, direction string, started double, ended double"
+    a, b = runs(300, 0), runs(60, 1000)
+    df = D.judged_admissions(spark.createDataFrame(a, kind), spark.createDataFrame(b, kind).drop("match_id"))
+    assert "Join" not in plan(df)
+    want = {}
+    for i, s, g, d, t0, t1 in a:
+        met = [x[3] for x in b if s is not None and x[1] == s and x[2] == g and None not in (t0, t1, x[4], x[5]) and t0 <= x[5] and x[4] <= t1]
+        want[i] = "witnessed" if d in met else "denied" if met else "unjudgeable"
+    assert {r.match_id: r.judged for r in df.collect()} == want and len(set(want.values())) == 3
