@@ -148,14 +148,31 @@ def readings_near(fixes: DataFrame, readings: DataFrame, half_ms: float = 500.0,
     """Mean pressure within half_ms of each fix as an altitude, with the number of readings and their mean offset.
 
     fixes: fix_id, at_ms; readings: at_ms, hpa (unusable ones don't count).  With `key`, only readings of the same key
-    (phone or ride) count, and a time slot of one key is a group of its own.  A fix without readings has no row."""
+    (phone or ride) count.  A fix without readings has no row.
+
+    Time is cut into slots as wide as the window, so a window is the end of one slot and the beginning of the next, and
+    what a slot holds from a time on, or up to it, is a running sum: fixes and readings of a slot go together in order of
+    time, and no pairs are made.  Equal times are summed up, and asked for, once."""
     same = [key] if key else []
-    usable = readings.where(S.usable_reading(F.col("at_ms").cast("double"), F.col("hpa"))).select(*same, F.col("at_ms").alias("r_ms"), "hpa")
     size = 2 * half_ms
-    r = usable.withColumn("slot", F.floor(F.col("r_ms") / size).cast("long"))
-    f = fixes.withColumn("slot", F.explode(F.sequence(F.floor((F.col("at_ms") - half_ms) / size).cast("long"), F.floor((F.col("at_ms") + half_ms) / size).cast("long"))))
-    near = f.join(r, [*same, "slot"]).where(F.abs(F.col("r_ms") - F.col("at_ms")) <= half_ms)
-    return near.groupBy("fix_id").agg(S.altitude_from_hpa(F.avg("hpa")).alias("altitude_m"), F.count("*").alias("readings"), F.avg(F.col("r_ms") - F.col("at_ms")).alias("mean_offset_ms"))
+    usable = readings.where(S.usable_reading(F.col("at_ms").cast("double"), F.col("hpa"))).select(*same, F.col("at_ms").cast("double").alias("x"), "hpa")
+    slot = F.floor(F.col("x") / size).cast("long")
+    read = usable.groupBy(*same, "x").agg(F.count("*").alias("n"), F.sum("hpa").alias("hpa")).withColumn("slot", slot).withColumn("off", F.col("n") * (F.col("x") - F.col("slot") * size))
+    times = fixes.select(*same, F.col("at_ms").cast("double").alias("at_ms")).where(is_finite(F.col("at_ms"))).distinct()
+    # the slot that the window begins in is asked from there on, the next one up to where the window ends
+    low, high = F.col("at_ms") - half_ms, F.col("at_ms") + half_ms
+    first = F.floor(low / size).cast("long")
+    from_ = times.select(*same, "at_ms", low.alias("x"), first.alias("slot"), F.lit(1).alias("kind"))
+    upto = times.select(*same, "at_ms", high.alias("x"), (first + 1).alias("slot"), F.lit(2).alias("kind"))
+    every = read.withColumn("kind", F.lit(0)).unionByName(from_.unionByName(upto), allowMissingColumns=True)
+    group = Window.partitionBy(*same, "slot")
+    back = group.orderBy(F.desc("x"), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = group.orderBy("x", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    held = lambda c: F.when(F.col("kind") == 1, F.sum(c).over(back)).otherwise(F.sum(c).over(ahead)).alias(c)
+    parts = every.select(*same, "at_ms", "slot", "kind", *map(held, ("n", "hpa", "off"))).where("kind > 0 AND n > 0")
+    whole = parts.withColumn("off", F.col("off") + F.col("n") * (F.col("slot") * size - F.col("at_ms"))).groupBy(*same, "at_ms").agg(*[F.sum(c).alias(c) for c in ("n", "hpa", "off")])
+    met = fixes.withColumn("at_ms", F.col("at_ms").cast("double")).join(whole, [*same, "at_ms"]).groupBy("fix_id").agg(*[F.sum(c).alias(c) for c in ("n", "hpa", "off")])
+    return met.select("fix_id", S.altitude_from_hpa(F.col("hpa") / F.col("n")).alias("altitude_m"), F.col("n").alias("readings"), (F.col("off") / F.col("n")).alias("mean_offset_ms"))
 
 
 def resolved_height(native: Column, sensor: Column, sensor_age_s: Column, gps: Column, fresh_s: float = 5.0) -> Column:

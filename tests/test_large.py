@@ -65,3 +65,22 @@ def test_admissions_are_judged_without_pairs(spark):
         met = [x[3] for x in b if s is not None and x[1] == s and x[2] == g and None not in (t0, t1, x[4], x[5]) and t0 <= x[5] and x[4] <= t1]
         want[i] = "witnessed" if d in met else "denied" if met else "unjudgeable"
     assert {r.match_id: r.judged for r in df.collect()} == want and len(set(want.values())) == 3
+
+
+@pytest.mark.parametrize("key", ["phone", None])
+def test_readings_near_fixes_come_from_running_sums(spark, key):
+    rng = random.Random(21)
+    at = lambda: rng.choice([rng.randrange(-3000, 9000), rng.randrange(-3000, 9000) + 0.25])
+    readings = [(k % 2, float(at()), rng.choice([float("nan"), 200.0, *[900 + x / 64 for x in range(200)]])) for k in range(1500)]
+    fixes = [(k, k % 3, rng.choice([None, float("nan"), 60_000.0]) if k % 40 == 0 else float(at())) for k in range(300)]
+    df = R.readings_near(spark.createDataFrame(fixes, "fix_id long, phone long, at_ms double"), spark.createDataFrame(readings, "phone long, at_ms double, hpa double"), key=key)
+    assert "Generate" not in plan(df)
+    want = {}
+    for i, p, t in fixes:
+        near = [(m - t, h) for q, m, h in readings if t is not None and (key is None or q == p) and abs(m - t) <= 500 and 300 <= h <= 1100]
+        if near:
+            want[i] = (len(near), sum(x for x, _ in near) / len(near), sum(h for _, h in near) / len(near))
+    got = {r.fix_id: r for r in df.collect()}
+    assert got.keys() == want.keys()
+    for i, (n, off, h) in want.items():
+        assert got[i].readings == n and abs(got[i].mean_offset_ms - off) < 1e-9 and abs(got[i].altitude_m - 44330 * (1 - (h / 1013.25) ** (1 / 5.255))) < 1e-6
