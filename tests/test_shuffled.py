@@ -11,7 +11,7 @@ def plan(df) -> str:
 
 
 @pytest.mark.parametrize("name", [
-    "match_candidates", "match_nearest", "match_sweep", "link_frontage",
+    "match_candidates", "match_nearest", "match_sweep", "link_frontage", "link_plan",
 ])
 def test_no_broadcast(spark, sf, name):
     assert "BroadcastHashJoin" not in plan(Q.QUERIES[name](spark, sf))
