@@ -84,3 +84,17 @@ def test_readings_near_fixes_come_from_running_sums(spark, key):
     assert got.keys() == want.keys()
     for i, (n, off, h) in want.items():
         assert got[i].readings == n and abs(got[i].mean_offset_ms - off) < 1e-9 and abs(got[i].altitude_m - 44330 * (1 - (h / 1013.25) ** (1 / 5.255))) < 1e-6
+
+
+def test_overlaps_meet_in_slots_of_time(spark):
+    rng = random.Random(16)
+
+    def times(n):
+        at = [rng.randrange(-50, 400) / 2 for _ in range(n)]
+        return [(k, k % 2, t, t + rng.choice([0, 0.5, 3, 3, 40, -1])) for k, t in enumerate(at)] + [(n, 0, None, 5.0)]
+
+    a, b = times(150), times(120)
+    df = R.overlapping(spark.createDataFrame(a, "a long, k long, started double, ended double"), spark.createDataFrame(b, "b long, k long, started double, ended double"), ["k"])
+    assert "slot" in plan(df)
+    got = sorted((r.a, r.b) for r in df.collect())
+    assert got == sorted((x[0], y[0]) for x in a for y in b if x[1] == y[1] and None not in (x[2], y[2]) and x[2] <= y[3] and y[2] <= x[3])
