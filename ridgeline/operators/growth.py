@@ -17,7 +17,7 @@ from ridgeline.functions import geo as G
 from ridgeline.functions import scalar as S
 from ridgeline.operators import model as M
 from ridgeline.operators import windows as W
-from ridgeline.plans.storage import saved
+from ridgeline.plans.storage import saved, shuffled
 
 LINE = ["segment_id", "direction"]
 SOURCES = ("line", "twin", "none")
@@ -69,16 +69,16 @@ def arcs(ways: DataFrame, ends: DataFrame, extents: DataFrame, moves: DataFrame,
     name = F.lower(F.trim(F.regexp_replace(F.coalesce("street_name", F.lit("")), r"\s+", " ")))
     names = ways.select(F.col("id").alias("segment_id"), name.alias("name"))
     out = ends.select("segment_id", F.when(F.col("which") == "end", "forward").otherwise("backward").alias("direction"), F.col("other").alias("to_segment_id")).distinct()
-    out = out.join(tips.select(*LINE, "tip", "exit_deg"), LINE)
+    out = out.join(shuffled(tips.select(*LINE, "tip", "exit_deg")), LINE)
     both = tips.groupBy(F.col("segment_id").alias("to_segment_id")).pivot("direction", ["forward", "backward"]).agg(F.first("tip").alias("tip"), F.first("entry_deg").alias("entry"))
-    out = out.join(both, "to_segment_id")
+    out = out.join(shuffled(both), "to_segment_id")
     away = [G.haversine_m(F.col("tip.lon"), F.col("tip.lat"), F.col(f"{d}_tip.lon"), F.col(f"{d}_tip.lat")) for d in ("forward", "backward")]
     back = away[0] < away[1]  # the forward tip is its end
     out = out.select(*LINE, "to_segment_id", F.when(back, "backward").otherwise("forward").alias("to_direction"), G.turn_deg(F.col("exit_deg"), F.when(back, F.col("backward_entry")).otherwise(F.col("forward_entry"))).alias("turn"))
     drawn = extents.select(F.col("segment_id").alias("to_segment_id"), F.col("direction").alias("own")).distinct().groupBy("to_segment_id").agg(F.collect_set("own").alias("drawn"))
     source = F.when(F.array_contains("drawn", F.col("to_direction")), 0).when(F.size("drawn") > 0, 1).otherwise(2)
     rides = moves.groupBy(*LINE, F.col("next_segment_id").alias("to_segment_id"), F.col("next_direction").alias("to_direction")).agg(F.countDistinct("session_id").alias("rides"))
-    out = out.join(drawn, "to_segment_id", "left").join(rides, [*LINE, "to_segment_id", "to_direction"], "left").join(names, "segment_id").join(names.select(F.col("segment_id").alias("to_segment_id"), F.col("name").alias("to_name")), "to_segment_id")
+    out = out.join(shuffled(drawn), "to_segment_id", "left").join(shuffled(rides), [*LINE, "to_segment_id", "to_direction"], "left").join(shuffled(names), "segment_id").join(shuffled(names.select(F.col("segment_id").alias("to_segment_id"), F.col("name").alias("to_name"))), "to_segment_id")
     return out.select(*LINE, "to_segment_id", "to_direction", "turn", source.alias("source"), F.coalesce("rides", F.lit(0)).alias("rides"), ((F.col("name") != "") & (F.col("name") == F.col("to_name"))).alias("same"))
 
 
@@ -125,7 +125,7 @@ def chains(states: DataFrame, most: float) -> DataFrame:
         before = F.when(F.size("chain") > 1, F.try_element_at("chain", F.lit(-2))["seg"]).otherwise(F.col("seg"))
         going = rows.where("open").select(*key, "chain", before.alias("b"), last["seg"].alias("s"), last["back"].alias("k"))
         tail = rows.select(F.col("before").alias("b"), F.col("seg").alias("s"), F.col("back").alias("k"), F.col("chain").alias("tail"), "open", "reason", "branches")
-        more = going.join(tail, ["b", "s", "k"]).select(*key, F.concat("chain", "tail").alias("whole"), "open", "reason", "branches")
+        more = going.join(shuffled(tail), ["b", "s", "k"]).select(*key, F.concat("chain", "tail").alias("whole"), "open", "reason", "branches")
         rows = saved(rows.where("NOT open").unionByName(_closed(more, most)))
     return rows.drop("open")
 
@@ -142,7 +142,7 @@ def stretches(ways: DataFrame, extents: DataFrame) -> DataFrame:
     both = ways.select(F.col("id").alias("segment_id"), "length_m", F.explode(F.array(F.lit("forward"), F.lit("backward"))).alias("direction"))
     own = extents.select(*LINE, F.col("from_m").alias("p"), F.col("to_m").alias("q"))
     twin = extents.select("segment_id", S.opposite(F.col("direction")).alias("direction"), F.col("from_m").alias("u"), F.col("to_m").alias("v"))
-    rows = both.join(own, LINE, "left").join(twin, LINE, "left").withColumns({"r": F.col("length_m") - F.col("v"), "s": F.col("length_m") - F.col("u")})
+    rows = both.join(shuffled(own), LINE, "left").join(shuffled(twin), LINE, "left").withColumns({"r": F.col("length_m") - F.col("v"), "s": F.col("length_m") - F.col("u")})
     whole = F.col("length_m")
     knots = F.array_sort(F.array_distinct(F.transform(F.filter(F.array(F.lit(0.0), "p", "q", "r", "s", whole), lambda x: x.isNotNull()), lambda x: F.greatest(F.lit(0.0), F.least(x, whole)))))
     rows = rows.select(*LINE, "p", "q", "r", "s", F.explode(F.arrays_zip(F.slice(knots, F.lit(1), F.size(knots) - 1).alias("a"), F.slice(knots, F.lit(2), F.size(knots) - 1).alias("b"))).alias("x"))
@@ -171,18 +171,18 @@ def grow_paths(requests: DataFrame, ways: DataFrame, ends: DataFrame, extents: D
     def with_next(rows: DataFrame) -> DataFrame:
         """rows with c as next, with its length, and arms."""
         rows = rows.withColumn("n", chosen(F.col("c"), config)).withColumn("arms", F.size(F.coalesce("c", F.array().cast(rows.schema["c"].dataType)))).drop("c")
-        rows = rows.join(lengths.select(F.col("seg").alias("n_seg"), F.col("length_m").alias("n_m")), F.col("n.seg") == F.col("n_seg"), "left")
+        rows = rows.join(shuffled(lengths.select(F.col("seg").alias("n_seg"), F.col("length_m").alias("n_m"))), F.col("n.seg") == F.col("n_seg"), "left")
         return rows.withColumn("next", F.when(F.col("n").isNotNull(), F.struct(F.col("n.seg").alias("seg"), F.col("n.back").alias("back"), F.col("n.rule").alias("rule"), F.col("n_m").alias("length_m")))).drop("n", "n_seg", "n_m")
 
     entered = every.select(F.col("segment_id").alias("before"), F.col("to_segment_id").alias("segment_id"), F.col("to_direction").alias("direction")).distinct()
-    states = entered.join(out, LINE, "left").withColumn("c", F.filter("c", lambda x: x["seg"] != F.col("before")))
+    states = entered.join(shuffled(out), LINE, "left").withColumn("c", F.filter("c", lambda x: x["seg"] != F.col("before")))
     states = with_next(states.select("before", F.col("segment_id").alias("seg"), back.alias("back"), "c"))
     following = chains(states, most)
 
-    asked = requests.select("path_id", *LINE, "at_m").join(lengths.withColumnRenamed("seg", "segment_id"), "segment_id", "left").join(out, LINE, "left")
+    asked = requests.select("path_id", *LINE, "at_m").join(shuffled(lengths.withColumnRenamed("seg", "segment_id")), "segment_id", "left").join(shuffled(out), LINE, "left")
     asked = with_next(asked).withColumn("at_m", F.greatest(F.lit(0.0), F.least("at_m", "length_m")))
     first = following.select(F.col("before").alias("f_before"), F.col("seg").alias("f_seg"), F.col("back").alias("f_back"), "chain", "reason", "branches")
-    asked = asked.join(first, (F.col("segment_id") == F.col("f_before")) & (F.col("next.seg") == F.col("f_seg")) & (F.col("next.back") == F.col("f_back")), "left")
+    asked = asked.join(shuffled(first), (F.col("segment_id") == F.col("f_before")) & (F.col("next.seg") == F.col("f_seg")) & (F.col("next.back") == F.col("f_back")), "left")
     kind = "array<struct<seg:bigint,back:int,rule:string,length_m:double>>"
     whole = F.when(F.col("next").isNotNull(), F.concat(F.array("next"), F.coalesce("chain", F.array().cast(kind)))).otherwise(F.array().cast(kind))
     asked = asked.withColumn("whole", whole).withColumn("cut", _cut(F.col("whole"), F.col("segment_id")))
@@ -199,7 +199,7 @@ def grow_paths(requests: DataFrame, ways: DataFrame, ends: DataFrame, extents: D
     rows = rows.withColumn("reach", reach).withColumn("limited", F.max(F.col("reach") > most).over(Window.partitionBy("path_id"))).where(F.col("reach") - (F.col("b") - F.col("a")) <= most)
     rows = rows.withColumns({"reason": F.when(F.col("limited"), "limit").otherwise(F.col("reason")), "branches": F.when(F.col("limited"), 0).otherwise(F.col("branches"))})
 
-    rows = rows.join(stretches(ways, extents), LINE).withColumns({"p": F.greatest("a_m", "a"), "q": F.least("b_m", "b")}).where("q > p")
+    rows = rows.join(shuffled(stretches(ways, extents)), LINE).withColumns({"p": F.greatest("a_m", "a"), "q": F.least("b_m", "b")}).where("q > p")
     order = Window.partitionBy("path_id").orderBy("leg", "p")
     rows = rows.withColumns({"i": F.row_number().over(order) - 1, "run": F.col("q") - F.col("p"), "bare": F.when(F.col("source") == 2, F.col("q") - F.col("p")).otherwise(0.0), "head": F.col("leg") != F.coalesce(F.lag("leg").over(order), F.lit(-1))})
     rows = rows.withColumns({"at": F.coalesce(F.sum("run").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), "bares": F.sum("bare").over(order)})
@@ -220,7 +220,7 @@ def grow_paths(requests: DataFrame, ways: DataFrame, ends: DataFrame, extents: D
     pieces = found.where("i < kept").drop("kept")
     # paths without a piece: all taken back, cut before the first, or of no length
     bare = found.where("kept = 0").groupBy("path_id").agg(F.max("reason").alias("r"), F.max("ahead_m").alias("m"), F.max("branches").alias("b"))
-    empty = asked.join(pieces.select("path_id").distinct(), "path_id", "left_anti").join(bare, "path_id", "left")
+    empty = asked.join(shuffled(pieces.select("path_id").distinct()), "path_id", "left_anti").join(shuffled(bare), "path_id", "left")
     gap_first = F.col("length_m").isNotNull() & F.col("r").isNull() & (F.col("at_m") < F.col("length_m"))
     why = F.coalesce("r", F.when(gap_first, "gap").otherwise(F.col("reason")))
     empty = empty.select("path_id", F.lit(None).cast("int").alias("i"), *LINE, *[F.lit(None).cast("double").alias(c) for c in ("from_m", "to_m", "at_m")], F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("rule"), why.alias("reason"), F.coalesce("m", F.lit(0.0)).alias("ahead_m"), F.when(why.isin("fork", "end"), F.coalesce("b", "branches")).otherwise(0).cast("int").alias("branches"))
@@ -238,7 +238,7 @@ def score_rules(ways: DataFrame, ends: DataFrame, extents: DataFrame, moves: Dat
     out = _listed(arcs(ways, ends, extents, moves, config), *LINE).where(F.size("c") > 1)
     own = lambda x: F.array_contains("took", F.struct(x["seg"].alias("seg"), x["back"].alias("back"))).cast("int")
     others = F.transform("c", lambda x: F.struct(x["turn"].alias("turn"), x["source"].alias("source"), (x["rides"] - own(x)).alias("rides"), x["same"].alias("same"), x["seg"].alias("seg"), x["back"].alias("back")))
-    rows = took.join(out, LINE).withColumn("others", others).withColumn("n", chosen(F.col("others"), config)).select("n", F.explode("took").alias("made"))
+    rows = took.join(shuffled(out), LINE).withColumn("others", others).withColumn("n", chosen(F.col("others"), config)).select("n", F.explode("took").alias("made"))
     verdict = F.when(F.col("n").isNull(), "stopped").when((F.col("n.seg") == F.col("made.seg")) & (F.col("n.back") == F.col("made.back")), "right").otherwise("wrong")
     return rows.groupBy(F.col("n.rule").alias("rule"), verdict.alias("verdict")).agg(F.count("*").alias("moves"))
 
@@ -252,8 +252,8 @@ def path_spans(pieces: DataFrame, ranges: DataFrame, buckets: DataFrame, lines:
     drawn = ranges.select(*LINE, "range_from_m", "range_to_m", "slope_pct").withColumn("source", F.lit("line"))
     drawn = drawn.unionByName(M.twin_ranges(ranges, lines).select(*LINE, "range_from_m", "range_to_m", "slope_pct").withColumn("source", F.lit("twin")))
     known = drawn.select(*LINE, "source").distinct().withColumn("known", F.lit(True))
-    rows = pieces.join(known, [*LINE, "source"], "left").join(lines.select("segment_id", "length_m"), "segment_id").withColumn("known", F.coalesce("known", F.lit(False)))
-    met = rows.where("known").drop("length_m").join(drawn, [*LINE, "source"]).withColumns({"p": F.greatest("from_m", "range_from_m"), "q": F.least("to_m", "range_to_m")}).where("q > p")
+    rows = pieces.join(shuffled(known), [*LINE, "source"], "left").join(shuffled(lines.select("segment_id", "length_m")), "segment_id").withColumn("known", F.coalesce("known", F.lit(False)))
+    met = rows.where("known").drop("length_m").join(shuffled(drawn), [*LINE, "source"]).withColumns({"p": F.greatest("from_m", "range_from_m"), "q": F.least("to_m", "range_to_m")}).where("q > p")
     measured = met.select("path_id", "i", (F.col("at_m") + F.col("p") - F.col("from_m")).alias("at_m"), (F.col("q") - F.col("p")).alias("length_m"), "slope_pct", "source")
 
     def height(m: str) -> DataFrame:
@@ -262,6 +262,6 @@ def path_spans(pieces: DataFrame, ranges: DataFrame, buckets: DataFrame, lines:
         return M.heights_at(buckets, points).select("path_id", "i", F.col("height_m").alias(f"{m}_height"))
 
     bare = rows.select("path_id", "i", "at_m", F.when(F.col("known"), F.col("source")).otherwise("none").alias("source"), (F.col("to_m") - F.col("from_m")).alias("length_m"))
-    bare = bare.join(height("from_m"), ["path_id", "i"], "left").join(height("to_m"), ["path_id", "i"], "left").withColumnsRenamed({"from_m_height": "from_height_m", "to_m_height": "to_height_m"})
-    slopes = W.unmeasured_slopes(bare).join(rows.select("path_id", "i", "at_m"), ["path_id", "i"])
+    bare = bare.join(shuffled(height("from_m")), ["path_id", "i"], "left").join(shuffled(height("to_m")), ["path_id", "i"], "left").withColumnsRenamed({"from_m_height": "from_height_m", "to_m_height": "to_height_m"})
+    slopes = W.unmeasured_slopes(bare).join(shuffled(rows.select("path_id", "i", "at_m")), ["path_id", "i"])
     return measured.unionByName(slopes.select("path_id", "i", "at_m", "length_m", "slope_pct", F.lit("none").alias("source")))
